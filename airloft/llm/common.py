@@ -42,3 +42,22 @@ def crc32(text: Column) -> Column:
 def held_out(doc_id: Column) -> Column:
     """Rows kept away from training: crc32 of the id as text leaves remainder 2."""
     return F.coalesce(F.pmod(crc32(doc_id.cast("string")), F.lit(4)) == 2, F.lit(False))
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df written to the shared checkpoint folder and read from there.
+
+    The folder is the session's spark.checkpoint.dir; a folder of its own is
+    set only where that is unset, as in tests on one machine.
+    """
+    spark = df.sparkSession
+    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        import tempfile
+
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+    return df.checkpoint()
+
+
+def if_small(df: DataFrame, rows: int = 500_000) -> DataFrame:
+    """A written df, hinted for broadcast only if it has few rows; else Spark shuffles it."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

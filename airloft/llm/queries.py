@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from . import lines, mixing, sharding
+from . import decontaminate, licences, lines, mixing, neardup, sharding
 
 QUERIES = {
+    "op1_decontaminate": decontaminate.op1,
+    "op2_near_duplicates": neardup.op2,
     "op3_mix_sources": mixing.op3,
     "op4_line_dedup": lines.op4,
     "op7_sharding": sharding.op7,
+    "op10_license_scan": licences.op10,
 }
 
 ORACLE_SQL = {
     "op3_mix_sources": mixing.SQL,
     "op4_line_dedup": lines.SQL,
+    "op10_license_scan": licences.sql(),
 }

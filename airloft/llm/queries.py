@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, licences, lines, mixing, neardup, sharding
+from . import decontaminate, licences, lines, mixing, neardup, sharding, substrings
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1,
     "op2_near_duplicates": neardup.op2,
     "op3_mix_sources": mixing.op3,
     "op4_line_dedup": lines.op4,
+    "op6_substring_dedup": substrings.op6,
     "op7_sharding": sharding.op7,
     "op10_license_scan": licences.op10,
 }
@@ -16,5 +17,6 @@ QUERIES = {
 ORACLE_SQL = {
     "op3_mix_sources": mixing.SQL,
     "op4_line_dedup": lines.SQL,
+    "op6_substring_dedup": substrings.SQL,
     "op10_license_scan": licences.sql(),
 }

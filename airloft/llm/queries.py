@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import decontaminate, licences, lines, mixing, neardup, sharding, substrings
+from . import decontaminate, licences, lines, media, mixing, neardup, sharding, substrings, toxicity
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1,
     "op2_near_duplicates": neardup.op2,
     "op3_mix_sources": mixing.op3,
     "op4_line_dedup": lines.op4,
+    "op5_media_columns": media.op5,
     "op6_substring_dedup": substrings.op6,
     "op7_sharding": sharding.op7,
+    "op8_toxicity": toxicity.op8,
     "op10_license_scan": licences.op10,
 }
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, licences, lines, media, mixing, neardup, sharding, substrings, toxicity
+from . import decontaminate, langid, licences, lines, media, mixing, neardup, sharding, substrings, toxicity
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_substring_dedup": substrings.op6,
     "op7_sharding": sharding.op7,
     "op8_toxicity": toxicity.op8,
+    "op9_language_id": langid.op9,
     "op10_license_scan": licences.op10,
 }
 

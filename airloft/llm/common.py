@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,3 +63,25 @@ def cut(df: DataFrame) -> DataFrame:
 def if_small(df: DataFrame, rows: int = 500_000) -> DataFrame:
     """A written df, hinted for broadcast only if it has few rows; else Spark shuffles it."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def shielded(*needed: str):
+    """For functions that add columns to docs: other columns of docs travel under neutral names.
+
+    So an extra column may have any name. One that has the name of an added
+    column is replaced by it. `needed` columns must exist and come through.
+    """
+
+    def wrap(function):
+        @functools.wraps(function)
+        def run(docs: DataFrame, *args, **kwargs) -> DataFrame:
+            extra = {c: f"_x{i}" for i, c in enumerate(docs.columns) if c not in needed}
+            out = function(docs.select(*[F.col(f"`{c}`").alias(extra.get(c, c)) for c in docs.columns]), *args, **kwargs)
+            hidden = set(extra.values())
+            added = [c for c in out.columns if c not in hidden and c not in needed]
+            kept = [F.col(extra.get(c, c)).alias(c) for c in docs.columns if c not in added and extra.get(c, c) in out.columns]
+            return out.select(*kept, *added)
+
+        return run
+
+    return wrap

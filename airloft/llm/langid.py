@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import held_out, table
+from .common import held_out, shielded, table
 from .textnum import U, Texts, mix, slices
 
 #: Documents of each language, and languages, that the field is trained on; a bounded sample in order of a hash of doc_id.
@@ -220,13 +220,14 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, languages: int = LA
     return fit(labels, [x.encode() for x in rows["text"].to_pylist()], np.array([number[x] for x in rows["lang"].to_pylist()], np.int64))
 
 
-def identify(docs: DataFrame, field: Field, keep: list[str] | None = None) -> DataFrame:
-    """Columns `keep` (all by default) of docs (text, ...) with lang_pred and score from 0 to 1.
+@shielded("text")
+def identify(docs: DataFrame, field: Field, with_text: bool = True) -> DataFrame:
+    """docs (text, ...) with lang_pred and score from 0 to 1; without text if it is not asked for.
 
     Texts that are null or without a letter get 'und' and 0. Columns with the added names are replaced.
     """
-    kept = docs.select(*(docs.columns if keep is None else keep)).drop("lang_pred", "score")
-    rows = docs.drop("lang_pred", "score").select(*kept.columns, letters(F.col("text")).alias("_letters"))
+    kept = docs if with_text else docs.drop("text")
+    rows = docs.select(*kept.columns, letters(F.col("text")).alias("_letters"))
     held = docs.sparkSession.sparkContext.broadcast(vars(field))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,4 +246,4 @@ def identify(docs: DataFrame, field: Field, keep: list[str] | None = None) -> Da
 def op9(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     field = train(docs)
-    return identify(docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out")), field, ["doc_id", "held_out"])
+    return identify(docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out")), field, with_text=False)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, table
+from .common import ascii_lower, shielded, table
 
 # Spellings that count as equal, as in the public matching guidelines for licence texts.
 SPELLINGS = (
@@ -106,6 +106,7 @@ def known_digests(spark, texts=TEXTS) -> DataFrame:
 CUE = r"(?i)licen[cs]e|creative commons|cc0|public domain"
 
 
+@shielded("text")
 def scan_licences(docs: DataFrame, texts=TEXTS, cue: str = CUE) -> DataFrame:
     """docs (text, ...) with digest, license (of the entire text) and notices (of single lines, sorted, distinct).
 
@@ -116,7 +117,6 @@ def scan_licences(docs: DataFrame, texts=TEXTS, cue: str = CUE) -> DataFrame:
     matches nothing. Columns of docs with these names are replaced.
     """
     spark = docs.sparkSession
-    docs = docs.drop("digest", "license", "notices")
     text = F.coalesce(F.col("text"), F.lit(""))
     known = known_digests(spark, texts)
     held = docs.withColumn("digest", F.md5(canonical(text))).join(F.broadcast(known), "digest", "left")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, ascii_lower, hash_pair, table
+from .common import BLANKS, ascii_lower, hash_pair, shielded, table
 
 MIN_CHARS = 10
 MIN_DOCS = 2
@@ -13,6 +13,7 @@ MIN_DOCS = 2
 LAST = 2**63 - 1
 
 
+@shielded("doc_id", "text")
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """Adds n_lines, n_dropped and kept_text to docs (doc_id, text, ...).
 

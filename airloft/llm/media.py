@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import shielded, table
 
 #: Payloads are padded to a positive multiple of this, which is the width of their images.
 BLOCK = 64
@@ -179,12 +179,12 @@ def image_columns(df: DataFrame, column: str = "media", tile: int = TILE) -> Dat
     return df.mapInArrow(run, ", ".join([*fields, "height int, width int, channels int, tile_npy binary, dhash string"]))
 
 
+@shielded("text")
 def text_media(docs: DataFrame, form: str = "pgm") -> DataFrame:
     """docs (text, ...) with n_bytes and media: the padded UTF-8 bytes as a grey image BLOCK wide, in PGM or BMP.
 
     Null text is empty; an empty payload is one row of zeros.
     """
-    docs = docs.drop("n_bytes", "media")
     encode = {"pgm": encode_pgm, "bmp": encode_bmp}[form]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import hex_to_long, table, word_count
+from .common import hex_to_long, shielded, table, word_count
 
 #: Source weights in order of the source names, repeating.
 WEIGHTS = (5, 2, 1)
@@ -104,6 +104,13 @@ def mix_sources(
     )
 
 
+@shielded("doc_id", "text", "source")
+def take_mix(docs: DataFrame, quality: DataFrame | None = None, weights=WEIGHTS, most: int = MAX_EPOCHS, seed: str = "mix") -> DataFrame:
+    """The rows of docs, each as often as the mix takes it."""
+    mixed = mix_sources(docs, quality, weights, most, seed, keep=tuple(docs.columns)).where("copies > 0")
+    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(docs.columns)
+
+
 def label_quality(labels: DataFrame) -> DataFrame:
     """(doc_id, weight) from a 0/1 quality column: 0.5 for 0, 1.5 for 1, means between; repeated ids are averaged."""
     return labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg((0.5 + F.avg("quality")).alias("weight"))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import crc32, table
+from .common import crc32, shielded, table
 
 SHARDS = 8
 ROUNDS = 6
@@ -62,16 +62,15 @@ def numbered(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     )
 
 
-def assign_shards(docs: DataFrame, shards: int = SHARDS, seed: int = 17, keep: tuple[str, ...] | None = None) -> DataFrame:
+@shielded("doc_id", "text")
+def assign_shards(docs: DataFrame, shards: int = SHARDS, seed: int = 17) -> DataFrame:
     """Adds shard (int) and slot (long) to docs (doc_id, text, ...).
 
-    keep: columns to carry through the shuffle; all by default. Null ids and
-    texts are values like others. Identical rows are interchangeable: which of
+    Null ids and texts are values like others. Identical rows are interchangeable: which of
     them gets which slot may differ between runs, the set of rows does not.
     """
-    carried = docs if keep is None else docs.select(*keep)
     side = F.ceil(F.sqrt(F.col("_n").cast("double"))).cast("long")
-    rows = numbered(carried).withColumn("_a", side).withColumn("_b", F.ceil(F.col("_n") / F.col("_a")).cast("long"))
+    rows = numbered(docs).withColumn("_a", side).withColumn("_b", F.ceil(F.col("_n") / F.col("_a")).cast("long"))
     rows = rows.withColumn("_to", permuted(F.col("_row"), F.col("_n"), F.col("_a"), F.col("_b"), seed))
     sure = F.when(F.col("_to") < F.col("_n"), F.col("_to")).otherwise(F.raise_error(F.lit("cycle walk did not end")).cast("long"))
     rows = rows.withColumn("_to", sure)

@@ -15,7 +15,6 @@ runs decides only where windows meet, never which are equal.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, shielded, table
 from .textnum import U, Texts, grams, mix, slices
 
 WINDOW = 20
@@ -227,6 +226,7 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     return ranges.groupBy("id", "th").agg(F.collect_list(F.struct("start", "n")).alias("r")).select("id", "th", F.col("r.start").alias("starts"), F.col("r.n").alias("counts"))
 
 
+@shielded("doc_id", "text")
 def strip_repeats(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text, ...) with n_words, n_removed and kept_text.
 
@@ -237,7 +237,6 @@ def strip_repeats(docs: DataFrame) -> DataFrame:
     ordered by a hash of the text, rows alike in both are judged once and get
     one result. Columns of docs with the added names are replaced.
     """
-    docs = docs.drop("n_words", "n_removed", "kept_text", "starts", "counts")
     ranges = cut(repeated_ranges(docs.select("doc_id", "text")))
     n = ranges.agg(F.coalesce(F.sum(F.size("starts")), F.lit(0)).alias("n")).first()["n"]
     ranges = F.broadcast(ranges) if n <= RANGES_SENT else ranges

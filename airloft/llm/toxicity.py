@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import held_out, table
+from .common import held_out, shielded, table
 from .textnum import U, Texts, slices
 
 #: Labelled documents of each class that the models are fitted on; a bounded sample in order of a hash of doc_id.
@@ -158,15 +158,18 @@ def fit_model(sample: DataFrame) -> Model:
     return Model(words, by_word, by_context, pairs, by_pair)
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
-    b = np.zeros(x.shape[1])
-    for _ in range(40):
+def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1.0) -> np.ndarray:
+    """Weighted logistic regression; the first column is constant and not penalised, the others are in deviations."""
+    scale = np.where(x.std(axis=0) > 0, x.std(axis=0), 1.0)
+    x = x / scale
+    b, penalty = np.zeros(x.shape[1]), np.diag([1e-6, *[ridge] * (x.shape[1] - 1)])
+    for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(x @ b, -40, 40)))
-        step = np.linalg.solve((x * (w * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(b)), x.T @ (w * (y - p)) - ridge * b)
-        b += step
+        step = np.linalg.solve((x * (w * p * (1 - p))[:, None]).T @ x + penalty, x.T @ (w * (y - p)) - penalty @ b)
+        b += step / max(1.0, np.abs(step).max() / 4)
         if np.abs(step).max() < 1e-9:
             break
-    return b
+    return b / scale
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
@@ -189,13 +192,14 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
     return model
 
 
-def score_toxicity(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
-    """Columns `keep` (all by default) of docs (text, ...) with score from 0 to 1.
+@shielded("text")
+def score_toxicity(docs: DataFrame, model: Model, with_text: bool = True) -> DataFrame:
+    """docs (text, ...) with score from 0 to 1; without text if it is not asked for.
 
     Null and empty texts get the score of no evidence. A column score is replaced.
     """
-    kept = docs.select(*(docs.columns if keep is None else keep)).drop("score")
-    rows = docs.drop("score").select(*kept.columns, plain(F.col("text")).alias("_plain"))
+    kept = docs if with_text else docs.drop("text")
+    rows = docs.select(*kept.columns, plain(F.col("text")).alias("_plain"))
     held = docs.sparkSession.sparkContext.broadcast(vars(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,5 +215,5 @@ def score_toxicity(docs: DataFrame, model: Model, keep: list[str] | None = None)
 def op8(spark, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
     marked = docs.withColumn("held_out", held_out(F.col("doc_id")))
-    scored = score_toxicity(marked, train(docs, labels), ["doc_id", "held_out"])
+    scored = score_toxicity(marked, train(docs, labels), with_text=False)
     return scored.withColumn("predicted", (F.col("score") >= CUT).cast("int"))

@@ -1,4 +1,4 @@
 """Registered queries over the given tables and their SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import data_queries, scalar_queries  # noqa: F401
+from .registry import ORACLE_SQL, QUERIES  # noqa: F401

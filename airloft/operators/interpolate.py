@@ -42,7 +42,7 @@ def kriging(targets: DataFrame, sources: DataFrame, range_km: float = 60.0, nugg
     source = sources.select("id", "lat", "lon", "resid", F.col("lat").alias("slat"), F.col("lon").alias("slon"))
     near = knn(targets.select("id", "lat", "lon"), source, k, None, exclude_self)
     rows = near.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("rank", "km", "slat", "slon", "resid"))).alias("s"))
-    rows = rows.select("id", *[F.transform("s", lambda x, c=c: x[c]).alias(c) for c in ("km", "slat", "slon", "resid")])
+    rows = rows.select("id", *[F.col(f"s.{c}").alias(c) for c in ("km", "slat", "slon", "resid")])
 
     def weigh(km: np.ndarray, lat: np.ndarray, lon: np.ndarray, resid: np.ndarray) -> float:
         if not len(km) or (km > 3 * range_km).all():

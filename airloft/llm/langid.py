@@ -89,6 +89,8 @@ class Field:
 
     def predict(self, t: Texts) -> tuple[np.ndarray, np.ndarray]:
         """Number of the likeliest language of each text and its mean probability; -1 and 0 without words."""
+        if not len(self.labels):
+            return np.full(len(t), -1), np.zeros(len(t))
         p = self.posteriors(t)
         counts = np.diff(t.first)
         total = np.stack([np.bincount(t.owners(), p[:, k], minlength=len(t)) for k in range(p.shape[1])], axis=1)
@@ -224,7 +226,7 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, languages: int = LA
 def identify(docs: DataFrame, field: Field, with_text: bool = True) -> DataFrame:
     """docs (text, ...) with lang_pred and score from 0 to 1; without text if it is not asked for.
 
-    Texts that are null or without a letter get 'und' and 0. Columns with the added names are replaced.
+    Texts that are null or without a letter get 'und' and 0, and so do all if nothing was learned. Columns with the added names are replaced.
     """
     kept = docs if with_text else docs.drop("text")
     rows = docs.select(*kept.columns, letters(F.col("text")).alias("_letters"))

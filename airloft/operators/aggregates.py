@@ -146,3 +146,18 @@ def gram(df: DataFrame, xs, y: str, fold: str | None = None) -> DataFrame:
     aggs = [F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(f"s_{c}") for c in cols]]
     aggs += [F.sum(F.col(a) * F.col(b)).alias(f"s_{a}_{b}") for a, b in combinations_with_replacement(cols, 2)]
     return df.groupBy(fold).agg(*aggs) if fold else df.agg(*aggs)
+
+
+def pack_report(preds: DataFrame, region: str, columns) -> DataFrame:
+    """(region, json): a region's mean and count with its rows as nested JSON; one region must fit a row."""
+    rows = F.sort_array(F.collect_list(F.struct(*columns)))
+    summary = F.struct(F.round(F.avg("pm25") + 1.37e-8, 6).alias("mean"), F.count(F.lit(1)).alias("n"))
+    packed = preds.groupBy(region).agg(summary.alias("summary"), rows.alias("tracts"))
+    return packed.select(region, F.to_json(F.struct("summary", "tracts")).alias("json"))
+
+
+def median_scalars(df: DataFrame, cols) -> DataFrame:
+    """One row of medians over all rows, for backfill."""
+    from .clean import medians
+
+    return medians(df, cols)

@@ -169,10 +169,17 @@ def city_predictions(spark, sf_dir):
 @query("county_reports")
 def county_reports(spark, sf_dir):
     """One JSON text a county: its summary and its tracts, as the API returns them."""
-    p = predictions(spark, sf_dir)
-    tracts = F.sort_array(F.collect_list(F.struct("id", "pm25", "aqi", "category", "color", "aqi_range", "health_msg")))
-    summary = p.groupBy("county").agg(F.struct(r6(F.avg("pm25")).alias("mean"), F.count(F.lit(1)).alias("n")).alias("summary"), tracts.alias("tracts"))
-    return summary.select("county", F.to_json(F.struct("summary", "tracts")).alias("json"))
+    return agg.pack_report(predictions(spark, sf_dir), "county", ["id", "pm25", "aqi", "category", "color", "aqi_range", "health_msg"])
+
+
+@query("tract_geometry", with_views("v_smoke", "SELECT CAST(poly AS VARCHAR) AS geoid, CAST(5 AS INT) AS vertices FROM v_smoke WHERE starts_with(CAST(poly AS VARCHAR), '12')"))
+def tract_geometry(spark, sf_dir):
+    """Polygons of one county by key prefix, simplified for display."""
+    from ..functions.geometry import simplify_features, vertex_count
+    from ..functions.scalars import has_prefix
+
+    p = v_smoke(spark, sf_dir).withColumn("geoid", F.col("poly").cast("string")).where(has_prefix(F.col("geoid"), "12"))
+    return simplify_features(p, 0.01).select("geoid", vertex_count(F.col("rings")).alias("vertices"))
 
 
 @query("smoke_layer", with_views("v_smoke", "SELECT coalesce(nullif(density, ''), 'blank') AS density, count(*) AS n FROM v_smoke WHERE date = (SELECT max(date) FROM v_smoke WHERE date BETWEEN DATE '2024-01-28' AND DATE '2024-01-31') AND x + w >= -107 AND x - w <= -93 AND y + w >= 25.5 AND y - w <= 36.6 GROUP BY 1"))

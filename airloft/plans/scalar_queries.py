@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import bands, geometry as geo, scalars as sc
+from ..functions import bands, features, geometry as geo, scalars as sc
 from ..operators import clean
 from .registry import query
 from .views import events, r6, sql_km, sql_r6, table, v_sensor, v_sensor_day, v_smoke, v_tract, with_views
@@ -249,3 +249,19 @@ def display_and_precedence(spark, sf_dir):
 )
 def tract_lookup_by_key(spark, sf_dir):
     return clean.tract_by_id(v_tract(spark, sf_dir), "48000000007").select("GEOID", r6("lat").alias("lat"), r6("ejf").alias("ejf"))
+
+
+@query(
+    "feature_columns",
+    f"""
+    WITH e AS (SELECT event_id, ts - INTERVAL 6 HOURS AS t, value, event_id % 3 AS k FROM events WHERE value IS NOT NULL)
+    SELECT event_id, CAST(hour(t) AS INT) AS hour, CAST(isodow(t) - 1 AS INT) AS dow, {sql_r6("cos(2 * pi() * (isodow(t) - 1) / 7)")} AS dow_cos, {sql_r6("sin(2 * pi() * dayofyear(t) / 365)")} AS doy_sin,
+           {sql_r6("value * 50 / 100")} AS temp_humidity, {sql_r6("CASE k WHEN 0 THEN value WHEN 1 THEN value / 3.6::DOUBLE ELSE value / 2.23694::DOUBLE END * value / 100")} AS wind_temp
+    FROM e
+    """,
+)
+def feature_columns(spark, sf_dir):
+    k = F.col("event_id") % 3
+    e = table(spark, sf_dir, "events").where("value IS NOT NULL").withColumns({"temperature": F.col("value"), "humidity": F.lit(50.0), "unit": F.when(k == 0, "m/s").when(k == 1, "km/h").otherwise("mph")})
+    out = features.interactions(features.time_parts(e.withColumn("wind", features.wind_ms(F.col("value"), F.col("unit"))), "ts", "America/Chicago"))
+    return out.select("event_id", "hour", "dow", r6("dow_cos").alias("dow_cos"), r6("doy_sin").alias("doy_sin"), r6("temp_humidity").alias("temp_humidity"), r6("wind_temp").alias("wind_temp"))

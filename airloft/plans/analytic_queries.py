@@ -402,7 +402,16 @@ def _pool(spark, sf_dir, n=120):
     return pl.diverse_candidates(pl.placement_scores(*_sites(spark, sf_dir)), n)
 
 
-@query("diverse_candidates")
+_CELLS = (
+    ", g AS (SELECT cs.id, comp, cov, comp + 0.3::DOUBLE * cov AS s, lat, lon FROM cs JOIN t USING (id)), b AS (SELECT min(lat) s0, max(lat) n0, min(lon) w0, max(lon) e0 FROM g), "
+    "k AS (SELECT g.*, least(greatest(CAST(trunc((lat - s0) / greatest(n0 - s0, 0.01) * 20) AS INT), 0), 19) * 20 + least(greatest(CAST(trunc((lon - w0) / greatest(e0 - w0, 0.01) * 20) AS INT), 0), 19) AS cell FROM g, b), "
+    "c0 AS (SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY cell ORDER BY s DESC, id) AS r FROM k) WHERE r = 1), "
+    "c1 AS (SELECT id FROM c0 UNION ALL SELECT id FROM (SELECT id, row_number() OVER (ORDER BY s DESC, id DESC) AS r FROM k WHERE id NOT IN (SELECT id FROM c0)) WHERE r <= greatest(0, 120 - (SELECT count(*) FROM c0))), "
+    "c2 AS (SELECT id FROM c1 UNION ALL SELECT id FROM (SELECT id, row_number() OVER (ORDER BY cov DESC, id DESC) AS r FROM k WHERE id NOT IN (SELECT id FROM c1)) WHERE r <= greatest(0, 140 - (SELECT count(*) FROM c1)))"
+)
+
+
+@query("diverse_candidates", with_views("v_tract v_sensor", f", {_SCORES}{_CELLS} SELECT id, {R('comp')} AS composite FROM c2 JOIN cs USING (id)"))
 def diverse_candidates(spark, sf_dir):
     return rounded(_pool(spark, sf_dir).select("id", "composite"), "composite")
 

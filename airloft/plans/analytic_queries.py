@@ -213,7 +213,16 @@ def choose_best(spark, sf_dir):
     return rounded(win.choose_best(c, "48000000003"), "r2")
 
 
-@query("spaced_top_k")
+_CLOSE = sql_km("pts.lat", "pts.lon", "x.lat", "x.lon", "3959.0::DOUBLE")
+_GREEDY = (
+    "rec AS (SELECT CAST(0 AS BIGINT) AS r, CAST([] AS STRUCT(id VARCHAR, lat DOUBLE, lon DOUBLE, s DOUBLE)[]) AS p UNION ALL "
+    f"SELECT pts.r, CASE WHEN len(p) < 25 AND len(list_filter(p, lambda x: {_CLOSE} < 8)) = 0 THEN list_append(p, {{'id': pts.id, 'lat': pts.lat, 'lon': pts.lon, 's': pts.s}}) ELSE p END "
+    "FROM rec JOIN pts ON pts.r = rec.r + 1 WHERE len(p) < 25), "
+    "top AS (SELECT arg_max(p, r) AS p FROM rec), picks AS (SELECT unnest(p) AS x, CAST(generate_subscripts(p, 1) AS INT) AS pick FROM top)"
+)
+
+
+@query("spaced_top_k", with_views("v_tract", f", pts AS (SELECT GEOID AS id, lat, lon, ejf AS s, row_number() OVER (ORDER BY ejf DESC, GEOID) AS r FROM v_tract), {_GREEDY} SELECT x.id AS id, x.lat AS lat, x.lon AS lon, {R('x.s')} AS ejf, pick FROM picks").replace("WITH", "WITH RECURSIVE", 1))
 def spaced_top_k(spark, sf_dir):
     t = v_tract(spark, sf_dir).select(F.col("GEOID").alias("id"), "lat", "lon", "ejf")
     return rounded(win.spaced_top_k(t, "ejf", 25, 8.0), "ejf")
@@ -457,7 +466,10 @@ def spacing_objective(spark, sf_dir):
     return rounded(pl.spacing_objective(chosen, scored), "value")
 
 
-@query("select_spaced")
+@query(
+    "select_spaced",
+    with_views("v_tract v_sensor", f", {_SCORES}{_CELLS}, pts AS (SELECT id, lat, lon, comp AS s, row_number() OVER (ORDER BY comp DESC, id) AS r FROM c2 JOIN cs USING (id) JOIN t USING (id)), {_GREEDY} SELECT x.id AS id, {R('x.s')} AS composite, pick FROM picks").replace("WITH", "WITH RECURSIVE", 1),
+)
 def select_spaced(spark, sf_dir):
     scored = pl.placement_scores(*_sites(spark, sf_dir))
     return rounded(pl.select_spaced(pl.diverse_candidates(scored), scored, 25).select("id", "composite", "pick"), "composite")

@@ -311,10 +311,15 @@ def smoke_tier(points: DataFrame, polygons: DataFrame, deg: float = 1.0, boundar
     return points.join(hit, ["id", "date"], "left").withColumn("tier", F.coalesce("tier", F.lit(0)))
 
 
-def entity_day_tier(sensors: DataFrame, polygons: DataFrame) -> DataFrame:
-    """Sparse (id, date, tier > 0) of sensors (id, lat, lon) on the days of the polygons."""
-    days = polygons.select("date").distinct()
-    return smoke_tier(sensors.crossJoin(F.broadcast(days)) if few(days) else sensors.join(days), polygons).where("tier > 0").select("id", "date", "tier")
+def entity_day_tier(sensors: DataFrame, polygons: DataFrame, deg: float = 1.0) -> DataFrame:
+    """Sparse (id, date, tier > 0) of sensors (id, lat, lon) on the days of the polygons.
+
+    Sensors meet the polygons of all days by grid cell; days without a hit are never formed.
+    """
+    keyed = sensors.select("id", "lat", "lon").withColumn("_py", F.floor(F.col("lat") / deg).cast("int")).withColumn("_px", F.floor(F.col("lon") / deg).cast("int"))
+    met = keyed.join(polygon_cells(polygons.select("date", "tier", "rings"), deg), ["_py", "_px"])
+    near = met.where(F.col("lon").between(F.col("_box.xmin"), F.col("_box.xmax")) & F.col("lat").between(F.col("_box.ymin"), F.col("_box.ymax")))
+    return near.where(contains(F.col("rings"), F.col("lon"), F.col("lat"))).groupBy("id", "date").agg(F.max("tier").alias("tier")).where("tier > 0")
 
 
 def inside_any(points: DataFrame, polygons: DataFrame, boundary: bool = True, deg: float = 1.0) -> DataFrame:

@@ -57,7 +57,7 @@ def within_budget(df: DataFrame, order, cost: str, budget: float, reserve: float
 
 
 def tail_holdout(df: DataFrame, order, frac: float = 0.1, cap: int = 50_000) -> DataFrame:
-    """df with holdout: the last rows in order, a fraction of all and at most cap of them.
+    """df with holdout: the last rows in order (column names), a fraction of all and at most cap of them.
 
     The boundary is found by a bounded top-k, not by ordering all rows in one task.
     """
@@ -65,7 +65,7 @@ def tail_holdout(df: DataFrame, order, frac: float = 0.1, cap: int = 50_000) ->
     k = min(cap, int(n * frac))
     if not k:
         return df.withColumn("holdout", F.lit(False))
-    names = [c if isinstance(c, str) else c._jc.toString() for c in order]
+    names = list(order)
     last = df.orderBy(*[F.desc(c) for c in names]).limit(k).agg(F.min(F.struct(*names)).alias("b")).scalar()
     return df.withColumn("holdout", F.struct(*names) >= last)
 

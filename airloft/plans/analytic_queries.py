@@ -502,7 +502,18 @@ def coverage_by_quartile(spark, sf_dir):
     return rounded(agg.coverage_by_quartile(tracts, _picked(spark, sf_dir), old), "pct", "avg_miles")
 
 
-@query("compare_coverage")
+_COVER_TAIL = _COVER[len(_SITES) :]
+
+
+@query(
+    "compare_coverage",
+    with_views(
+        "v_tract v_sensor",
+        f", {_SCORES}, pts AS (SELECT id, lat, lon, comp AS s, row_number() OVER (ORDER BY comp DESC, id) AS r FROM cs JOIN t USING (id)), {_GREEDY}{_COVER_TAIL}, "
+        f"al2 AS (SELECT * FROM e UNION ALL SELECT x.lat, x.lon FROM picks), d2 AS (SELECT t.id, min({_MI}) AS d1 FROM t, al2 e GROUP BY 1), both_ AS (SELECT 'fixed' AS method, d0, d1 FROM dd UNION ALL SELECT 'spaced', d0.d0, d2.d1 FROM d0 JOIN d2 USING (id)) "
+        "SELECT method, count(*) AS total, count(*) FILTER (WHERE d1 <= 10) AS covered, count(*) FILTER (WHERE d1 <= 10) - count(*) FILTER (WHERE d0 <= 10) AS new_covered FROM both_ GROUP BY 1",
+    ).replace("WITH", "WITH RECURSIVE", 1),
+)
 def compare_coverage(spark, sf_dir):
     tracts, old = _sites(spark, sf_dir)
     best = win.spaced_top_k(pl.placement_scores(tracts, old), "composite", 25)

@@ -26,6 +26,8 @@ RUN, LENGTH, SEQUENCES = (4, 16), 48, 20_000
 #: Slots of the hashed tables: affixes and whole words; letter n-grams.
 WORD_SLOTS, GRAM_SLOTS = 1 << 17, 1 << 15
 AFFIXES = (1, 2, 3, 4)
+#: Text whose features are made at once, and words whose chains run together.
+FEATURE_BYTES, CHAIN_WORDS = 1 << 20, 1_000_000
 BATCH, EPOCHS, RATE, SHRINK = 256, 3, 0.3, 1e-6
 
 
@@ -87,13 +89,30 @@ class Field:
         e = self.emissions(t)
         return chain_posteriors(e, t.first, self.steps)[0]
 
-    def predict(self, t: Texts) -> tuple[np.ndarray, np.ndarray]:
-        """Number of the likeliest language of each text and its mean probability; -1 and 0 without words."""
+    def predict(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Number of the likeliest language of each text and its mean probability; -1 and 0 without words.
+
+        Features are made for small slices of text; the chains of many slices
+        then run together, since a run costs as many steps as its longest text.
+        """
+        found = [(np.full(0, -1), np.zeros(0))]
+        scores, counts = [], []
+        for _, _, t in slices(column, most=FEATURE_BYTES):
+            scores.append(self.emissions(t))
+            counts.append(np.diff(t.first))
+            if sum(map(len, scores)) >= CHAIN_WORDS:
+                found.append(self._languages(np.concatenate(scores), np.concatenate(counts)))
+                scores, counts = [], []
+        if counts:
+            found.append(self._languages(np.concatenate(scores), np.concatenate(counts)))
+        return tuple(np.concatenate(x) for x in zip(*found))
+
+    def _languages(self, e: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(self.labels):
-            return np.full(len(t), -1), np.zeros(len(t))
-        p = self.posteriors(t)
-        counts = np.diff(t.first)
-        total = np.stack([np.bincount(t.owners(), p[:, k], minlength=len(t)) for k in range(p.shape[1])], axis=1)
+            return np.full(len(counts), -1), np.zeros(len(counts))
+        p = chain_posteriors(e, np.concatenate([[0], np.cumsum(counts)]), self.steps)[0]
+        owner = np.repeat(np.arange(len(counts)), counts)
+        total = np.stack([np.bincount(owner, p[:, k], minlength=len(counts)) for k in range(p.shape[1])], axis=1)
         mean = total / np.maximum(counts, 1)[:, None]
         return np.where(counts > 0, mean.argmax(axis=1), -1), np.where(counts > 0, mean.max(axis=1), 0.0)
 
@@ -236,9 +255,7 @@ def identify(docs: DataFrame, field: Field, with_text: bool = True) -> DataFrame
         field = Field(**held.value)
         names = np.array([*field.labels, "und"], dtype=object)
         for batch in batches:
-            found = [field.predict(t) for _, _, t in slices(batch.column(batch.num_columns - 1), most=8 << 20)]
-            k = np.concatenate([x[0] for x in found]) if found else np.zeros(0, np.int64)
-            p = np.concatenate([x[1] for x in found]) if found else np.zeros(0)
+            k, p = field.predict(batch.column(batch.num_columns - 1))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(list(names[k]), pa.string()), pa.array(p.astype(np.float64))], [*batch.schema.names[:-1], "lang_pred", "score"])
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields]

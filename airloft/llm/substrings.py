@@ -30,7 +30,7 @@ MINIMISER = 4
 #: Bytes of packed strings that a bucket should hold.
 BUCKET_BYTES = 16 << 20
 #: Text that is searched for repeats before anything travels.
-PIECE_BYTES = 6 << 20
+PIECE_BYTES = 4 << 20
 #: A run of MINIMISER words is frequent if a piece holds it so often; so many of the most frequent are avoided.
 OFTEN, AVOIDED = 8, 65_536
 #: Removed ranges up to which they are sent to the tasks that hold the texts, 8 bytes each; beyond, texts are shuffled.
@@ -146,8 +146,10 @@ def _piece(t: Texts, ids: np.ndarray, ths: np.ndarray, buckets: int, avoided: np
     joined = np.full(int(begin[-1]), 32, np.uint8)
     total = int(lens.sum())
     shift = np.cumsum(lens) - lens
-    place = np.arange(total) - np.repeat(shift, lens)
-    joined[place + np.repeat(begin[:-1], lens)] = t.data[place + np.repeat(t.starts, lens)]
+    place = np.arange(total, dtype=np.int32)
+    source = place + np.repeat((t.starts - shift).astype(np.int32), lens)
+    place += np.repeat((begin[:-1] - shift).astype(np.int32), lens)
+    joined[place] = t.data[source]
     text = joined.tobytes()
     a, b = begin[at[new]], begin[at[new] + n + WINDOW - 1] - 1
     bucket = (mix(least[new]) % U(buckets)).astype(np.int64)

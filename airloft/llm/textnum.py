@@ -63,8 +63,10 @@ class Texts:
         held = data[inside]
         if lower:
             held = _LOWER[held]
-        place = np.arange(len(held), dtype=np.int64) - np.repeat(at[:-1], lens)
-        values = (held.astype(U) + U(1)) * _powers(int(lens.max(initial=0)) + 1)[place]
+        place = np.arange(len(held), dtype=np.int32)
+        place -= np.repeat(at[:-1].astype(np.int32), lens)
+        values = _powers(int(lens.max(initial=0)) + 1)[place]
+        values *= held.astype(np.uint16) + np.uint16(1)
         self.hashes = mix(np.add.reduceat(values, at[:-1])) if len(lens) else np.zeros(0, U)
 
     def __len__(self) -> int:

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import held_out, shielded, table
@@ -101,8 +101,8 @@ def labelled(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) ->
     """
     marks = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     least = min([r["count"] for r in marks.groupBy("toxic").count().collect()], default=0)
-    order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = marks.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= min(per_class, least)).drop("_k")
+    first = lambda c: marks.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(min(per_class, least))
+    chosen = first(0).union(first(1))
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, ascii_lower, hash_pair, shielded, table
+from .common import BLANKS, ascii_lower, cut, hash_pair, shielded, table
 
 MIN_CHARS = 10
 MIN_DOCS = 2
@@ -42,8 +42,9 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     else:
         once = keyed.groupBy("_h1", "_h2", "_own").agg(F.lit(1).alias("_one"))
         counted = once.groupBy("_h1", "_h2").agg(F.min("_own").alias("_first"), F.count("_one").alias("_n")).where(F.col("_n") >= min_docs)
+    counted = cut(counted.select("_h1", "_h2", "_first"))  # so that the join shuffles both sides and can split a hot key
     dropped = (
-        keyed.join(counted.select("_h1", "_h2", "_first"), ["_h1", "_h2"])
+        keyed.join(counted, ["_h1", "_h2"])
         .where("_own > _first")
         .groupBy("_own", "_t1", "_t2")
         .agg(F.collect_set("_pos").alias("_drop"))
@@ -54,7 +55,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
         based.join(dropped, ["_own", "_t1", "_t2"], "left")
         .withColumn("_lines", F.split(F.coalesce(F.col("text"), F.lit("")), "\n"))
         .withColumn("n_lines", n.cast("long"))
-        .withColumn("n_dropped", F.coalesce(F.size("_drop"), F.lit(0)).cast("long"))
+        .withColumn("n_dropped", F.size("_drop").cast("long"))
         .withColumn("n_dropped", F.when(F.col("_drop").isNull(), F.lit(0).cast("long")).otherwise(F.col("n_dropped")))
     )
     whole = F.coalesce(F.col("text"), F.lit(""))

@@ -1,11 +1,13 @@
 """Benchmark decontamination by spaced-seed hashing.
 
-A mask picks five of eight consecutive tokens; the other three may differ.
-Windows of the benchmark (every position) and of the training texts (every
-second position) are hashed under each mask and joined. With the two masks
-used here any passage of 14 tokens with two substituted tokens still shares a
-hash (checked over all placements). Each hit is then verified: benchmark and
-text are aligned at the hit and compared token by token around it.
+A mask picks four of up to five consecutive tokens. Windows of the benchmark
+and of the training texts at every position meet by the hash of the three
+tokens that all masks start with, and stay if the fourth of any mask agrees.
+With the two masks used here an item of 8 tokens or more, up to a fifth of
+which is substituted, still shares a window (checked over all placements to 24
+tokens; a longer item has ten consecutive tokens with at most two substituted).
+Each hit is then verified: benchmark and text are aligned at the hit and
+compared token by token around it.
 """
 
 from __future__ import annotations
@@ -16,8 +18,9 @@ from pyspark.sql import functions as F
 from .common import cut, hash_pair, if_small, shielded, table
 
 SPAN = 8
-MASKS = ((0, 1, 2, 6, 7), (0, 1, 3, 6, 7))
-STRIDE = 2
+#: All masks start with the same STEM tokens; each has one more.
+MASKS, STEM = ((0, 1, 2, 3), (0, 1, 2, 4)), 3
+STRIDE = 1
 #: Tokens compared on each side of a hit's window.
 REACH = 64
 #: Share of the item's tokens around the hit that must agree, or
@@ -33,16 +36,12 @@ def tokens(text: Column) -> Column:
 
 
 def seeds(token: Column, stride: int) -> Column:
-    """array<struct<p, h>>: window starts and their hashes under each mask; needs SPAN tokens or more."""
-    m = len(MASKS)
-    last = F.floor((F.size(token) - SPAN) / stride).cast("int")
+    """array<struct<p, h, m0, m1>>: window starts, the hash of their stem and the last token of each mask; needs SPAN tokens or more."""
 
-    def seed(i: Column) -> Column:
-        p = F.floor(i / m).cast("int") * stride
-        hashed = [F.xxhash64(F.lit(k), *[F.get(token, p + o) for o in mask]) for k, mask in enumerate(MASKS)]
-        return F.struct(p.alias("p"), F.when(i % m == 0, hashed[0]).otherwise(hashed[1]).alias("h"))
+    def seed(p: Column) -> Column:
+        return F.struct(p.alias("p"), F.xxhash64(F.slice(token, p + 1, STEM)).alias("h"), *[F.get(token, p + mask[-1]).alias(f"m{k}") for k, mask in enumerate(MASKS)])
 
-    return F.transform(F.sequence(F.lit(0), (last + 1) * m - 1), seed)
+    return F.transform(F.sequence(F.lit(0), F.size(token) - (STEM + 1), F.lit(stride)), seed)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -54,12 +53,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = benchmark.where(F.col("text").isNotNull()).select("item_id", tokens(F.col("text")).alias("_it")).where(F.size("_it") >= SPAN)
     items = items.dropDuplicates(["item_id", "_it"])
     probes = items.select("item_id", F.xxhash64("_it").alias("_iv"), F.explode(seeds(F.col("_it"), 1)).alias("s"))
-    probes = cut(probes.select("item_id", "_iv", F.col("s.p").alias("_q"), F.col("s.h").alias("_h")).distinct())
+    probes = cut(probes.select("item_id", "_iv", F.col("s.p").alias("_q"), F.col("s.h").alias("_h"), *[F.col(f"s.m{k}").alias(f"_b{k}") for k in range(len(MASKS))]).distinct())
 
     t1, t2 = hash_pair(F.col("text"))
     based = docs.where(F.col("text").isNotNull()).select(t1.alias("_t1"), t2.alias("_t2"), tokens(F.col("text")).alias("_tok")).where(F.size("_tok") >= SPAN)
-    windows = based.select("_t1", "_t2", F.explode(seeds(F.col("_tok"), STRIDE)).alias("s")).select("_t1", "_t2", F.col("s.p").alias("_p"), F.col("s.h").alias("_h"))
-    met = windows.join(if_small(probes), "_h")
+    windows = based.select("_t1", "_t2", F.explode(seeds(F.col("_tok"), STRIDE)).alias("s")).select("_t1", "_t2", F.col("s.p").alias("_p"), F.col("s.h").alias("_th"), *[F.col(f"s.m{k}").alias(f"_m{k}") for k in range(len(MASKS))])
+    agree = F.expr(" OR ".join(f"_m{k} = _b{k}" for k in range(len(MASKS))))
+    met = windows.join(if_small(probes), (F.col("_th") == F.col("_h")) & agree)
     place = F.floor(F.col("_p") / REACH)
     hits = cut(met.groupBy("_t1", "_t2", "item_id", "_iv", (F.col("_p") - F.col("_q")).alias("_shift"), place.alias("_place")).agg(F.min("_p").alias("_p")))
 

@@ -117,6 +117,28 @@ def test_masks_meet_two_substitutions():
             assert any(not w & set(subs) for w in windows)
 
 
+def test_masks_meet_every_accepted_substitution(spark):
+    import itertools
+
+    for n in range(decontaminate.SPAN, 25):
+        for parity in range(2):
+            at = range((-parity) % decontaminate.STRIDE, n, decontaminate.STRIDE)
+            windows = [sum(1 << p + o for o in m) for m in decontaminate.MASKS for p in at if p + m[-1] < n]
+            for subs in itertools.combinations(range(n), n // 5):
+                gone = sum(1 << i for i in subs)
+                assert any(not w & gone for w in windows)
+    # Items of 8 to 12 tokens behind an even and an odd number of others.
+    items = [(n, [f"i{n}x{k}" for k in range(n)]) for n in range(8, 13)]
+    docs = []
+    for n, words in items:
+        for subs in itertools.chain([()], itertools.combinations(range(n), n // 5)):
+            for lead in (10, 11):
+                docs.append((n * 1000 + len(docs), " ".join(["q"] * lead + [f"z{i}" if i in subs else w for i, w in enumerate(words)] + ["r"] * 7), n))
+    df = spark.createDataFrame(docs, "doc_id long, text string, n int")
+    got = decontaminate.mark_contaminated(df, spark.createDataFrame([(n, " ".join(w)) for n, w in items], "item_id int, text string"))
+    assert got.where("NOT contaminated OR item_id <> n").count() == 0
+
+
 # 2
 
 

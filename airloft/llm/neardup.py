@@ -3,7 +3,9 @@
 Shingles of five words are weighted by tf-idf. A consistent weighted sample of
 a text agrees with that of another with probability equal to their weighted
 Jaccard similarity; samples are banded, texts that share a band are compared,
-and every link is verified on the whole texts.
+and every link is verified on the whole texts. First each text meets a few of a
+band, which links most families of copies; then all texts of a band that are
+not in one class by then are compared with each other, block by block.
 
 The idf of a shingle is the mean idf of its words. Document frequencies are
 counted over all documents in a table of fixed width (hashed words), so they
@@ -31,6 +33,10 @@ IDF_BITS = 18
 LIKELY = 0.6
 #: Texts of a band that are put in order together, and how many before a text it is compared with.
 PART_ROWS, NEIGHBOURS = 256, 2
+#: Texts and bytes of a block; texts of a band that are left over are compared block against block.
+BLOCK_ROWS, BLOCK_BYTES = 256, 4 << 20
+#: Columns of the matrix product that compares two blocks, at once.
+WIDTH = 2048
 
 _RNG = np.random.default_rng(20240229)
 _SALTS = _RNG.integers(1, 2**63, size=(BANDS * ROWS, 3), dtype=np.int64).astype(U) | U(1)
@@ -110,11 +116,12 @@ def samples(h: np.ndarray, own: np.ndarray, weight: np.ndarray, n: int) -> np.nd
 
 
 def sampled(texts: DataFrame, idf) -> DataFrame:
-    """(node, id, bands array<long>, sig binary) of rows (node, id, text) that have a word."""
+    """(node, id, bands array<long>, sig binary, size) of rows (node, id, text) that have a word."""
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table_ = idf.value
         for batch in batches:
+            lengths = np.diff(raw(batch.column(2))[1])
             for i, j, t in slices(batch.column(2), lower=True):
                 s = samples(*weighted_shingles(t, table_), len(t))
                 bands = np.zeros((len(t), BANDS), U)
@@ -133,11 +140,12 @@ def sampled(texts: DataFrame, idf) -> DataFrame:
                         part.column(1),
                         pa.array(list(bands[keep].view(np.int64)), pa.list_(pa.int64())),
                         pa.array([row.tobytes() for row in short[keep]], pa.binary()),
+                        pa.array(lengths[i:j][keep], pa.int64()),
                     ],
-                    ["node", "id", "bands", "sig"],
+                    ["node", "id", "bands", "sig", "size"],
                 )
 
-    return texts.select("node", "id", "text").mapInArrow(sample, "node binary, id long, bands array<long>, sig binary")
+    return texts.select("node", "id", "text").mapInArrow(sample, "node binary, id long, bands array<long>, sig binary, size long")
 
 
 def _agreement(a: str, b: str):
@@ -160,7 +168,8 @@ def candidate_pairs(nodes: DataFrame) -> DataFrame:
     of its bands: among copies of one text that is mostly the original. So
     pairs grow with the number of texts, not with the square of a band's
     size; huge bands are cut into parts for the neighbours, and their join
-    with the heads is a plain shuffled one that AQE can split.
+    with the heads is a plain shuffled one that AQE can split. Pairs that this
+    leaves out are compared by links_within_bands.
     """
     banded = nodes.select("node", F.posexplode("bands").alias("i", "band"), "bands")
     banded = banded.select("node", "band", F.get("bands", F.pmod(F.col("i") + 1, F.lit(BANDS))).alias("near"))
@@ -216,6 +225,94 @@ def verified(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, idf, similar:
     return joined.select("a", "b", "ta", "tb").mapInArrow(check, "a binary, b binary").distinct()
 
 
+def block_links(node: list[bytes], root: np.ndarray, rest: np.ndarray, t: Texts, idf: np.ndarray, similar: float) -> list[tuple[bytes, bytes]]:
+    """Pairs that join what is similar among texts: those of `rest` against all, by exact weighted Jaccard similarity.
+
+    With equal roots (numbers) counted as joined, the pairs connect all that
+    the similar pairs connect, and are fewer than the texts. The least of two
+    weights is a sum over levels of weight that both reach, so the shared
+    weights of all pairs are one product of matrices.
+    """
+    n, wanted = len(node), np.flatnonzero(rest)
+    h, own, weight = weighted_shingles(t, idf)
+    weight = weight.astype(np.float64)
+    total = np.bincount(own, weight, minlength=n)
+    order = np.lexsort((weight, h))
+    h, own, weight = h[order], own[order], weight[order]
+    start = np.concatenate([[True], h[1:] != h[:-1]]) if len(h) else np.zeros(0, bool)
+    shared = np.bincount(np.cumsum(start) - 1)[np.cumsum(start) - 1] > 1 if len(h) else start
+    h, own, weight, start = h[shared], own[shared], weight[shared], start[shared]
+    common = np.zeros((len(wanted), n))
+    if len(h):
+        step = weight - np.where(start, 0, np.concatenate([[0], weight[:-1]]))
+        level = start | (step > 1e-4 * weight)
+        column = np.cumsum(level) - 1
+        first = column[np.flatnonzero(start)][np.cumsum(start) - 1]
+        height, reach = np.sqrt(step[level]), column - first + 1
+        at = np.repeat(first, reach) + np.arange(reach.sum()) - np.repeat(np.cumsum(reach) - reach, reach)
+        who = np.repeat(own, reach)
+        order = np.argsort(at, kind="stable")
+        at, who = at[order], who[order]
+        for lo in range(0, len(height), WIDTH):
+            a, b = np.searchsorted(at, (lo, lo + WIDTH))
+            x = np.zeros((n, min(WIDTH, len(height) - lo)))
+            x[who[a:b], at[a:b] - lo] = height[at[a:b]]
+            common += x[wanted] @ x.T
+    alike = np.zeros((n, n), bool)
+    alike[wanted] = common >= (similar - 1e-9) * (total[wanted][:, None] + total - common)
+    alike |= alike.T
+    same = root[:, None] == root
+    links, seen = [], np.zeros(n, bool)
+    for begin in range(n):
+        stack = [] if seen[begin] else [begin]
+        seen[begin] = True
+        while stack:
+            i = stack.pop()
+            new = np.flatnonzero((alike[i] | same[i]) & ~seen)
+            seen[new] = True
+            stack += new.tolist()
+            links += [(node[i], node[j]) for j in new if not same[i, j]]
+    return links
+
+
+def links_within_bands(nodes: DataFrame, roots: DataFrame, texts: DataFrame, idf, similar: float) -> DataFrame:
+    """Pairs (a, b) that link classes (node, root) whose texts share a band: no pair of texts of different classes in a band is left out.
+
+    Bands up to NEIGHBOURS + 1 texts have been compared in full, and those of
+    one class need nothing. In any other, the texts of its largest class and
+    the rest are dealt to blocks of bounded size; blocks of the rest meet all
+    blocks. So a family of copies that is one class but for a few texts costs
+    in proportion, while one of unlike texts is compared in full.
+    """
+    banded = nodes.select("node", "size", F.explode("bands").alias("band"))
+    sizes = cut(banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > NEIGHBOURS + 1))
+    members = banded.join(sizes.select("band"), "band").join(roots, "node", "left").select("band", "node", "size", F.coalesce("root", "node").alias("root"))
+    each = [F.bit_xor(h).alias(f"x{i}") for i, h in enumerate((F.xxhash64("node"), F.xxhash64(F.lit(7), "node")))]
+    kinds = members.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"), *each)
+    bands = kinds.groupBy("band").agg(F.max(F.struct("n", "root", "bytes")).alias("most"), F.count(F.lit(1)).alias("roots"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), *[F.bit_xor(f"x{i}").alias(f"x{i}") for i in range(2)])
+    # Bands of the same texts are compared once.
+    bands = cut(bands.where("roots > 1").groupBy("n", "x0", "x1").agg(F.min(F.struct("band", "most", "bytes")).alias("b")).select("n", "b.*"))
+    parts = lambda n, size: F.ceil(F.greatest(n / BLOCK_ROWS, size / BLOCK_BYTES, F.lit(1e-9))).cast("long")
+    one = (F.col("n") <= BLOCK_ROWS) & (F.col("bytes") <= BLOCK_BYTES)
+    rest = parts(F.col("n") - F.col("most.n"), F.col("bytes") - F.col("most.bytes"))
+    bands = bands.select("band", F.col("most.root").alias("main"), F.when(one, 1).otherwise(rest).alias("others"), F.when(one, 0).otherwise(parts(F.col("most.n"), F.col("most.bytes"))).alias("mains"))
+    dealt = members.select("band", "node", "root").join(bands, "band").withColumn("rest", F.col("root") != F.col("main"))
+    dealt = dealt.withColumn("block", F.when(F.col("mains") == 0, 0).when(F.col("rest"), F.pmod(F.xxhash64("node"), F.greatest("others", F.lit(1)))).otherwise(F.col("others") + F.pmod(F.xxhash64("node"), F.greatest("mains", F.lit(1)))))
+    met = dealt.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("rest"), F.col("others") + F.col("mains")).otherwise(F.col("others")) - 1))).where("mains = 0 OR block <> with")
+    met = cut(met.select("band", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"), "node", "root", "rest"))
+    wanted = cut(met.select("node").distinct().join(nodes.select("node", "id"), "node"))
+    held = texts.alias("t").join(if_small(wanted, 150_000).alias("w"), F.expr("t.node = w.node AND t.id <=> w.id"), "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+
+    def link(block: pa.Table) -> pa.Table:
+        node = block["node"].to_pylist()
+        _, root = np.unique(np.array([r.hex() for r in block["root"].to_pylist()]), return_inverse=True)
+        t = next(slices(block["text"], True, 1 << 62))[2]
+        found = block_links(node, root, np.array(block["rest"].to_pylist(), bool), t, idf.value, similar)
+        return pa.table({"a": pa.array([a for a, _ in found], pa.binary()), "b": pa.array([b for _, b in found], pa.binary())})
+
+    return met.join(held, "node").groupBy("band", "lo", "hi").applyInArrow(link, "a binary, b binary")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every end of edges (a, b); the root is the smallest node of the component.
 
@@ -249,7 +346,7 @@ def near_duplicate_classes(docs: DataFrame, similar: float = SIMILAR) -> DataFra
     based = docs.select(F.col("doc_id"), F.col("doc_id").cast("long").alias("id"), "text", F.unhex(F.md5("text")).alias("node"))
     texts = based.where(F.col("text").isNotNull())
     idf = spark.sparkContext.broadcast(idf_table(texts))
-    nodes = cut(sampled(texts, idf).groupBy("node").agg(F.min("id").alias("id"), F.first("bands").alias("bands"), F.first("sig").alias("sig")))
+    nodes = cut(sampled(texts, idf).groupBy("node").agg(F.min("id").alias("id"), F.first("bands").alias("bands"), F.first("sig").alias("sig"), F.first("size").alias("size")))
 
     pairs = cut(candidate_pairs(nodes))
     ends = pairs.select(F.col("a").alias("n"), "a", "b", "alike").union(pairs.select(F.col("b").alias("n"), "a", "b", "alike"))
@@ -262,7 +359,8 @@ def near_duplicate_classes(docs: DataFrame, similar: float = SIMILAR) -> DataFra
     across = pairs.join(ra, "a", "left").join(rb, "b", "left").select("a", "b", F.coalesce("ra", "a").alias("ra"), F.coalesce("rb", "b").alias("rb")).where("ra <> rb")
     across = cut(across.join(best.withColumn("tried", F.lit(True)), ["a", "b"], "left_anti"))
     more = verified(across.select("a", "b"), texts, nodes, idf, similar)
-    joined = components(cut(first.union(more)))
+    within = links_within_bands(nodes, roots, texts, idf, similar)
+    joined = components(cut(first.union(more).union(within)))
 
     sizes = joined.join(nodes.select("node", "id"), "node").groupBy("root").agg(F.min("id").alias("class"), F.count(F.lit(1)).alias("n"))
     classed = joined.join(sizes, "root").select("node", "class", "n")

@@ -174,6 +174,39 @@ def test_near_duplicate_classes(spark):
     assert kept == set(got.values())
 
 
+def test_pairs_inside_a_template_family(spark):
+    rng = random.Random(13)
+    form, rows = prose(rng, 320, 3000).split(), []
+    for k in range(200):  # all share the form, 70 % of their weight; every second has a closer twin
+        own = prose(rng, 10, 100_000).split()
+        rows.append((len(rows), " ".join(form + own)))
+        if k % 2:
+            rows.append((len(rows), " ".join(form + own[:6] + prose(rng, 4, 100_000).split())))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicate_classes(df).collect()}
+    t = next(textnum.slices(pa.array([x for _, x in rows]), True))[2]
+    idf = neardup.idf_table(df)
+    pairs = [(i, j) for i in range(len(rows)) for j in range(i)]
+    alike = []
+    for lo in range(0, len(pairs), 5000):
+        left, right = (next(textnum.slices(pa.array([rows[p[k]][1] for p in pairs[lo : lo + 5000]]), True, 1 << 62))[2] for k in (0, 1))
+        alike.append(neardup.similarities(left, right, idf) >= neardup.SIMILAR)
+    near = [p for p, x in zip(pairs, np.concatenate(alike)) if x]
+    assert 50 < len(near) < 1000
+    assert all(got[i] == got[j] for i, j in near)
+    # Block by block gives what comparing pairs gives.
+    node, root = [str(i).encode() for i in range(len(rows))], np.arange(len(rows))
+    joined = list(range(len(rows)))
+    for a, b in neardup.block_links(node, root, root > 0, t, idf, neardup.SIMILAR):
+        x, y = joined[int(a)], joined[int(b)]
+        joined = [min(x, y) if z in (x, y) else z for z in joined]
+    want = list(range(len(rows)))
+    for i, j in near:
+        x, y = want[i], want[j]
+        want = [min(x, y) if z in (x, y) else z for z in want]
+    assert joined == want
+
+
 def test_weighted_samples_estimate_similarity():
     rng = random.Random(4)
     base = prose(rng, 3000, 100_000).split()

@@ -122,7 +122,7 @@ def evaluate_correction(rows: DataFrame, corr: DataFrame, shrink: float = 1.0, c
     out = rows.join(corr, "id", "left").withColumn("_c", c).withColumn("_h", F.greatest(F.lit(0.0), F.col("p") + F.col("_c")))
     err, n = F.col("_h") - F.col("y"), F.count(F.lit(1))
     spread = F.sum(F.col("y") * F.col("y")) - F.sum("y") * F.sum("y") / n
-    rho = F.when(F.stddev_pop("_c") > 1e-9, F.corr("p", "_c")).otherwise(0.0)
+    rho = F.when(F.stddev_pop("_c") > 1e-9, F.try_divide(F.covar_pop("p", "_c"), F.stddev_pop("p") * F.stddev_pop("_c"))).otherwise(0.0)
     return out.agg(
         (1 - F.sum(err * err) / spread).alias("r2"), F.sqrt(F.avg(err * err)).alias("rmse"), F.avg(F.abs(err)).alias("mae"),
         F.stddev_pop("_c").alias("corr_std"), F.min("_c").alias("corr_min"), F.max("_c").alias("corr_max"), rho.alias("rho"),
@@ -147,12 +147,18 @@ def correction(targets: DataFrame, sensors: DataFrame, config: dict, feats=("lat
 
 
 def search_corrections(rows: DataFrame, sensors: DataFrame, configs=STRATEGIES, feats=("lat", "lon")) -> DataFrame:
-    """(name, config, r2, ...) of each strategy, each sensor corrected from the others."""
+    """(name, config, r2, ...) of each strategy, each sensor corrected from the others.
+
+    Strategies that differ only in shrinking and cap share one correction.
+    """
     import json
 
-    out = None
+    out, made = None, {}
     for i, config in enumerate(configs):
-        found = correction(sensors, sensors, config, feats, exclude_self=True)
+        kind = tuple(sorted((k, v) for k, v in config.items() if k not in ("shrink", "cap")))
+        if kind not in made:
+            made[kind] = correction(sensors, sensors, config, feats, exclude_self=True)
+        found = made[kind]
         one = evaluate_correction(rows, found, config.get("shrink", 1.0), config.get("cap"))
         one = one.withColumn("name", F.lit(f"{config['kind']}-{i}")).withColumn("config", F.lit(json.dumps(config)))
         out = one if out is None else out.unionByName(one)

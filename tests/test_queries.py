@@ -47,3 +47,19 @@ def test_entry(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).count() == 4
+
+
+def test_deploy_gate_searches_all_strategies(spark, monkeypatch):
+    from airloft.operators import interpolate
+    from airloft.plans import analytic_queries
+
+    searched, search = [], interpolate.search_corrections
+
+    def recorded(*args, **kwargs):
+        searched.append(search(*args, **kwargs))
+        return searched[0]
+
+    monkeypatch.setattr(analytic_queries.itp, "search_corrections", recorded)
+    assert analytic_queries.deploy_gate(spark, SF).count() == 1
+    names = {r["name"] for r in searched[0].select("name").collect()}
+    assert names == {f"{c['kind']}-{i}" for i, c in enumerate(interpolate.STRATEGIES)}

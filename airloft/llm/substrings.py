@@ -5,12 +5,14 @@ least hash of their runs of 4 words) travel as one packed string to the bucket
 of that minimiser, where windows are sorted; equal windows meet there, and all
 but the earliest are marked. Words under a marked window are removed.
 
-Two things keep buckets even. Windows that repeat within one slice of a task's
-input are marked there, so a passage found everywhere sends one string a slice.
-And runs of words that are frequent in slices are avoided as minimisers (a
-window that has no other goes by its own hash), so the windows that straddle
-such a passage go to the buckets of their rare neighbours. The list of frequent
-runs decides only where windows meet, never which are equal.
+Three things keep buckets even. Windows that repeat within one slice of a
+task's input are marked there, so a passage found everywhere sends one string a
+slice. Runs of words that are frequent in slices are avoided as minimisers, so
+the windows that straddle such a passage go to the buckets of their rare
+neighbours. And a window that has no other run goes by its own hash to one of
+several salted buckets, whose survivors meet in a second round: with s slices
+either round brings together about the root of s strings of one window. The list
+of frequent runs decides only where windows meet, never which are equal.
 """
 
 from __future__ import annotations
@@ -19,24 +21,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, shielded, table
-from .textnum import U, Texts, grams, mix, slices
+from .textnum import U, Texts, grams, joined_words, mix, slices
 
 WINDOW = 20
 MINIMISER = 4
-#: Bytes of packed strings that a bucket should hold.
-BUCKET_BYTES = 16 << 20
+#: Bytes of packed strings that a bucket should hold, and a shuffled partition; partitions at most, which then hold more buckets.
+BUCKET_BYTES, PARTITION_BYTES, PARTITIONS = 8 << 20, 24 << 20, 50_000
 #: Text that is searched for repeats before anything travels.
 PIECE_BYTES = 4 << 20
 #: A run of MINIMISER words is frequent if a piece holds it so often; so many of the most frequent are avoided.
 OFTEN, AVOIDED = 8, 65_536
-#: Removed ranges up to which they are sent to the tasks that hold the texts, 8 bytes each; beyond, texts are shuffled.
-RANGES_SENT = 4_000_000
+#: Level of zstd for packed strings, which are most of what is shuffled.
+LEVEL = 6
 _TOP = U(1 << 63)
 _FORM = "bucket long, size long, blob binary"
+#: Ranges have bucket -1; strings that go on to a second round have theirs.
+_FOUND = "bucket long, id long, th long, start long, n long, size long, blob binary"
 
 
 def _frequent(texts: DataFrame) -> np.ndarray:
@@ -76,7 +81,7 @@ def _equal_before(words: np.ndarray, at: np.ndarray, h: np.ndarray) -> np.ndarra
 
 def _packed(bucket: int, did: np.ndarray, th: np.ndarray, pos: np.ndarray, lens: np.ndarray, strings: bytes) -> tuple[int, int, bytes]:
     blob = b"".join([np.array([len(did)], np.int64).tobytes(), did.tobytes(), th.tobytes(), pos.astype(np.int64).tobytes(), lens.astype(np.int64).tobytes(), strings])
-    return bucket, len(blob), pa.compress(blob, codec="zstd", asbytes=True)
+    return bucket, len(blob), pa.Codec("zstd", compression_level=LEVEL).compress(blob, asbytes=True)
 
 
 def _unpacked(size: int, blob: bytes):
@@ -91,27 +96,28 @@ def _runs(did: np.ndarray, th: np.ndarray, pos: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], (did[1:] != did[:-1]) | (th[1:] != th[:-1]) | (pos[1:] != pos[:-1] + 1)])) if len(did) else np.zeros(0, np.int64)
 
 
-def _scatter(texts: DataFrame, buckets: int, avoid) -> DataFrame:
-    """Packed super-k-mers by bucket, and under negative buckets the ranges already marked."""
+def _scatter(texts: DataFrame, buckets: int, salts: int, avoid) -> DataFrame:
+    """Packed super-k-mers by bucket (those to be salted under -1 - bucket - buckets * salt) and ranges already marked, all as _FOUND."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        avoided = avoid.value
+        avoided, piece = avoid.value, TaskContext.get().partitionId()
         for batch in batches:
             ids = np.asarray(batch.column(0).fill_null(np.iinfo(np.int64).max))
             ths = np.asarray(batch.column(1))
             order = np.lexsort((ths, ids))
             first = np.concatenate([[True], (np.diff(ids[order]) != 0) | (np.diff(ths[order]) != 0)])
-            order = order[first]  # rows alike in id and text count once
+            order = order[first]  # rows alike in id and text count once; those of other batches meet in the buckets
             ids, ths, column = ids[order], ths[order], batch.column(2).take(pa.array(order))
             for i, j, t in slices(column, most=PIECE_BYTES):
-                out = list(_piece(t, ids[i:j], ths[i:j], buckets, avoided))
+                out = list(_piece(t, ids[i:j], ths[i:j], buckets, piece % salts, avoided))
+                piece += 7919
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.int64(), pa.binary()))], ["bucket", "size", "blob"])
 
     return texts.select("id", "th", "text").mapInArrow(send, _FORM)
 
 
-def _piece(t: Texts, ids: np.ndarray, ths: np.ndarray, buckets: int, avoided: np.ndarray):
+def _piece(t: Texts, ids: np.ndarray, ths: np.ndarray, buckets: int, salt: int, avoided: np.ndarray):
     h, own, at = grams(t, WINDOW)
     if not len(h):
         return
@@ -120,7 +126,7 @@ def _piece(t: Texts, ids: np.ndarray, ths: np.ndarray, buckets: int, avoided: np
     if marked.any():
         d, e, p = ids[own[marked]], ths[own[marked]], pos[marked]
         new = _runs(d, e, p)
-        yield _packed(-1 - int(ids[0] % buckets), d[new], e[new], p[new], np.diff(np.append(new, len(d))), b"")
+        yield _packed(int(mix(ths[:1].view(U))[0] % U(buckets)), d[new], e[new], p[new], -np.diff(np.append(new, len(d))), b"")
     w = t.hashes
     small = np.zeros(len(w) - MINIMISER + 1, U)
     for k in range(MINIMISER):
@@ -133,26 +139,19 @@ def _piece(t: Texts, ids: np.ndarray, ths: np.ndarray, buckets: int, avoided: np
     else:
         small &= ~_TOP
     least = _least(small, WINDOW - MINIMISER + 1)[at]
-    least = np.where(least & _TOP != 0, h, least)
+    salted = least & _TOP != 0
+    least = np.where(salted, h, least)
     sent = np.flatnonzero(~marked)
     if not len(sent):
         return
-    least, own, pos, at = least[sent], own[sent], pos[sent], at[sent]
+    least, salted, own, pos, at = least[sent], salted[sent], own[sent], pos[sent], at[sent]
     new = np.flatnonzero(np.concatenate([[True], (least[1:] != least[:-1]) | (own[1:] != own[:-1]) | (at[1:] != at[:-1] + 1)]))
     n = np.diff(np.append(new, len(sent)))
-    # Words joined by one space.
-    lens = t.ends - t.starts
-    begin = np.concatenate([[0], np.cumsum(lens + 1)])
-    joined = np.full(int(begin[-1]), 32, np.uint8)
-    total = int(lens.sum())
-    shift = np.cumsum(lens) - lens
-    place = np.arange(total, dtype=np.int32)
-    source = place + np.repeat((t.starts - shift).astype(np.int32), lens)
-    place += np.repeat((begin[:-1] - shift).astype(np.int32), lens)
-    joined[place] = t.data[source]
-    text = joined.tobytes()
+    data, begin = joined_words(t)
+    text = data.tobytes()
     a, b = begin[at[new]], begin[at[new] + n + WINDOW - 1] - 1
     bucket = (mix(least[new]) % U(buckets)).astype(np.int64)
+    bucket = np.where(salted[new], -1 - bucket - buckets * salt, bucket)
     order = np.argsort(bucket, kind="stable")
     cuts = np.flatnonzero(np.concatenate([[True], np.diff(bucket[order]) != 0]))
     for lo, hi in zip(cuts, np.append(cuts[1:], len(order))):
@@ -161,34 +160,57 @@ def _piece(t: Texts, ids: np.ndarray, ths: np.ndarray, buckets: int, avoided: np
         yield _packed(int(bucket[k[0]]), ids[own[new[k]]], ths[own[new[k]]], pos[new[k]], n[k], strings)
 
 
-def _gather(part: pa.Table) -> pa.Table:
-    """Ranges of marked windows of one bucket: id, th, start, n."""
-    dids, thss, poss, words, lens_ = [], [], [], [], []
-    ranges = []
-    for bucket, size, blob in zip(*(part.column(c).to_pylist() for c in ("bucket", "size", "blob"))):
-        did, th, pos, n, strings = _unpacked(size, blob)
-        if bucket < 0:
-            ranges.append((did, th, pos, n))
-            continue
-        words.extend(t.hashes for _, _, t in slices(pa.array([strings], pa.large_binary()).cast(pa.large_string(), safe=False)))
-        dids.append(did), thss.append(th), poss.append(pos), lens_.append(n)
-    if dids:
-        did, th, pos, n, w = (np.concatenate(x) for x in (dids, thss, poss, lens_, words))
-        base = np.concatenate([[0], np.cumsum(n + WINDOW - 1)])[:-1]  # first word of each string
-        order = np.lexsort((pos, th, did))
-        did, th, pos, n, base = did[order], th[order], pos[order], n[order], base[order]
-        string = np.repeat(np.arange(len(n)), n)
-        step = np.arange(len(string)) - np.repeat(np.cumsum(n) - n, n)
-        at = base[string] + step
-        h = np.zeros(len(at), U)
-        for k in range(WINDOW):
-            h = h * U(0x9E3779B97F4A7C15) + w[at + k]
-        marked = _equal_before(w, at, mix(h))
-        d, e, p = did[string[marked]], th[string[marked]], (pos[string] + step)[marked]
-        new = _runs(d, e, p)
-        ranges.append((d[new], e[new], p[new], np.diff(np.append(new, len(d)))))
-    columns = [np.concatenate(x) for x in zip(*ranges)] if ranges else [np.zeros(0, np.int64)] * 4
-    return pa.table(dict(zip(("id", "th", "start", "n"), (pa.array(c, pa.int64()) for c in columns))))
+def _gather(buckets: int):
+    """A function of the packed rows of one bucket: the ranges of marked windows, and of a salted bucket the windows that are left."""
+
+    def settle(part: pa.Table) -> pa.Table:
+        dids, thss, poss, words, lens, texts = [], [], [], [], [], []
+        found = [(np.zeros(0, np.int64),) * 4]
+        key = part["bucket"][0].as_py()
+        for size, blob in zip(part["size"].to_pylist(), part["blob"].to_pylist()):
+            did, th, pos, n, strings = _unpacked(size, blob)
+            if len(n) and n[0] < 0:
+                found.append((did, th, pos, -n))
+                continue
+            words.extend(t.hashes for _, _, t in slices(pa.array([strings], pa.large_binary()).cast(pa.large_string(), safe=False)))
+            dids.append(did), thss.append(th), poss.append(pos), lens.append(n)
+            if key < 0:
+                texts += strings.split(b" ")
+        left = []
+        if dids:
+            did, th, pos, n, w = (np.concatenate(x) for x in (dids, thss, poss, lens, words))
+            base = np.concatenate([[0], np.cumsum(n + WINDOW - 1)])[:-1]  # first word of each string
+            string = np.repeat(np.arange(len(n)), n)
+            step = np.arange(len(string)) - np.repeat(np.cumsum(n) - n, n)
+            did, th, pos, at = did[string], th[string], pos[string] + step, base[string] + step
+            order = np.lexsort((pos, th, did))
+            did, th, pos, at = did[order], th[order], pos[order], at[order]
+            # The same window of a row that occurs in several slices is judged once.
+            once = np.concatenate([[True], (did[1:] != did[:-1]) | (th[1:] != th[:-1]) | (pos[1:] != pos[:-1])])
+            did, th, pos, at = did[once], th[once], pos[once], at[once]
+            h = np.zeros(len(at), U)
+            for k in range(WINDOW):
+                h = h * U(0x9E3779B97F4A7C15) + w[at + k]
+            marked = _equal_before(w, at, mix(h))
+            d, e, p = did[marked], th[marked], pos[marked]
+            new = _runs(d, e, p)
+            found.append((d[new], e[new], p[new], np.diff(np.append(new, len(d)))))
+            if key < 0:
+                rest = np.flatnonzero(~marked)
+                strings = b" ".join([b" ".join(texts[a : a + WINDOW]) for a in at[rest].tolist()])
+                left.append(_packed((-1 - key) % buckets, did[rest], th[rest], pos[rest], np.ones(len(rest), np.int64), strings))
+        did, th, pos, n = (np.concatenate(x) for x in zip(*found))
+        none = [None] * len(did)
+        return pa.table(
+            {
+                "bucket": pa.array([-1] * len(did) + [x[0] for x in left], pa.int64()),
+                **{c: pa.array(x.tolist() + [None] * len(left), pa.int64()) for c, x in zip(("id", "th", "start", "n"), (did, th, pos, n))},
+                "size": pa.array(none + [x[1] for x in left], pa.int64()),
+                "blob": pa.array(none + [x[2] for x in left], pa.binary()),
+            }
+        )
+
+    return settle
 
 
 def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,23 +218,20 @@ def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = batch.schema.names
         starts, counts = batch.column(names.index("starts")), batch.column(names.index("counts"))
         for i, j, t in slices(batch.column(names.index("text"))):
-            delta = np.zeros(len(t.hashes) + 1, np.int64)
-            for k in range(i, j):
-                if starts[k].is_valid:
-                    s = np.asarray(starts[k].values) + t.first[k - i]
-                    np.add.at(delta, s, 1)
-                    np.add.at(delta, s + np.asarray(counts[k].values) + WINDOW - 1, -1)
-            kept = np.cumsum(delta)[:-1] == 0
-            text = t.data.tobytes()
-            a, b, ok = t.starts.tolist(), t.ends.tolist(), kept.tolist()
-            texts, removed = [], []
-            for k in range(j - i):
-                f, g = int(t.first[k]), int(t.first[k + 1])
-                texts.append(b" ".join([text[a[x] : b[x]] for x in range(f, g) if ok[x]]).decode())
-                removed.append(g - f - int(kept[f:g].sum()))
+            s, c = starts.slice(i, j - i), counts.slice(i, j - i)
+            row = np.repeat(np.arange(j - i), np.asarray(s.fill_null([]).value_lengths()))
+            begin = np.asarray(s.flatten()) + t.first[row]
+            delta = np.bincount(begin, minlength=len(t.hashes) + 1) - np.bincount(begin + np.asarray(c.flatten()) + WINDOW - 1, minlength=len(t.hashes) + 1)
+            kept = np.cumsum(delta)[: len(t.hashes)] == 0
+            upto = np.concatenate([[0], np.cumsum(kept)])[t.first]
+            data, at = joined_words(t, kept)
+            lo, hi = at[upto[:-1]], np.maximum(at[upto[1:]] - 1, at[upto[:-1]])  # no space after the last word
+            text = data.tobytes()
+            texts = [text[a:b].decode() for a, b in zip(lo.tolist(), hi.tolist())]
+            total = np.diff(t.first)
             part = batch.slice(i, j - i)
             yield pa.RecordBatch.from_arrays(
-                [*(part.column(k) for k, c in enumerate(names) if c not in ("starts", "counts")), pa.array(np.diff(t.first), pa.int64()), pa.array(removed, pa.int64()), pa.array(texts, pa.string())],
+                [*(part.column(k) for k, c in enumerate(names) if c not in ("starts", "counts")), pa.array(total, pa.int64()), pa.array(total - np.diff(upto), pa.int64()), pa.array(texts, pa.string())],
                 [*(c for c in names if c not in ("starts", "counts")), "n_words", "n_removed", "kept_text"],
             )
 
@@ -221,10 +240,16 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     """(id, th, starts, counts): by text (doc_id, hash of the text) the runs of windows that start earlier elsewhere."""
     spark = docs.sparkSession
     texts = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("th"), "text")
-    held = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
-    buckets = max(8, -(-int(held) * 7 // 2 // BUCKET_BYTES))
+    held = int(texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]) * 7 // 2
+    buckets = max(8, -(-held // BUCKET_BYTES))
+    partitions = min(PARTITIONS, max(8, -(-held // PARTITION_BYTES)))
+    salts = max(1, round((held / PIECE_BYTES) ** 0.5))
     avoid = spark.sparkContext.broadcast(_frequent(texts))
-    ranges = _scatter(texts, buckets, avoid).groupBy("bucket").applyInArrow(_gather, "id long, th long, start long, n long")
+    sent = _scatter(texts, buckets, salts, avoid).repartition(partitions, "bucket")
+    # Both rounds' rows are few beside the strings; the written table serves the second round and the ranges.
+    first = cut(sent.groupBy("bucket").applyInArrow(_gather(buckets), _FOUND))
+    second = first.where("blob IS NOT NULL").select("bucket", "size", "blob").groupBy("bucket").applyInArrow(_gather(buckets), _FOUND)
+    ranges = first.where("blob IS NULL").select("id", "th", "start", "n").union(second.select("id", "th", "start", "n"))
     return ranges.groupBy("id", "th").agg(F.collect_list(F.struct("start", "n")).alias("r")).select("id", "th", F.col("r.start").alias("starts"), F.col("r.n").alias("counts"))
 
 
@@ -237,11 +262,11 @@ def strip_repeats(docs: DataFrame) -> DataFrame:
     document before. Windows are judged on the input. Null text has no words.
     Null doc_ids come last; rows of one doc_id with different texts are
     ordered by a hash of the text, rows alike in both are judged once and get
-    one result. Columns of docs with the added names are replaced.
+    one result, whichever partitions they are in. A text of any length is read
+    whole; only its own words and ranges are held with it. Columns of docs with
+    the added names are replaced.
     """
-    ranges = cut(repeated_ranges(docs.select("doc_id", "text")))
-    n = ranges.agg(F.coalesce(F.sum(F.size("starts")), F.lit(0)).alias("n")).first()["n"]
-    ranges = F.broadcast(ranges) if n <= RANGES_SENT else ranges
+    ranges = cut(repeated_ranges(docs.select("doc_id", "text"))).hint("shuffle_hash")
     keyed = docs.withColumn("id", F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))).withColumn("th", F.xxhash64("text"))
     joined = keyed.join(ranges, ["id", "th"], "left").drop("id", "th")
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields]

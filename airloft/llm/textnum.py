@@ -125,3 +125,18 @@ def grams(t: Texts, n: int, short: bool = False) -> tuple[np.ndarray, np.ndarray
             order = np.argsort(own, kind="stable")
             h, own, at = h[order], own[order], at[order]
     return h, own, at
+
+
+def joined_words(t: Texts, keep: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Words (those of `keep`) each followed by a space, as bytes, and where each word begins; the last entry is the end."""
+    starts, lens = t.starts, t.ends - t.starts
+    if keep is not None:
+        starts, lens = starts[keep], lens[keep]
+    begin = np.concatenate([[0], np.cumsum(lens + 1)])
+    out = np.full(int(begin[-1]), 32, np.uint8)
+    shift = np.cumsum(lens) - lens
+    place = np.arange(int(lens.sum()), dtype=np.int64)
+    source = place + np.repeat(starts - shift, lens)
+    place += np.repeat(begin[:-1] - shift, lens)
+    out[place] = t.data[source]
+    return out, begin

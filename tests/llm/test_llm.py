@@ -376,6 +376,23 @@ def test_substring_dedup_equals_brute_force(spark, monkeypatch):
     assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_text"]) for r in got} == strip(docs)
 
 
+def test_substring_dedup_of_repeated_rows(spark, monkeypatch):
+    rng = random.Random(81)
+    once, twice, shared = prose(rng, 60, 5000), prose(rng, 90, 5000), prose(rng, 70, 5000)
+    rows = [(1, once), (1, once), (2, twice), (2, twice + " more"), (3, shared + " " + prose(rng, 30)), (None, shared), (None, shared), (None, twice + " x"), (9, "ab " * 90), (9, "ab " * 90)]
+    want = None
+    monkeypatch.setattr(substrings, "OFTEN", 2)  # so that some windows are salted
+    monkeypatch.setattr(substrings, "PIECE_BYTES", 700)
+    for parts in (1, 2, 5, 10):
+        df = spark.createDataFrame(spark.sparkContext.parallelize(rows, parts), "doc_id long, text string")
+        got = sorted((str(r["doc_id"]), r["text"], r["n_words"], r["n_removed"], r["kept_text"]) for r in substrings.strip_repeats(df).collect())
+        want = want or got
+        assert got == want
+    removed = [(d, r) for d, _, _, r, _ in want]
+    assert removed.count(("1", 0)) == 2 and removed.count(("None", 70)) == 2 and ("None", 90) in removed and removed.count(("9", 89)) == 2
+    assert sorted(r for d, r in removed if d == "2") == [0, 90] and ("3", 0) in removed
+
+
 def test_substring_dedup_of_odd_input(spark):
     docs = odd_documents(spark)
     got = substrings.strip_repeats(docs)

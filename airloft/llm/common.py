@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,15 +55,34 @@ def cut(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+        spark.sparkContext.setCheckpointDir(local_folder(spark))
     return df.checkpoint()
 
 
-def if_small(df: DataFrame, rows: int = 500_000) -> DataFrame:
-    """A written df, hinted for broadcast only if it has few rows; else Spark shuffles it."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def local_folder(spark: SparkSession) -> str:
+    """A new temporary folder, in local mode only: on a cluster executors would not see it."""
+    import tempfile
+
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return tempfile.mkdtemp(prefix="spark-")
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder under the session's shared checkpoint folder."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or local_folder(spark)
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+#: Bytes up to which a written table is handed to every task.
+BROADCAST_BYTES = 32 << 20
+
+
+def if_small(df: DataFrame, size: Column | int = 48) -> DataFrame:
+    """A written df, hinted for broadcast only if its rows of `size` bytes are few; else Spark shuffles it."""
+    size = size if isinstance(size, Column) else F.lit(size)
+    held = df.agg(F.coalesce(F.sum(size), F.lit(0)).alias("n")).first()["n"]
+    return F.broadcast(df) if held <= BROADCAST_BYTES else df
 
 
 def shielded(*needed: str):

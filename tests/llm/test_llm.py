@@ -89,6 +89,7 @@ def test_decontamination_finds_substituted_passages(spark):
         n = len(text.split())
         docs.append((i, plant(rng, text, n // 8)))
         expected[i] = i
+    expected[202] = 0  # the whole of a short item
     docs += [(100 + i, prose(rng, 120)) for i in range(20)] + [(200, None), (201, ""), (202, "b1 b2"), (0, docs[0][1])]
     # A text that shares half of an item's words, but never more than a few in place.
     docs.append((300, " ".join(w if i % 2 else "q" for i, w in enumerate(items[3][1].split()))))
@@ -98,6 +99,40 @@ def test_decontamination_finds_substituted_passages(spark):
     assert all(r["overlap"] >= 0.8 for r in got if r["contaminated"])
 
 
+def leaks_by_brute_force(text, item):
+    """The rule itself: of all alignments, 80 % of the item in place, or a segment of 13 at +1 and -4."""
+    for shift in range(1 - len(item), len(text)):
+        same = [0 <= shift + i < len(text) and text[shift + i] == w for i, w in enumerate(item)]
+        run = best = 0
+        for x, i in zip(same, range(len(item))):
+            if 0 <= shift + i < len(text):
+                run = max(0, run + (1 if x else -4))
+                best = max(best, run)
+        if sum(same) >= decontaminate.SIMILAR * len(item) - 1e-9 or best >= decontaminate.SEGMENT:
+            return True
+    return False
+
+
+def test_decontamination_equals_brute_force(spark):
+    rng = random.Random(21)
+    items = {n: [f"i{n}x{rng.randrange(40)}" for _ in range(n)] for n in range(1, 61)}
+    docs = []
+    for n, item in items.items():
+        for lead in (0, 6, 7):
+            for subs in {0, n // 5, n // 5 + 1, n // 5 + 3}:
+                words = list(item)
+                for i in rng.sample(range(n), min(n, subs)):
+                    words[i] = "zz"
+                if rng.random() < 0.3:
+                    words = words[rng.randrange(2) :]
+                docs.append([f"q{rng.randrange(9)}" for _ in range(lead)] + words + ["r"] * rng.choice((0, 3)))
+    df = spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string")
+    got = decontaminate.mark_contaminated(df, spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id long, text string"))
+    found = {r["doc_id"] for r in got.where("contaminated").collect()}
+    want = {i for i, d in enumerate(docs) if any(leaks_by_brute_force(d, item) for item in items.values() if set(item) & set(d))}
+    assert found == want and 100 < len(want) < len(docs)
+
+
 def test_decontamination_of_odd_input(spark):
     docs, none = odd_documents(spark), spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.mark_contaminated(docs, none).where("contaminated").count() == 0

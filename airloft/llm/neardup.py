@@ -8,8 +8,8 @@ band, which links most families of copies; then all texts of a band that are
 not in one class by then are compared with each other, block by block.
 
 The idf of a shingle is the mean idf of its words. Document frequencies are
-counted over all documents in a table of fixed width (hashed words), so they
-can be handed to every task whatever the vocabulary.
+counted over all documents in a table of hashed words, with a slot a document
+up to four million, so they can be handed to every task whatever the vocabulary.
 """
 
 from __future__ import annotations
@@ -27,9 +27,9 @@ from .textnum import SLICE_BYTES, U, Texts, grams, mix, raw, slices
 SHINGLE = 5
 SIMILAR = 0.8
 BANDS, ROWS = 10, 4
-#: Width of the hashed table of document frequencies.
-IDF_BITS = 18
-#: Pairs whose samples agree less than this are not verified: 0.8 less three deviations of the estimate.
+#: Width of the hashed table of document frequencies: a slot a document, within these bounds.
+IDF_BITS, MOST_BITS = 18, 22
+#: Pairs of the first round whose samples agree less than this (0.8 less three deviations of the estimate) are left to links_within_bands.
 LIKELY = 0.6
 #: Texts of a band that are put in order together, and how many before a text it is compared with.
 PART_ROWS, NEIGHBOURS = 256, 2
@@ -43,15 +43,15 @@ _SALTS = _RNG.integers(1, 2**63, size=(BANDS * ROWS, 3), dtype=np.int64).astype(
 _NEGLOG = (-np.log((np.arange(65536) + 0.5) / 65536)).astype(np.float32)
 
 
-def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
-    """Documents per hashed word, and documents with any word; the table has 2 ** IDF_BITS entries, whatever the input."""
-    width = 1 << IDF_BITS
+def document_frequencies(texts: DataFrame, bits: int) -> tuple[np.ndarray, int]:
+    """Documents per hashed word, and documents with any word; the table has 2 ** bits entries."""
+    width = 1 << bits
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros(width + 1, np.int64)
         for batch in batches:
             for _, _, t in slices(batch.column(0), lower=True):
-                pairs = np.unique((t.owners().astype(U) << U(IDF_BITS)) | (t.hashes >> U(64 - IDF_BITS)))
+                pairs = np.unique((t.owners().astype(U) << U(bits)) | (t.hashes >> U(64 - bits)))
                 held[:width] += np.bincount((pairs & U(width - 1)).astype(np.int64), minlength=width)
                 held[width] += np.count_nonzero(np.diff(t.first))
         k = np.flatnonzero(held)
@@ -64,7 +64,8 @@ def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def idf_table(texts: DataFrame) -> np.ndarray:
-    df, n = document_frequencies(texts)
+    bits = min(MOST_BITS, max(IDF_BITS, int(texts.count()).bit_length()))
+    df, n = document_frequencies(texts, bits)
     return (1 + np.log((1 + n) / (1 + df))).astype(np.float32)
 
 
@@ -73,7 +74,7 @@ def weighted_shingles(t: Texts, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray
     h, own, at = grams(t, SHINGLE, short=True)
     if not len(h):
         return h, own, np.zeros(0, np.float32)
-    word = np.concatenate([[0.0], np.cumsum(idf[(t.hashes >> U(64 - IDF_BITS)).astype(np.int64)], dtype=np.float64)])
+    word = np.concatenate([[0.0], np.cumsum(idf[(t.hashes >> U(65 - len(idf).bit_length())).astype(np.int64)], dtype=np.float64)])
     stop = np.minimum(at + SHINGLE, t.first[own + 1])
     weight = (word[stop] - word[at]) / (stop - at)
     order = np.lexsort((h, own)) if len(t) >= 1 << 20 else np.argsort((own.astype(U) << U(44)) | (h >> U(20)), kind="stable")
@@ -220,7 +221,7 @@ def verified(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, idf, similar:
 
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     wanted = cut(ends.join(nodes.select("node", "id"), "node"))
-    held = texts.alias("t").join(if_small(wanted, 150_000).alias("w"), F.expr("t.node = w.node AND t.id <=> w.id"), "left_semi").select("node", "text")
+    held = texts.alias("t").join(if_small(wanted).alias("w"), F.expr("t.node = w.node AND t.id <=> w.id"), "left_semi").select("node", "text")
     joined = pairs.join(held.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(held.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
     return joined.select("a", "b", "ta", "tb").mapInArrow(check, "a binary, b binary").distinct()
 
@@ -278,14 +279,13 @@ def block_links(node: list[bytes], root: np.ndarray, rest: np.ndarray, t: Texts,
 def links_within_bands(nodes: DataFrame, roots: DataFrame, texts: DataFrame, idf, similar: float) -> DataFrame:
     """Pairs (a, b) that link classes (node, root) whose texts share a band: no pair of texts of different classes in a band is left out.
 
-    Bands up to NEIGHBOURS + 1 texts have been compared in full, and those of
-    one class need nothing. In any other, the texts of its largest class and
+    Bands of one class need nothing. In any other, the texts of its largest class and
     the rest are dealt to blocks of bounded size; blocks of the rest meet all
     blocks. So a family of copies that is one class but for a few texts costs
     in proportion, while one of unlike texts is compared in full.
     """
     banded = nodes.select("node", "size", F.explode("bands").alias("band"))
-    sizes = cut(banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > NEIGHBOURS + 1))
+    sizes = cut(banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     members = banded.join(sizes.select("band"), "band").join(roots, "node", "left").select("band", "node", "size", F.coalesce("root", "node").alias("root"))
     each = [F.bit_xor(h).alias(f"x{i}") for i, h in enumerate((F.xxhash64("node"), F.xxhash64(F.lit(7), "node")))]
     kinds = members.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"), *each)
@@ -301,7 +301,7 @@ def links_within_bands(nodes: DataFrame, roots: DataFrame, texts: DataFrame, idf
     met = dealt.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("rest"), F.col("others") + F.col("mains")).otherwise(F.col("others")) - 1))).where("mains = 0 OR block <> with")
     met = cut(met.select("band", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"), "node", "root", "rest"))
     wanted = cut(met.select("node").distinct().join(nodes.select("node", "id"), "node"))
-    held = texts.alias("t").join(if_small(wanted, 150_000).alias("w"), F.expr("t.node = w.node AND t.id <=> w.id"), "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+    held = texts.alias("t").join(if_small(wanted).alias("w"), F.expr("t.node = w.node AND t.id <=> w.id"), "left_semi").groupBy("node").agg(F.first("text").alias("text"))
 
     def link(block: pa.Table) -> pa.Table:
         node = block["node"].to_pylist()
@@ -354,13 +354,8 @@ def near_duplicate_classes(docs: DataFrame, similar: float = SIMILAR) -> DataFra
     first = cut(verified(best, texts, nodes, idf, similar))
     roots = components(first)
 
-    # Links that remain to be checked: those between texts not yet in one class.
-    ra, rb = roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
-    across = pairs.join(ra, "a", "left").join(rb, "b", "left").select("a", "b", F.coalesce("ra", "a").alias("ra"), F.coalesce("rb", "b").alias("rb")).where("ra <> rb")
-    across = cut(across.join(best.withColumn("tried", F.lit(True)), ["a", "b"], "left_anti"))
-    more = verified(across.select("a", "b"), texts, nodes, idf, similar)
     within = links_within_bands(nodes, roots, texts, idf, similar)
-    joined = components(cut(first.union(more).union(within)))
+    joined = components(cut(first.union(within)))
 
     sizes = joined.join(nodes.select("node", "id"), "node").groupBy("root").agg(F.min("id").alias("class"), F.count(F.lit(1)).alias("n"))
     classed = joined.join(sizes, "root").select("node", "class", "n")
@@ -374,7 +369,9 @@ def near_duplicate_classes(docs: DataFrame, similar: float = SIMILAR) -> DataFra
 def keep_one_of_each(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """The rows of docs whose doc_id is the id of their class.
 
-    Rows with null text or id stay; rows alike in id and text stay or go together.
+    Rows with null text or id stay; rows alike in id and text stay or go
+    together, and so do texts with the id of their class. Other columns of docs
+    come through whatever their names.
     """
     classes = near_duplicate_classes(docs.select("doc_id", "text"), similar)
     gone = cut(classes.where("doc_id <> class_id").select(F.col("doc_id").alias("_id"), F.col("node").alias("_node")))

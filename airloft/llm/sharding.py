@@ -10,12 +10,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import crc32, shielded, table
+from .common import crc32, cut, shielded, table
 
 SHARDS = 8
 ROUNDS = 6
-#: Hash buckets in which rows are numbered; the table of their counts has this many rows at most.
-BUCKETS = 1024
+#: Rows of a hash bucket, in which rows are numbered, on average; the table of bucket sizes is broadcast, 24 bytes a bucket.
+BUCKET_ROWS = 1 << 17
+#: Identical rows from which they are dealt over several buckets.
+HOT_ROWS = 1 << 16
 #: Steps of the cycle walk. The domain exceeds n by less than its square root,
 #: so even for small n all steps fit, and for large n the chance of needing so
 #: many is below n ** -60; a row that did would raise an error.
@@ -41,24 +43,35 @@ def permuted(number: Column, n: Column, a: Column, b: Column, seed: int = 17, ro
     return F.when(once < n, once).otherwise(walked)
 
 
-def numbered(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+def numbered(docs: DataFrame, bucket_rows: int = BUCKET_ROWS, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Adds a gapless global row number _row and the row count _n.
 
     The number depends on doc_id and text alone. Rows are ranked within hash
-    buckets; the bucket sizes (at most `buckets` rows, hence the broadcast)
-    give each bucket its first number. No task sees more than a bucket.
+    buckets; the bucket sizes (hence the broadcast) give each bucket its first
+    number. Identical rows beyond hot_rows would fill one bucket; they are
+    numbered after all others, dealt over buckets of their own by where they
+    lie, which does not matter as they are interchangeable.
     """
-    h = F.xxhash64(F.col("doc_id"), F.col("text"))
-    rows = docs.withColumn("_hash", h).withColumn("_bucket", F.pmod(h, F.lit(buckets)).cast("int"))
-    upto = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sizes = rows.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_held"))
-    starts = sizes.select("_bucket", (F.sum("_held").over(upto) - F.col("_held")).alias("_start"), F.sum("_held").over(Window.partitionBy()).alias("_n"))
-    order = Window.partitionBy("_bucket").orderBy("_hash", "doc_id")
+    n = docs.count()
+    buckets, h = max(64, -(-n // bucket_rows)), F.xxhash64(F.col("doc_id"), F.col("text"))
+    hot = [r["h"] for r in docs.groupBy(h.alias("h")).count().where(F.col("count") > hot_rows).select("h").orderBy("h").collect()]  # at most n / hot_rows, of real repeats
+    rows = docs.withColumn("_hash", h).withColumn("_hot", F.lit(-1)).withColumn("_bucket", F.pmod("_hash", F.lit(buckets)))
+    if hot:
+        number = F.create_map(*[F.lit(x) for i, key in enumerate(hot) for x in (key, i)])
+        rows = rows.withColumn("_hot", F.coalesce(F.try_element_at(number, F.col("_hash")), F.lit(-1)))
+        dealt = F.pmod(F.monotonically_increasing_id(), F.lit(buckets))
+        same = cut(rows.where("_hot >= 0").withColumn("_bucket", dealt))
+        rows = rows.where("_hot < 0").unionByName(same)
+    upto = Window.orderBy("_hot", "_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sizes = rows.groupBy("_hot", "_bucket").agg(F.count(F.lit(1)).alias("_held"))
+    starts = sizes.select("_hot", "_bucket", (F.sum("_held").over(upto) - F.col("_held")).alias("_start"))
+    order = Window.partitionBy("_hot", "_bucket").orderBy("_hash", "doc_id")
     return (
         rows.withColumn("_rank", F.row_number().over(order) - 1)
-        .join(F.broadcast(starts), "_bucket")
+        .join(F.broadcast(starts), ["_hot", "_bucket"])
         .withColumn("_row", F.col("_start") + F.col("_rank"))
-        .drop("_hash", "_bucket", "_rank", "_start")
+        .withColumn("_n", F.lit(n).cast("long"))
+        .drop("_hash", "_hot", "_bucket", "_rank", "_start")
     )
 
 
@@ -66,8 +79,9 @@ def numbered(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
 def assign_shards(docs: DataFrame, shards: int = SHARDS, seed: int = 17) -> DataFrame:
     """Adds shard (int) and slot (long) to docs (doc_id, text, ...).
 
-    Null ids and texts are values like others. Identical rows are interchangeable: which of
-    them gets which slot may differ between runs, the set of rows does not.
+    Null ids and texts are values like others. Identical rows are
+    interchangeable: which of them gets which slot may differ between runs, the
+    set of rows does not. Of a long text only its hash is compared.
     """
     side = F.ceil(F.sqrt(F.col("_n").cast("double"))).cast("long")
     rows = numbered(docs).withColumn("_a", side).withColumn("_b", F.ceil(F.col("_n") / F.col("_a")).cast("long"))

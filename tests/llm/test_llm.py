@@ -459,6 +459,25 @@ def test_feistel_is_a_permutation(spark):
         assert sorted(r[0] for r in spark.range(n).select(to).collect()) == list(range(n))
 
 
+def test_sharding_of_hot_rows(spark):
+    rows = [(i, f"t{i}") for i in range(40)] + [(None, None)] * 300 + [(7, "copy")] * 200
+    want = None
+    for parts in (1, 3, 7):
+        df = sharding.numbered(spark.createDataFrame(spark.sparkContext.parallelize(rows, parts), "doc_id long, text string"), 50, 100)
+        got = sorted((r["_row"], str(r["doc_id"]), str(r["text"])) for r in df.collect())
+        want = want or got
+        assert got == want and [r[0] for r in got] == list(range(540))
+
+
+@needs_tables
+def test_sharding_query_equals_brute_force(spark):
+    docs = {r["doc_id"]: (r["text"] or "").encode() for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
+    got = sharding.op7(spark, SF).collect()
+    assert {r["doc_id"]: (r["size"], r["text_crc32"]) for r in got} == {d: (len(t) + 1, zlib.crc32(t)) for d, t in docs.items()}
+    counts = [sorted(r["slot"] for r in got if r["shard"] == k) for k in range(8)]
+    assert all(c == list(range(len(c))) for c in counts) and max(map(len, counts)) - min(map(len, counts)) <= 1
+
+
 def test_sharding_of_odd_input(spark):
     docs = odd_documents(spark)
     got = sharding.assign_shards(docs)

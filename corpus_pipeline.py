@@ -1,71 +1,3 @@
-"""From raw documents to shards of a training mix.
+"""The pipeline from raw documents to shards of a training mix; its stages are in airloft/llm/pipeline.py."""
 
-Stages, each over all rows its predecessor kept: toxic documents go; of each
-near-duplicate class one document stays; documents that contain a benchmark
-passage go; sources are mixed to target weights (a document may then occur up
-to three times, or not at all); rows get a shard and a slot.
-"""
-
-from __future__ import annotations
-
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from airloft.llm import decontaminate, mixing, neardup, sharding, toxicity
-from airloft.llm.common import table
-
-
-def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Learns from the labels of documents and drops those scored 0.3 or more."""
-    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score_toxicity(docs, model).where(F.col("score") < toxicity.CUT).select(docs.columns)
-
-
-def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return neardup.keep_one_of_each(docs)
-
-
-def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontaminate.mark_contaminated(docs, table(spark, sf_dir, "benchmark")).where("NOT contaminated").select(docs.columns)
-
-
-def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
-    return mixing.take_mix(docs, mixing.label_quality(table(spark, sf_dir, "labels")))
-
-
-def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return sharding.assign_shards(docs)
-
-
-STAGES = [
-    ("toxicity", drop_toxic),
-    ("near_dedup", drop_near_duplicates),
-    ("decontamination", drop_contaminated),
-    ("mixing", mix),
-    ("sharding", shard),
-]
-
-#: No SQL: the first two stages are a trained model and hashed samples.
-ORACLE_SQL = None
-
-
-def _folder(spark: SparkSession) -> str:
-    """A new folder under the session's shared checkpoint folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        import tempfile
-
-        base = tempfile.mkdtemp(prefix="spark-")
-    return f"{base.rstrip('/')}/corpus-{uuid.uuid4().hex}"
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each is written as Parquet and read again by the next."""
-    docs, folder = table(spark, sf_dir, "documents"), _folder(spark)
-    for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
-    return docs
+from airloft.llm.pipeline import ORACLE_SQL, STAGES, run  # noqa: F401

@@ -38,32 +38,54 @@ def decode_netpbm(data: bytes) -> np.ndarray:
     kind, at, sizes = int(m[1]), m.end(), []
     for _ in range(2 if kind in (1, 4) else 3):
         n = _NUMBER.match(data, at)
-        if not n:
-            raise ValueError("short header")
+        if not n or len(n[1]) > 10:
+            raise ValueError("bad header")
         sizes.append(int(n[1]))
         at = n.end()
     width, height, most = sizes[0], sizes[1], sizes[2] if len(sizes) > 2 else 1
     if not 0 < most < 65536:
         raise ValueError("bad maximum")
     channels = 3 if kind in (3, 6) else 1
-    count = width * height * channels
+    count, row = width * height * channels, -(-width // 8)
     wide = most > 255
+    # No sample takes less than a bit (packed), a byte, or a digit; so sizes beyond the data are refused before memory is taken.
+    if (row * height if kind == 4 else count * (1 + (wide and kind > 4))) > len(data) - at:
+        raise ValueError("short data")
     if kind == 1:
-        values = np.frombuffer(re.sub(rb"#[^\n\r]*|\s", b"", data[at:]), np.uint8)[:count] - 48
+        digits = re.sub(rb"#[^\n\r]*|\s", b"", data[at:])
+        if digits[:count].strip(b"01"):
+            raise ValueError("bad sample")
+        values = np.frombuffer(digits, np.uint8)[:count] - 48
     elif kind in (2, 3):
-        values = np.array(re.sub(rb"#[^\n\r]*", b"", data[at:]).split()[:count], dtype=np.int64)
+        samples = re.sub(rb"#[^\n\r]*", b"", data[at:]).split()[:count]
+        if not all(x.isdigit() and len(x) <= 10 for x in samples):
+            raise ValueError("bad sample")
+        values = np.array(samples, dtype=np.int64)
     elif kind == 4:
-        row = -(-width // 8)
         packed = np.frombuffer(data, np.uint8, row * height, at + 1).reshape(height, row)
         values = np.unpackbits(packed, axis=1)[:, :width]
     else:
         values = np.frombuffer(data, ">u2" if wide else np.uint8, count, at + 1)
     if values.size != count:
         raise ValueError("short data")
+    if values.size and values.max() > most:
+        raise ValueError("sample beyond the maximum")
     shape = (height, width, 3) if channels == 3 else (height, width)
     return values.reshape(shape).astype(np.uint16 if wide else np.uint8)
 
 
+def maximum(data: bytes) -> int:
+    """The sample value that stands for full brightness."""
+    m = _HEAD.match(data)
+    if not m or m[1] in b"14":
+        return 1 if m else 255
+    at = m.end()
+    for _ in range(3):
+        n = _NUMBER.match(data, at)
+        at = n.end()
+    return int(n[1])
+
+
 def decode_bmp(data: bytes) -> np.ndarray:
     """Uncompressed BMP of 1, 4, 8, 24 or 32 bits as uint8: (height, width) if its palette is grey, else (height, width, 3)."""
     if data[:2] != b"BM" or len(data) < 54:
@@ -71,10 +93,11 @@ def decode_bmp(data: bytes) -> np.ndarray:
     number = lambda at, n=4, signed=False: int.from_bytes(data[at : at + n], "little", signed=signed)
     start, head, width, height = number(10), number(14), number(18, signed=True), number(22, signed=True)
     bits, packing, colours = number(28, 2), number(30), number(46)
-    if packing not in (0, 3) or bits not in (1, 4, 8, 24, 32) or width <= 0 or not height:
+    plain_masks = bits == 32 and data[54:66] == b"".join((255 << k).to_bytes(4, "little") for k in (16, 8, 0))
+    if not (packing == 0 or packing == 3 and plain_masks) or bits not in (1, 4, 8, 24, 32) or width <= 0 or not height or head < 40:
         raise ValueError("unsupported BMP")
     stride, rows = (width * bits + 31) // 32 * 4, abs(height)
-    if len(data) < start + stride * rows:
+    if start < 54 or len(data) < start + stride * rows or bits <= 8 and not 0 <= colours <= 1 << bits:
         raise ValueError("short data")
     raw = np.frombuffer(data, np.uint8, stride * rows, start).reshape(rows, stride)
     if height > 0:
@@ -88,7 +111,12 @@ def decode_bmp(data: bytes) -> np.ndarray:
     else:
         index = raw[:, :width]
     palette = np.zeros((256, 3), np.uint8)
-    held = np.frombuffer(data, np.uint8, 4 * (colours or 1 << bits), 14 + head).reshape(-1, 4)[:256, 2::-1]
+    listed = 4 * (colours or 1 << bits)
+    if 14 + head + listed > len(data):
+        raise ValueError("short palette")
+    held = np.frombuffer(data, np.uint8, listed, 14 + head).reshape(-1, 4)[:, 2::-1]
+    if index.size and index.max() >= len(held):
+        raise ValueError("colour beyond the palette")
     palette[: len(held)] = held
     return palette[index, 0] if (held[:, 0] == held[:, 1]).all() and (held[:, 1] == held[:, 2]).all() else palette[index]
 
@@ -116,23 +144,39 @@ def encode_bmp(image: np.ndarray) -> bytes:
     return head + word(0, pixels.size, 2835, 2835, 256, 0) + palette.tobytes() + pixels.tobytes()
 
 
-def resize_area(image: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Mean of the (fractional) area under each new pixel, by an integral image; float64."""
-    planes = image.astype(np.float64)
-    h, w = planes.shape[:2]
-    total = np.zeros((h + 1, w + 1, *planes.shape[2:]))
-    total[1:, 1:] = planes.cumsum(0).cumsum(1)
+#: Samples whose integrals are held at once; taller images are read in strips.
+STRIP = 1 << 20
 
-    def along(values: np.ndarray, n: int, m: int) -> np.ndarray:
-        x = np.arange(m + 1) * (n / m)
-        lo = np.minimum(x.astype(np.int64), n - 1)
-        part = (x - lo).reshape(-1, *[1] * (values.ndim - 1))
-        return values[lo] * (1 - part) + values[lo + 1] * part
 
-    corner = along(np.swapaxes(along(total, h, height), 0, 1), w, width)
-    corner = np.swapaxes(corner, 0, 1)
-    area = (h / height) * (w / width)
-    return (corner[1:, 1:] - corner[:-1, 1:] - corner[1:, :-1] + corner[:-1, :-1]) / area
+def _edges(n: int, m: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where the edges of m equal parts of n samples lie: whole samples before each, and the part of the next."""
+    x = np.arange(m + 1) * (n / m)
+    whole = np.minimum(x.astype(np.int64), n - 1)
+    return whole, x - whole
+
+
+def resize_area(image: np.ndarray, height: int, width: int) -> np.ndarray:
+    """Mean of the (fractional) area under each new pixel, by an integral image; float64.
+
+    The integral image is needed only at the edges of the new rows, so it is
+    made strip by strip with the sums so far carried along.
+    """
+    h, w = image.shape[:2]
+    whole, part = _edges(h, height)
+    at_edge = np.zeros((height + 1, w, *image.shape[2:]))
+    carry, step = np.zeros(at_edge.shape[1:]), max(1, STRIP // max(1, w))
+    for lo in range(0, h, step):
+        strip = image[lo : lo + step].astype(np.float64)
+        total = np.concatenate([carry[None], carry + strip.cumsum(0)])
+        for k in np.flatnonzero((whole >= lo) & (whole < lo + len(strip))):
+            at_edge[k] = total[whole[k] - lo] + part[k] * strip[whole[k] - lo]
+        carry = total[-1]
+    rows = np.diff(at_edge, axis=0)
+    total = np.concatenate([np.zeros((height, 1, *image.shape[2:])), rows.cumsum(1)], axis=1)
+    whole, part = _edges(w, width)
+    shape = (1, -1, *[1] * (image.ndim - 2))
+    at_edge = total[:, whole] * (1 - part).reshape(shape) + total[:, whole + 1] * part.reshape(shape)
+    return np.diff(at_edge, axis=1) / ((h / height) * (w / width))
 
 
 def grey(image: np.ndarray) -> np.ndarray:
@@ -141,7 +185,7 @@ def grey(image: np.ndarray) -> np.ndarray:
 
 def difference_hash(image: np.ndarray, side: int = 8) -> str:
     """Hex of side * side bits: is a pixel of the reduced grey image brighter than its left neighbour."""
-    small = resize_area(grey(image), side, side + 1)
+    small = grey(resize_area(image, side, side + 1))
     return np.packbits(small[:, 1:] > small[:, :-1] + 1e-9).tobytes().hex()
 
 
@@ -152,33 +196,44 @@ def npy(image: np.ndarray) -> bytes:
 
 
 def image_columns(df: DataFrame, column: str = "media", tile: int = TILE) -> DataFrame:
-    """df with height, width, channels, tile_npy (tile x tile float32 as NPY) and dhash of the image in `column`.
+    """df with height, width, channels, tile_npy (tile x tile float32 from 0 to 1 as an NPY file) and dhash of the image in `column`.
 
-    Null, empty or undecodable bytes give null in all of them. Columns of df
+    Null, empty, malformed or unsupported bytes give null in all of them; no
+    content of a row stops a job. Equal bytes give equal values. Columns of df
     with the added names are replaced. Images are decoded one at a time.
     """
     added = ["height", "width", "channels", "tile_npy", "dhash"]
     df = df.drop(*added)
 
+    def features(data: bytes):
+        try:
+            image = decode(data)
+            if not image.size:
+                raise ValueError("no pixels")
+            small = resize_area(image, tile, tile)
+            shade = grey(small) / maximum(data)
+            return image.shape[0], image.shape[1], 1 if image.ndim == 2 else 3, npy(shade.astype(np.float32)), difference_hash(image)
+        except (ValueError, OverflowError, IndexError, MemoryError):
+            return (None,) * 5
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for value in batch.column(batch.schema.names.index(column)):
-                try:
-                    image = decode(value.as_py() or b"")
-                    if not image.size:
-                        raise ValueError("no pixels")
-                    rows.append((image.shape[0], image.shape[1], 1 if image.ndim == 2 else 3, npy(resize_area(grey(image), tile, tile).astype(np.float32)), difference_hash(image)))
-                except ValueError:
-                    rows.append((None,) * 5)
-            kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.string())
-            extra = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *extra], [*batch.schema.names, *added])
+        for whole in batches:
+            for k in range(0, whole.num_rows, 256):
+                batch = whole.slice(k, 256)
+                rows = [features(value.as_py() or b"") for value in batch.column(batch.schema.names.index(column))]
+                kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.string())
+                extra = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *extra], [*batch.schema.names, *added])
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields]
     return df.mapInArrow(run, ", ".join([*fields, "height int, width int, channels int, tile_npy binary, dhash string"]))
 
 
+def write_tiles(df: DataFrame, path: str, key: str = "doc_id") -> None:
+    """The tiles of image_columns as a table (key, tile_npy, dhash) of NPY files under `path`; rows without an image have none."""
+    df.where(F.col("tile_npy").isNotNull()).select(key, "tile_npy", "dhash").write.mode("overwrite").parquet(path)
+
+
 @shielded("text")
 def text_media(docs: DataFrame, form: str = "pgm") -> DataFrame:
     """docs (text, ...) with n_bytes and media: the padded UTF-8 bytes as a grey image BLOCK wide, in PGM or BMP.
@@ -204,23 +259,42 @@ def text_media(docs: DataFrame, form: str = "pgm") -> DataFrame:
 
 
 def digests(stored: DataFrame) -> DataFrame:
-    """Of rows (doc_id, n_bytes, media): digests of the payload read back from the image, and of the stored form."""
+    """Rows (doc_id, n_bytes, media) with digests of the payload read back from the image and of the stored form.
+
+    Equal media, equal digests; media are read whole, one at a time, whatever
+    their length. Null media, and media that are no image, give nulls. Other
+    columns stay.
+    """
+    names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256"]
+
+    def digest(media: bytes | None):
+        if media is None:
+            return (None,) * 5
+        try:
+            payload = decode(media).tobytes()
+            read = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        except (ValueError, OverflowError, IndexError, MemoryError):
+            read = (None,) * 3
+        return (*read, len(media), hashlib.sha256(media).hexdigest())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for value in batch.column(2):
-                media = value.as_py()
-                image = decode(media)
-                payload = image.tobytes()
-                tile = npy(resize_area(image, TILE, TILE).astype(np.float32))
-                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), difference_hash(image), hashlib.sha256(tile).hexdigest()))
-            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string())
+            rows = [digest(value.as_py()) for value in batch.column(batch.schema.names.index("media"))]
+            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string())
             extra = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *extra], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "tile_sha256"])
+            kept = [c for c in batch.schema.names if c != "media"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.names.index(c)) for c in kept), *extra], [*kept, *names])
 
-    return stored.select("doc_id", "n_bytes", "media").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tile_sha256 string")
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in stored.schema.fields if f.name != "media"]
+    return stored.mapInArrow(run, ", ".join([*fields, "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string"]))
 
 
 def op5(spark, sf_dir: str) -> DataFrame:
-    return digests(text_media(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    """Texts stored as PGM, with the digests of their BMP form beside it."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    stored = image_columns(text_media(docs))
+    told = stored.select("doc_id", "text", "n_bytes", "media", F.col("dhash").alias("feature"), F.sha2("tile_npy", 256).alias("tile_sha256"))
+    pgm = digests(told)
+    bmp = digests(text_media(pgm.withColumnsRenamed({c: f"pgm_{c}" for c in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256")}), "bmp"))
+    out = bmp.select("doc_id", "n_bytes", *[F.col(f"pgm_{c}").alias(c) for c in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256")], "feature", "tile_sha256", F.col("media_bytes").alias("bmp_bytes"), F.col("media_sha256").alias("bmp_sha256"), F.col("payload_sha256").alias("bmp_payload_sha256"))
+    return out

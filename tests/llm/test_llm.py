@@ -362,7 +362,13 @@ def test_image_codecs():
     assert (media.decode(b"P4\n3 2\n\xa0\x40") == [[1, 0, 1], [0, 1, 0]]).all()
     assert media.decode(b"P6\n1 1\n255\n\x01\x02\x03").tolist() == [[[1, 2, 3]]]
     assert media.decode(b"P5\n1 1\n65535\n\x01\x02").tolist() == [[258]]
-    for bad in (b"", b"P5\n9 9\n255\n1", b"BM", b"GIF89a", b"P3\n1 1\n255\n1"):
+    number = lambda *values: b"".join(v.to_bytes(4, "little") for v in values)
+    fields = b"BM" + number(70, 0, 66) + number(40, 1, 1) + b"\x01\0\x20\0" + number(3, 4, 0, 0, 0, 0)
+    straight = fields + number(255 << 16, 255 << 8, 255)
+    assert media.decode(straight + b"\x03\x02\x01\0").tolist() == [[[1, 2, 3]]]
+    bad_bmp = [fields + number(255, 255 << 8, 255 << 16) + b"\0" * 4, media.encode_bmp(image)[:1000], media.encode_bmp(image)[:14] + number(12) + media.encode_bmp(image)[18:]]
+    bad_pnm = [b"P5\n99999999999 99999999999\n255\n1", b"P5\n9999999 9999999\n255\n1", b"P2\n1 1\n255\n300", b"P2\n1 1\n255\n-5", b"P2\n1 1\n255\n" + b"9" * 23, b"P1\n1 1\n9", b"P5\n1 1\n7\n\x09", b"P4\n9 9\n\0"]
+    for bad in (b"", b"P5\n9 9\n255\n1", b"BM", b"GIF89a", b"P3\n1 1\n255\n1", *bad_bmp, *bad_pnm):
         with pytest.raises(ValueError):
             media.decode(bad)
 
@@ -372,15 +378,45 @@ def test_area_resize():
     assert np.allclose(media.resize_area(image, 3, 4), image.reshape(3, 2, 4, 2).mean((1, 3)))
     assert np.allclose(media.resize_area(image, 6, 8), image)
     assert np.isclose(media.resize_area(image, 5, 3).mean(), image.mean())
+    rng = np.random.default_rng(3)
+    tall, strip = rng.integers(0, 256, (1000, 64)), media.STRIP
+    try:
+        media.STRIP = 640
+        in_strips = media.resize_area(tall, 32, 32)
+    finally:
+        media.STRIP = strip
+    assert np.allclose(in_strips, media.resize_area(tall, 32, 32)) and np.allclose(media.resize_area(tall, 1, 1), tall.mean())
     flat = np.full((5, 9), 7.0)
     assert np.allclose(media.resize_area(flat, 8, 11), 7.0) and media.difference_hash(flat) == "0" * 16
 
 
 def test_image_columns(spark):
-    rows = [(1, media.encode_pgm(np.arange(64, dtype=np.uint8).reshape(8, 8))), (2, None), (3, b"junk"), (4, b"")]
+    rows = [(1, media.encode_pgm(np.arange(64, dtype=np.uint8).reshape(8, 8))), (2, None), (3, b"junk"), (4, b""), (5, b"P5\n99999999999 99999999999\n255\n1"), (6, b"P2\n1 1\n255\n" + b"9" * 23), (7, b"P2\n2 1\n9\n9 9")]
     got = {r["i"]: r for r in media.image_columns(spark.createDataFrame(rows, "i int, media binary")).collect()}
     assert got[1]["width"] == 8 and np.load(io.BytesIO(got[1]["tile_npy"])).shape == (32, 32) and got[1]["dhash"] == "f" * 16
-    assert all(got[i]["dhash"] is None and got[i]["height"] is None for i in (2, 3, 4))
+    assert all(got[i]["dhash"] is None and got[i]["height"] is None for i in (2, 3, 4, 5, 6))
+    assert np.load(io.BytesIO(got[7]["tile_npy"])).tolist() == np.ones((32, 32)).tolist()
+
+
+@needs_tables
+def test_media_query_equals_brute_force(spark):
+    docs = {r["doc_id"]: (r["text"] or "").encode() for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
+    for r in media.op5(spark, SF).collect():
+        raw = docs.pop(r["doc_id"])
+        rows = max(1, -(-len(raw) // 64))
+        payload = raw.ljust(rows * 64, b"\0")
+        pgm = b"P5\n64 %d\n255\n" % rows + payload
+        assert (r["n_bytes"], r["payload_bytes"], r["tail_crc32"]) == (len(raw), len(payload), zlib.crc32(payload[-64:]))
+        assert r["payload_sha256"] == r["bmp_payload_sha256"] == hashlib.sha256(payload).hexdigest()
+        assert (r["media_bytes"], r["media_sha256"], r["bmp_bytes"]) == (len(pgm), hashlib.sha256(pgm).hexdigest(), 1078 + len(payload))
+        image = np.frombuffer(payload, np.uint8).reshape(rows, 64)
+        # Means over fractional areas by repeating each sample.
+        fine = np.repeat(np.repeat(image, 8, 0), 9, 1).astype(float)
+        small = fine.reshape(8, rows, 9, 64).mean((1, 3))
+        sure = np.abs(np.diff(small, axis=1)) > 1e-6
+        bits = np.unpackbits(np.frombuffer(bytes.fromhex(r["feature"]), np.uint8)).reshape(8, 8).astype(bool)
+        assert (bits == (np.diff(small, axis=1) > 0))[sure].all()
+    assert not docs
 
 
 # 6

@@ -588,10 +588,23 @@ def test_language_id_on_held_out_rows(spark):
     got = langid.identify(docs, field).where(held_out(F.col("doc_id"))).collect()
     assert np.mean([r["lang"] == r["lang_pred"] for r in got]) > 0.98
     mixed = " ".join([word("xx") for _ in range(12)] + [word("zz") for _ in range(12)])
+    spans = langid.identify(spark.createDataFrame([(mixed,)], "text string"), field).first()["spans"]
+    assert [(s["lang"], abs(s["words"] - 12) <= 1) for s in spans] == [("xx", True), ("zz", True)]
+    assert len(field.lexicon) and set(field.listed.tolist()) <= {0, 1, 2}
     p = field.posteriors(next(textnum.slices(pa.array([mixed])))[2])
     assert (p[:10].argmax(1) == 0).all() and (p[-10:].argmax(1) == 2).all()
 
 
+def test_all_languages_are_learned(spark):
+    rng = random.Random(17)
+    rows = [(i * 70 + k, " ".join(f"{chr(97 + k % 26)}{chr(97 + k // 26)}{rng.choice('aeiou')}{rng.choice('xyz')}" for _ in range(30)), f"l{k:02}") for k in range(70) for i in range(4)]
+    field = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert field.labels == [f"l{k:02}" for k in range(70)] and len(field.words) * 70 <= langid.WORD_WEIGHTS
+    got = langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), field).collect()
+    assert np.mean([r["lang"] == r["lang_pred"] for r in got]) > 0.9
+    assert all(sum(s["words"] for s in r["spans"]) == 30 for r in got)
+
+
 def test_language_id_of_odd_input(spark):
     docs = odd_documents(spark).withColumn("lang_pred", F.lit("x"))
     got = {str(r["doc_id"]): r for r in langid.identify(docs, langid.train(docs)).collect()}

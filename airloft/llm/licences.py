@@ -2,11 +2,15 @@
 
 A text is brought to a canonical form (case, punctuation, copyright lines and
 equivalent spellings) and its digest is joined with the digests of known
-licences. The same form of each single line is looked up among short notices.
+licences: the files of the folder `known`, named by licence identifier, and the
+texts below. The same form of each single line is looked up among them too.
 """
 
 from __future__ import annotations
 
+import re
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,7 +60,7 @@ _BSD_END = (
 )
 
 # Texts and notices of public licences, by licence identifier.
-TEXTS = (
+_SHORT = (
     ("MIT", "MIT License\n\nPermission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
      'documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, '
      "copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software "
@@ -83,14 +87,23 @@ TEXTS = (
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
 )
 
-#: A whole line that is a copyright statement.
-COPYRIGHT_LINE = r"(^|\n)[ \t]*(copyright|\(c\)|©)[ \t]+(\(c\)|©|[0-9]|by )[^\n]*"
+
+
+def _files() -> tuple[tuple[str, str], ...]:
+    return tuple((f.stem, f.read_text(encoding="utf-8")) for f in sorted(Path(__file__).with_name("known").glob("*.txt")))
+
+
+#: All known texts: a constant of some 20 licences, whose digests are broadcast.
+TEXTS = _SHORT + _files()
+
+#: A whole line that is a copyright statement: one with a sign, a year or a place for them, or a later year.
+COPYRIGHT_LINE = r"(^|\n)[ \t]*(copyright|\(c\)|©)([ \t]+(\(c\)|©|[0-9]|by |[\[<{])|[^\n]*(19|20)[0-9][0-9])[^\n]*"
 
 
 def canonical(text: Column) -> Column:
-    """Lowered (A-Z), without copyright lines, runs of ASCII punctuation and blanks as one space, one spelling each."""
+    """Lowered (A-Z), without copyright lines, runs of other than letters, marks and digits as one space, one spelling each."""
     out = F.regexp_replace(ascii_lower(text), COPYRIGHT_LINE, "\n")
-    out = F.btrim(F.regexp_replace(out, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " "))
+    out = F.btrim(F.regexp_replace(out, r"[^\p{L}\p{M}\p{N}]+", " "))
     for variant, kept in SPELLINGS:
         out = F.replace(out, F.lit(variant), F.lit(kept))
     return out
@@ -102,25 +115,37 @@ def known_digests(spark, texts=TEXTS) -> DataFrame:
     return rows.groupBy(F.md5(canonical(F.col("text"))).alias("digest")).agg(F.min("license").alias("license"))
 
 
-#: Lines without any of this are not looked up as notices; every one-line text above has it.
-CUE = r"(?i)licen[cs]e|creative commons|cc0|public domain"
+def cue(texts=TEXTS) -> str:
+    """A pattern that every line whose form is that of a known text matches: a word of each text that its form keeps."""
+    spelled = [part for pair in SPELLINGS for phrase in pair for part in (phrase.replace(" ", ""), *phrase.split())]
+    found = set()
+    for _, text in texts:
+        words = set(re.findall(r"[a-z0-9]+", text.lower()))
+        if any("license" in w or "licence" in w for w in words):
+            found.add("licen[cs]e")
+            continue
+        kept = [w for w in words if not any(s in w for s in spelled)]
+        found.add(max(kept, key=lambda w: (len(w), w)) if kept else "")
+    return "(?i)" + "|".join(sorted(found))
 
 
 @shielded("text")
-def scan_licences(docs: DataFrame, texts=TEXTS, cue: str = CUE) -> DataFrame:
+def scan_licences(docs: DataFrame, texts=TEXTS) -> DataFrame:
     """docs (text, ...) with digest, license (of the entire text) and notices (of single lines, sorted, distinct).
 
-    Entire texts are all looked up; lines only where they match `cue`.
-
-    The list of known texts is the caller's constant, so its digests are
-    broadcast and the scan needs no shuffle. Null text counts as empty and
-    matches nothing. Columns of docs with these names are replaced.
+    Entire texts are all looked up; lines only where they have a word that
+    some known text must have (see cue). The list of known texts is the
+    caller's constant, so its digests are broadcast and the scan needs no
+    shuffle. Null text counts as empty and matches nothing; equal texts get
+    equal results, and texts of any length are read whole. Of known texts with
+    one form the smallest identifier is given. Columns of docs with these names
+    are replaced.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit(""))
     known = known_digests(spark, texts)
     held = docs.withColumn("digest", F.md5(canonical(text))).join(F.broadcast(known), "digest", "left")
-    lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(cue))
+    lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(cue(texts)))
     listed = [(r["digest"], r["license"]) for r in known.collect()]
     names = F.create_map(*[F.lit(x) for pair in listed for x in pair])
     found = F.transform(lines, lambda line: F.element_at(names, F.md5(canonical(line))))
@@ -133,8 +158,8 @@ def op10(spark, sf_dir: str) -> DataFrame:
 
 
 def _sql_canonical(text: str) -> str:
-    out = f"regexp_replace(translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '(^|\\n)[ \\t]*(copyright|\\(c\\)|©)[ \\t]+(\\(c\\)|©|[0-9]|by )[^\\n]*', chr(10), 'g')"
-    out = f"trim(regexp_replace({out}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+', ' ', 'g'))"
+    out = f"regexp_replace(translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{COPYRIGHT_LINE}', chr(10), 'g')"
+    out = rf"trim(regexp_replace({out}, '[^\p{{L}}\p{{M}}\p{{N}}]+', ' ', 'g'))"
     for variant, kept in SPELLINGS:
         out = f"replace({out}, '{variant}', '{kept}')"
     return out

@@ -626,6 +626,40 @@ def test_licences_in_other_dress(spark):
     assert all(got[i]["license"] is None and got[i]["notices"] == [] for i in (3, 4, 5, 6))
 
 
+def form(text):
+    """The canonical form, in other words than the operator's."""
+    lines = []
+    for line in "".join(c.lower() if "A" <= c <= "Z" else c for c in text).split("\n"):
+        start = line.lstrip(" \t")
+        mark = next((m for m in ("copyright", "(c)", "©") if start.startswith(m)), None)
+        rest = start[len(mark) :] if mark else ""
+        named = rest[:1] in (" ", "\t") and (rest.strip(" \t")[:1] in tuple("0123456789©[<{") or rest.strip(" \t").startswith(("(c)", "by ")))
+        if not (mark and (named or re.search("(19|20)[0-9][0-9]", rest))):
+            lines.append(line)
+    import unicodedata
+
+    text = " ".join("".join(c if unicodedata.category(c)[0] in "LMN" else " " for c in "\n".join(lines)).split())
+    for a, b in licences.SPELLINGS:
+        text = text.replace(a, b)
+    return text
+
+
+def test_licence_forms_equal_brute_force(spark):
+    rng = random.Random(31)
+    texts = [t for _, t in licences.TEXTS] + ["Copyright Acme Corp 2020\ncopyright notice and\n(c) 2001 x\nCopyright [yyyy] [name]\n© by me", "a “curly” – ‘quote’ … b", "", "ÀÉ licence\tÜ"]
+    texts += ["".join(rng.choice("aB c.\n,©é-(c)2019") for _ in range(200)) for _ in range(50)]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", licences.canonical(F.col("t")).alias("c")).collect()
+    assert all(r["c"] == form(texts[r["i"]]) for r in got)
+    known = dict((form(t), k) for k, t in sorted(licences.TEXTS, reverse=True))
+    files = [(k, t) for k, t in licences.TEXTS if len(t) > 5000]
+    assert {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "MPL-2.0", "CC0-1.0"} <= {k for k, _ in files}
+    rows = [(i, "Copyright Acme Corp 2020\n" + t.replace('"', "“").replace("'", "’").upper()) for i, (_, t) in enumerate(files)]
+    found = {r["doc_id"]: r["license"] for r in licences.scan_licences(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
+    assert found == {i: known[form(t)] for i, (_, t) in enumerate(files)}
+    own = licences.scan_licences(spark.createDataFrame([(1, "x\nDo as you like, neighbour.\ny")], "doc_id int, text string"), (("own", "Do as you like neighbour"),)).first()
+    assert own["notices"] == ["own"]
+
+
 def test_licences_of_odd_input(spark):
     docs = odd_documents(spark)
     got = licences.scan_licences(docs)

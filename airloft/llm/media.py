@@ -202,9 +202,20 @@ def image_columns(df: DataFrame, column: str = "media", tile: int = TILE) -> Dat
     content of a row stops a job. Equal bytes give equal values. Columns of df
     with the added names are replaced. Images are decoded one at a time.
     """
-    added = ["height", "width", "channels", "tile_npy", "dhash"]
-    df = df.drop(*added)
+    df = df.drop(*IMAGE)
+    return df.mapInArrow(_image_step(column, tile), _form(df, "height int, width int, channels int, tile_npy binary, dhash string"))
 
+
+#: Columns that image_columns adds, and those that digests adds.
+IMAGE = ["height", "width", "channels", "tile_npy", "dhash"]
+DIGESTS = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256"]
+
+
+def _form(df: DataFrame, added: str, without: tuple[str, ...] = ()) -> str:
+    return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name not in without), added])
+
+
+def _image_step(column: str, tile: int):
     def features(data: bytes):
         try:
             image = decode(data)
@@ -223,10 +234,9 @@ def image_columns(df: DataFrame, column: str = "media", tile: int = TILE) -> Dat
                 rows = [features(value.as_py() or b"") for value in batch.column(batch.schema.names.index(column))]
                 kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.string())
                 extra = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
-                yield pa.RecordBatch.from_arrays([*batch.columns, *extra], [*batch.schema.names, *added])
+                yield pa.RecordBatch.from_arrays([*batch.columns, *extra], [*batch.schema.names, *IMAGE])
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields]
-    return df.mapInArrow(run, ", ".join([*fields, "height int, width int, channels int, tile_npy binary, dhash string"]))
+    return run
 
 
 def write_tiles(df: DataFrame, path: str, key: str = "doc_id") -> None:
@@ -240,6 +250,10 @@ def text_media(docs: DataFrame, form: str = "pgm") -> DataFrame:
 
     Null text is empty; an empty payload is one row of zeros.
     """
+    return docs.mapInArrow(_media_step(form), _form(docs, "n_bytes long, media binary"))
+
+
+def _media_step(form: str):
     encode = {"pgm": encode_pgm, "bmp": encode_bmp}[form]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,8 +268,7 @@ def text_media(docs: DataFrame, form: str = "pgm") -> DataFrame:
                     media.append(encode(np.frombuffer(p.ljust(rows * BLOCK, b"\0"), np.uint8).reshape(rows, BLOCK)))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array([len(p) for p in payloads], pa.int64()), pa.array(media, pa.binary())], [*part.schema.names, "n_bytes", "media"])
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields]
-    return docs.mapInArrow(run, ", ".join([*fields, "n_bytes long, media binary"]))
+    return run
 
 
 def digests(stored: DataFrame) -> DataFrame:
@@ -265,8 +278,11 @@ def digests(stored: DataFrame) -> DataFrame:
     their length. Null media, and media that are no image, give nulls. Other
     columns stay.
     """
-    names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256"]
+    added = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string"
+    return stored.mapInArrow(_digest_step(), _form(stored, added, ("media",)))
+
 
+def _digest_step():
     def digest(media: bytes | None):
         if media is None:
             return (None,) * 5
@@ -283,18 +299,31 @@ def digests(stored: DataFrame) -> DataFrame:
             kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string())
             extra = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
             kept = [c for c in batch.schema.names if c != "media"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.names.index(c)) for c in kept), *extra], [*kept, *names])
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.names.index(c)) for c in kept), *extra], [*kept, *DIGESTS])
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in stored.schema.fields if f.name != "media"]
-    return stored.mapInArrow(run, ", ".join([*fields, "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string"]))
+    return run
 
 
 def op5(spark, sf_dir: str) -> DataFrame:
-    """Texts stored as PGM, with the digests of their BMP form beside it."""
+    """Texts stored as PGM, with the digests of their BMP form beside it.
+
+    The operators' steps run one after the other on each batch, so a task has
+    one Python worker.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    stored = image_columns(text_media(docs))
-    told = stored.select("doc_id", "text", "n_bytes", "media", F.col("dhash").alias("feature"), F.sha2("tile_npy", 256).alias("tile_sha256"))
-    pgm = digests(told)
-    bmp = digests(text_media(pgm.withColumnsRenamed({c: f"pgm_{c}" for c in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256")}), "bmp"))
-    out = bmp.select("doc_id", "n_bytes", *[F.col(f"pgm_{c}").alias(c) for c in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256")], "feature", "tile_sha256", F.col("media_bytes").alias("bmp_bytes"), F.col("media_sha256").alias("bmp_sha256"), F.col("payload_sha256").alias("bmp_payload_sha256"))
-    return out
+    pgm, bmp, image, digest = _media_step("pgm"), _media_step("bmp"), _image_step("media", TILE), _digest_step()
+    told = ["doc_id", "n_bytes", *DIGESTS, "dhash"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for k in range(0, whole.num_rows, 256):
+                batch = whole.slice(k, 256)
+                first = pa.Table.from_batches(digest(image(pgm(iter([batch])))))
+                second = pa.Table.from_batches(digest(bmp(iter([batch]))))
+                tiles = [hashlib.sha256(x.as_py()).hexdigest() for x in first["tile_npy"]]
+                columns = [*(first[c] for c in told), pa.array(tiles, pa.string()), *(second[c] for c in ("media_bytes", "media_sha256", "payload_sha256"))]
+                yield from pa.Table.from_arrays(columns, names=names).to_batches()
+
+    names = ["doc_id", "n_bytes", *DIGESTS, "feature", "tile_sha256", "bmp_bytes", "bmp_sha256", "bmp_payload_sha256"]
+    form = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tile_sha256 string, bmp_bytes long, bmp_sha256 string, bmp_payload_sha256 string"
+    return docs.mapInArrow(run, _form(docs, form, ("text",)))

@@ -38,6 +38,8 @@ PIECE_BYTES = 4 << 20
 OFTEN, AVOIDED = 8, 65_536
 #: Level of zstd for packed strings, which are most of what is shuffled.
 LEVEL = 6
+#: Slots (bits) of the table that tells which texts may have removed ranges; the others need not be shuffled.
+SLOT_BITS = 26
 _TOP = U(1 << 63)
 _FORM = "bucket long, size long, blob binary"
 #: Ranges have bucket -1; strings that go on to a second round have theirs.
@@ -253,6 +255,30 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     return ranges.groupBy("id", "th").agg(F.collect_list(F.struct("start", "n")).alias("r")).select("id", "th", F.col("r.start").alias("starts"), F.col("r.n").alias("counts"))
 
 
+def _slots_of(ranges: DataFrame) -> np.ndarray:
+    """The table of bits: a set one for the slot of every text that has ranges."""
+    rows = ranges.select(_slot().alias("s")).groupBy(F.expr("s DIV 64").alias("w")).agg(F.expr("bit_or(shiftleft(1L, CAST(s % 64 AS INT)))").alias("b")).toArrow()
+    bits = np.zeros(1 << (SLOT_BITS - 6), np.int64)
+    bits[np.asarray(rows["w"])] = np.asarray(rows["b"])
+    return bits
+
+
+def _slot():
+    return F.pmod(F.xxhash64("id", "th"), F.lit(1 << SLOT_BITS))
+
+
+def _only(bits, known: bool):
+    """Passes on the rows, without their last column (the slot), whose bit is set or is not."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            s = np.asarray(batch.column(batch.num_columns - 1))
+            part = batch.filter(pa.array(((bits.value[s >> 6] >> (s & 63)) & 1 == 1) == known))
+            yield part.select(part.schema.names[:-1])
+
+    return run
+
+
 @shielded("doc_id", "text")
 def strip_repeats(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text, ...) with n_words, n_removed and kept_text.
@@ -266,11 +292,17 @@ def strip_repeats(docs: DataFrame) -> DataFrame:
     whole; only its own words and ranges are held with it. Columns of docs with
     the added names are replaced.
     """
-    ranges = cut(repeated_ranges(docs.select("doc_id", "text"))).hint("shuffle_hash")
+    ranges = cut(repeated_ranges(docs.select("doc_id", "text")))
+    bits = docs.sparkSession.sparkContext.broadcast(_slots_of(ranges))
     keyed = docs.withColumn("id", F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))).withColumn("th", F.xxhash64("text"))
-    joined = keyed.join(ranges, ["id", "th"], "left").drop("id", "th")
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields]
-    return joined.mapInArrow(_strip, ", ".join([*fields, "n_words long", "n_removed long", "kept_text string"]))
+    slotted = keyed.select("*", _slot().alias("_slot"))
+    form = lambda df: ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    out = form(docs) + ", n_words long, n_removed long, kept_text string"
+    # Texts that have ranges travel to them; the others stay where they are.
+    travel = slotted.mapInArrow(_only(bits, True), form(keyed)).join(ranges.hint("shuffle_hash"), ["id", "th"], "left").drop("id", "th").mapInArrow(_strip, out)
+    none = [F.lit(None).cast("array<long>").alias(c) for c in ("starts", "counts")]
+    others = _only(bits, False)
+    return travel.union(slotted.select(*docs.columns, *none, "_slot").mapInArrow(lambda batches: _strip(others(batches)), out))
 
 
 def op6(spark, sf_dir: str) -> DataFrame:

@@ -2,24 +2,23 @@
 
 Spatial joins within a reach turn into equi-joins on grid cells: one side is
 repeated into the cells around its own, and the distance is a filter on what
-meets. No pair of far rows is ever formed. Nearest-neighbour joins against a
-table of targets broadcast the targets only if a count shows that they are few.
+meets. No pair of far rows is ever formed. Nearest-neighbour joins are such joins
+with a reach that widens for the rows that have not found enough, at every size.
 """
 
 from __future__ import annotations
 
-from math import cos, degrees, radians
+from math import degrees, pi, sin, sqrt
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import bbox, contains
 from ..functions.scalars import KM_RADIUS, MILES_RADIUS, cell_index, haversine_km, haversine_mi
+from ..sources.io import written
 
-#: Targets up to which every row is compared with all of them.
-FEW_TARGETS = 20_000
-#: Highest latitude for which longitude cells are made wide enough.
-MAX_LAT = 60.0
+#: Half of the way round: no two places are farther apart.
+FARTHEST_KM = pi * KM_RADIUS * 1.001
 
 
 def lookup(df: DataFrame, dim: DataFrame, key: str, value: str, default=None) -> DataFrame:
@@ -71,31 +70,32 @@ def from_cells(df: DataFrame, cells: DataFrame, deg: float, lat: str = "lat", lo
     return attach_cell(df, cells, deg, (), lat, lon)
 
 
-def few(df: DataFrame, most: int = FEW_TARGETS) -> bool:
-    return df.limit(most + 1).count() <= most
+def _across(row: Column, deg: float, reach: float) -> Column:
+    """Cells round the globe in a row of cells `deg` high: each as wide as the reach (km) at the latitudes next to the row."""
+    edge = F.least((F.greatest(F.abs(row), F.abs(row + 1)) + 1) * deg, F.lit(90.0))
+    half = F.least(F.lit(sin(min(pi / 2, reach / KM_RADIUS / 2))) / F.greatest(F.cos(F.radians(edge)), F.lit(1e-12)), F.lit(1.0))
+    return F.greatest(F.floor(F.lit(360.0) / (F.degrees(2 * F.asin(half)) * 1.001)), F.lit(1)).cast("int")
 
 
-def _reach_cells(km: float, max_lat: float) -> tuple[float, float]:
-    """Degrees of latitude and longitude that a distance spans at most."""
-    lat = degrees(km / KM_RADIUS) * 1.001
-    return lat, lat / cos(radians(max_lat))
-
-
-def within(a: DataFrame, b: DataFrame, km: float, on=(), max_lat: float = MAX_LAT) -> DataFrame:
+def within(a: DataFrame, b: DataFrame, km: float, on=()) -> DataFrame:
     """Pairs of rows of a and b (each with lat, lon; other names disjoint but for `on`) at most km apart, with their km.
 
-    b goes to the nine cells around its own; a cell spans the reach. Rows
-    beyond max_lat raise an error, since their cells would be too narrow.
+    b goes to the nine cells around its own; a cell spans the reach wherever it
+    lies, so the poles and the date line are places like others. Rows without
+    a place meet nothing.
     """
-    dy, dx = _reach_cells(km, max_lat)
-    guard = lambda lat: F.when(F.abs(lat) <= max_lat, lat).when(lat.isNull(), lat).otherwise(F.raise_error(F.lit("latitude beyond max_lat")).cast("double"))
-    cell = lambda lat, lon: (F.floor(guard(F.col(lat)) / dy).cast("int"), F.floor(F.col(lon) / dx).cast("int"))
-    ay, ax = cell("lat", "lon")
-    left = a.withColumn("_cy", ay).withColumn("_cx", ax)
-    other = b.withColumnsRenamed({"lat": "_lat2", "lon": "_lon2"})
-    by, bx = cell("_lat2", "_lon2")
-    near = F.array(*[F.struct((by + i).alias("_cy"), (bx + j).alias("_cx")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    right = other.withColumn("_c", F.explode(near)).select(*other.columns, "_c._cy", "_c._cx")
+    deg = min(180.0, degrees(km / KM_RADIUS) * 1.001)
+    row = lambda lat: F.floor(F.col(lat) / deg).cast("int")
+    column = lambda lon, n: F.least(F.floor(F.pmod(F.col(lon) + 180.0, F.lit(360.0)) / 360.0 * n).cast("int"), n - 1)
+    left = a.withColumn("_cy", row("lat"))
+    left = left.withColumn("_cx", column("lon", _across(F.col("_cy"), deg, km)))
+    other = b.withColumnsRenamed({"lat": "_lat2", "lon": "_lon2"}).withColumn("_ry", row("_lat2"))
+    cells = []
+    for i in (-1, 0, 1):
+        n = _across(F.col("_ry") + i, deg, km)
+        cells += [F.struct((F.col("_ry") + i).alias("_cy"), F.pmod(column("_lon2", n) + j, n).alias("_cx")) for j in (-1, 0, 1)]
+    right = other.where(F.col("_lat2").isNotNull() & F.col("_lon2").isNotNull()).withColumn("_c", F.explode(F.array_distinct(F.array(*cells)))).drop("_ry")
+    right = right.select(*[c for c in right.columns if c != "_c"], "_c._cy", "_c._cx")
     met = left.join(right, [*on, "_cy", "_cx"])
     return met.withColumn("km", haversine_km(F.col("lat"), F.col("lon"), F.col("_lat2"), F.col("_lon2"))).where(F.col("km") <= km).drop("_cy", "_cx", "_lat2", "_lon2")
 
@@ -130,19 +130,19 @@ def fill_neighbors(df: DataFrame, pool_mean: Column, radii=(25, 50, 100)) -> Dat
     return out.withColumns(zeros | {f"nbr_std_{middle}km": F.coalesce(F.col(f"nbr_std_{middle}km"), F.lit(0.0))})
 
 
-def neighbor_features(query: DataFrame, pool: DataFrame, radii=(25, 50, 100), max_lat: float = MAX_LAT) -> DataFrame:
+def neighbor_features(query: DataFrame, pool: DataFrame, radii=(25, 50, 100)) -> DataFrame:
     """query (sensor_id, lat, lon, date, pm25, ...) with statistics of the same day's other sensors by radius."""
     keys = ["sensor_id", "date", "lat", "lon"]
     asked = query.select(*keys).distinct()
     others = pool.select(F.col("sensor_id").alias("_sid"), "date", "lat", "lon", F.col("pm25").alias("_pm"))
-    pairs = within(asked, others, max(radii), ("date",), max_lat).where("_sid <> sensor_id")
+    pairs = within(asked, others, max(radii), ("date",)).where("_sid <> sensor_id")
     stats = neighbour_stats(pairs, keys, radii)
     mean = pool.agg(F.avg(F.when(~F.isnan("pm25"), F.col("pm25"))).alias("m")).scalar()
     out = loo_day_mean(query.join(stats, keys, "left"), pool)
     return fill_neighbors(out, F.coalesce(mean, F.lit(0.0)), radii).drop("loo_mean")
 
 
-def neighbor_features_heldout(df: DataFrame, radii=(25, 50, 100), max_lat: float = MAX_LAT) -> DataFrame:
+def neighbor_features_heldout(df: DataFrame, radii=(25, 50, 100)) -> DataFrame:
     """(fold, sensor_id, date, ...): neighbour statistics of rows near a sensor with that sensor held out.
 
     Rows without a pair to the held-out sensor keep their statistics, so only
@@ -152,7 +152,7 @@ def neighbor_features_heldout(df: DataFrame, radii=(25, 50, 100), max_lat: float
     """
     keys = ["sensor_id", "date", "lat", "lon"]
     others = df.select(F.col("sensor_id").alias("_sid"), "date", "lat", "lon", F.col("pm25").alias("_pm"))
-    pairs = within(df.select(*keys).distinct(), others, max(radii), ("date",), max_lat).where("_sid <> sensor_id")
+    pairs = within(df.select(*keys).distinct(), others, max(radii), ("date",)).where("_sid <> sensor_id")
     folds = pairs.select(*keys, F.col("_sid").alias("fold")).distinct()
     again = folds.join(pairs, keys).where("_sid <> fold")
     stats = neighbour_stats(again, ["fold", *keys], radii)
@@ -170,47 +170,69 @@ def loo_without(day_sum: Column, day_count: Column, own: Column, held: Column) -
     return (day_sum - F.coalesce(held, F.lit(0.0)) - own) / F.greatest(day_count - has - 1, F.lit(1))
 
 
-def point_neighbors(points: DataFrame, sensors: DataFrame, radii=(25, 50, 100), min_n: int = 20, max_lat: float = MAX_LAT) -> DataFrame:
+def point_neighbors(points: DataFrame, sensors: DataFrame, radii=(25, 50, 100), min_n: int = 20) -> DataFrame:
     """points (id, lat, lon) with statistics of one snapshot of sensors (lat, lon, pm25).
 
     Empty radii fall back to the mean of all sensors. With fewer than min_n
     sensors the snapshot isn't trusted and no rows come back.
     """
     total = sensors.agg(F.avg("pm25").alias("loo_mean"), F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_n)
-    pairs = within(points.select("id", "lat", "lon"), sensors.select("lat", "lon", F.col("pm25").alias("_pm")), max(radii), (), max_lat)
+    pairs = within(points.select("id", "lat", "lon"), sensors.select("lat", "lon", F.col("pm25").alias("_pm")), max(radii))
     stats = neighbour_stats(pairs, ["id"], radii)
     out = points.join(stats, "id", "left").join(F.broadcast(total), F.lit(True))  # one row
     return fill_neighbors(out, F.lit(None).cast("double"), radii).drop("loo_mean", "_n")
 
 
-def nearest(points: DataFrame, targets: DataFrame, key: str, most: int = FEW_TARGETS) -> DataFrame:
-    """points (id, lat, lon, ...) with the key and km of the nearest target (key, lat, lon); ties to the smaller key.
+def _first_reach(sources: DataFrame, k: int) -> float:
+    """A reach (km) in which an even spread over the box of the sources has some six times k of them."""
+    box = sources.agg(F.count("lat").alias("n"), F.min("lat").alias("s"), F.max("lat").alias("t"), F.min("lon").alias("w"), F.max("lon").alias("e")).first()
+    if not box["n"]:
+        return FARTHEST_KM
+    side = degrees(1 / KM_RADIUS)
+    area = max((box["t"] - box["s"]) / side, 1.0) * max((box["e"] - box["w"]) / side, 1.0)
+    return min(FARTHEST_KM, max(1.0, sqrt(6.0 * k * area / (pi * box["n"]))))
+
 
-    Few targets are broadcast and each row compares itself with all of them;
-    with more, rings of grid cells are searched outward (see _nearest_in_cells).
+def knn(targets: DataFrame, sources: DataFrame, k: int, max_km: float | None = None, exclude_self: bool = False) -> DataFrame:
+    """(target columns, source columns, source_id, km, rank): the k nearest sources (id, lat, lon, ...) of each target (id, lat, lon, ...) that are nearer than max_km, if given.
+
+    Targets that have k sources within a reach are done with it; for the
+    others the reach is made four times as wide, until it is max_km or the
+    whole globe. Each round is written, so the next starts from what is left.
+    Ties go to the smaller id.
     """
-    wanted = targets.select(F.col(key), F.col("lat").alias("_la"), F.col("lon").alias("_lo"))
-    if not few(wanted, most):
-        return _nearest_in_cells(points, targets, key)
-    km = haversine_km(F.col("lat"), F.col("lon"), F.col("_la"), F.col("_lo"))
-    listed = wanted.agg(F.collect_list(F.struct(key, "_la", "_lo")).alias("_t"))  # at most `most` targets
-    out = points.join(F.broadcast(listed), F.lit(True), "left")
-    away = F.array_min(F.transform("_t", lambda t: F.struct(haversine_km(F.col("lat"), F.col("lon"), t["_la"], t["_lo"]).alias("km"), t[key].alias("k"))))
-    return out.withColumn("_n", away).drop("_t").withColumn(key, F.col("_n.k")).withColumn("km", F.col("_n.km")).drop("_n")
-
-
-def _nearest_in_cells(points: DataFrame, targets: DataFrame, key: str) -> DataFrame:
-    """Widening reaches: rows that found a target within a reach are done, the others go on with four times the reach."""
-    reach, left, done = 10.0, points, None
-    keep = points.columns
+    right = sources.withColumnRenamed("id", "source_id")
+    most = FARTHEST_KM if max_km is None else min(float(max_km), FARTHEST_KM)
+    reach, left, parts = min(most, _first_reach(sources, k)), targets, []
+    best = Window.partitionBy("id").orderBy("km", "source_id")
     while True:
-        met = within(left, targets.select(key, "lat", "lon"), reach)
-        found = met.groupBy(*keep).agg(F.min(F.struct("km", F.col(key).alias("k"))).alias("_n")).select(*keep, F.col("_n.k").alias(key), F.col("_n.km").alias("km"))
-        done = found if done is None else done.unionByName(found)
-        left = left.join(found.select("id"), "id", "left_anti")
-        reach *= 4
-        if reach > 2500 or left.limit(1).count() == 0:
-            return done.unionByName(left.withColumn(key, F.lit(None)).withColumn("km", F.lit(None).cast("double")), allowMissingColumns=True)
+        met = within(left, right, reach)
+        if exclude_self:
+            met = met.where("source_id <> id")
+        ranked = met.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+        if reach >= most:
+            parts.append(ranked)
+            break
+        found = written(ranked)
+        enough = found.where(F.col("rank") == k).select("id")
+        parts.append(found.join(enough, "id", "left_semi"))
+        left = written(left.join(enough, "id", "left_anti"))
+        if left.where(F.col("lat").isNotNull() & F.col("lon").isNotNull()).limit(1).count() == 0:
+            break
+        reach = min(most, reach * 4)
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out if max_km is None else out.where(F.col("km") < max_km)
+
+
+def nearest(points: DataFrame, targets: DataFrame, key: str) -> DataFrame:
+    """points (id, lat, lon, ...) with the key and km of the nearest target (key, lat, lon) at any distance; ties to the smaller key.
+
+    Both are null for points without a place, or if there is no target.
+    """
+    found = knn(points.select("id", "lat", "lon"), targets.select(F.col(key).alias("id"), "lat", "lon"), 1)
+    return points.join(found.select("id", F.col("source_id").alias(key), "km"), "id", "left").select(*points.columns, key, "km")
 
 
 def assign_missing_key(points: DataFrame, known: DataFrame, targets: DataFrame, key: str = "GEOID") -> DataFrame:
@@ -222,49 +244,24 @@ def assign_missing_key(points: DataFrame, known: DataFrame, targets: DataFrame,
 
 
 def nearest_other(sensors: DataFrame) -> DataFrame:
-    """(id, km): distance of each sensor (id, lat, lon) to the nearest other one.
-
-    Searched in widening reaches of grid cells; null for a lone sensor.
-    """
-    left, done, reach = sensors.select("id", "lat", "lon"), None, 25.0
-    while True:
-        other = sensors.select(F.col("id").alias("_id2"), "lat", "lon")
-        found = within(left, other, reach).where("_id2 <> id").groupBy("id").agg(F.min("km").alias("km"))
-        done = found if done is None else done.unionByName(found)
-        left = left.join(found, "id", "left_anti")
-        reach *= 4
-        if reach > 2500 or left.limit(1).count() == 0:
-            return done.unionByName(left.select("id", F.lit(None).cast("double").alias("km")))
+    """(id, km): distance of each sensor (id, lat, lon) to the nearest other one, null for a lone sensor."""
+    rows = sensors.select("id", "lat", "lon")
+    return rows.select("id").join(knn(rows, rows, 1, exclude_self=True).select("id", "km"), "id", "left")
 
 
 def dist_to_set(points: DataFrame, sensors: DataFrame, clip: float | None = 164.4, miles: bool = False) -> DataFrame:
-    """points (id, lat, lon, ...) with dist to the nearest of a bounded set of sensors (lat, lon), clipped.
-
-    The set must be small enough for one row; beyond FEW_TARGETS an error says so.
-    """
-    if not few(sensors):
-        raise ValueError("dist_to_set takes few sensors; use nearest for many")
-    listed = sensors.agg(F.collect_list(F.struct("lat", "lon")).alias("_t"))
-    far = haversine_mi if miles else haversine_km
-    away = F.array_min(F.transform("_t", lambda t: far(F.col("lat"), F.col("lon"), t["lat"], t["lon"])))
-    out = points.join(F.broadcast(listed), F.lit(True), "left").withColumn("dist", away).drop("_t")
-    return out if clip is None else out.withColumn("dist", F.least(F.col("dist"), F.lit(clip)))
+    """points (id, lat, lon, ...) with dist to the nearest of the sensors (lat, lon), clipped; null for points without a place.
 
-
-def knn(targets: DataFrame, sources: DataFrame, k: int, max_km: float | None = None, exclude_self: bool = False) -> DataFrame:
-    """(id, source_id, km, rank, ...): the k nearest of few sources for each target, then those strictly nearer than max_km.
-
-    Sources (id, lat, lon, ...) are broadcast after a count; the window keeps
-    the k best of each target while rows stream by. Ties go to the smaller id.
+    Beyond the clip nothing is searched.
     """
-    if not few(sources):
-        raise ValueError("knn takes few sources; use within for a bounded reach")
-    right = sources.withColumnsRenamed({"id": "source_id", "lat": "_la", "lon": "_lo"})
-    met = targets.join(F.broadcast(right), (F.col("id") != F.col("source_id")) if exclude_self else F.lit(True))
-    met = met.withColumn("km", haversine_km(F.col("lat"), F.col("lon"), F.col("_la"), F.col("_lo"))).drop("_la", "_lo")
-    best = Window.partitionBy("id").orderBy("km", "source_id")
-    out = met.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    return out if max_km is None else out.where(F.col("km") < max_km)
+    unit = MILES_RADIUS / KM_RADIUS if miles else 1.0
+    places = sensors.select("lat", "lon").distinct().select(F.lit(0).alias("id"), "lat", "lon")
+    most = None if clip is None else clip / unit
+    found = knn(points.select("id", "lat", "lon"), places, 1, most).select("id", (F.col("km") * unit).alias("dist"))
+    out = points.drop("dist").join(found, "id", "left")
+    if clip is None:
+        return out
+    return out.withColumn("dist", F.when(F.col("lat").isNotNull() & F.col("lon").isNotNull(), F.least(F.coalesce("dist", F.lit(float(clip))), F.lit(float(clip)))))
 
 
 def pairs(df: DataFrame, miles: float) -> DataFrame:
@@ -279,16 +276,30 @@ def pairs(df: DataFrame, miles: float) -> DataFrame:
 def cell_or_nearest(points: DataFrame, cells: DataFrame, default: float, deg: float = 1.0) -> DataFrame:
     """points with the value of their cell (cy, cx, value), else of the nearest cell in squared degrees, else the default.
 
-    Only points without a cell are compared with all cells, which are few.
+    Places without a cell meet the cells in squares of degrees, which widen
+    for those that have found none.
     """
-    keyed = points.withColumn("cy", cell_index(F.col("lat"), deg)).withColumn("cx", cell_index(F.col("lon"), deg))
-    joined = keyed.join(cells, ["cy", "cx"], "left")
-    listed = cells.agg(F.collect_list(F.struct("cy", "cx", "value")).alias("_c")) if few(cells) else None
-    if listed is None:
-        raise ValueError("cell_or_nearest takes few cells")
-    closest = F.array_min(F.transform("_c", lambda c: F.struct((F.pow(c["cy"] * deg - F.col("lat"), 2) + F.pow(c["cx"] * deg - F.col("lon"), 2)).alias("d"), c["cy"].alias("cy"), c["cx"].alias("cx"), c["value"].alias("v"))))
-    out = joined.join(F.broadcast(listed), F.lit(True), "left")
-    return out.withColumn("value", F.coalesce(F.col("value"), closest["v"], F.lit(default))).drop("_c", "cy", "cx")
+    keyed = points.drop("value").withColumn("cy", cell_index(F.col("lat"), deg)).withColumn("cx", cell_index(F.col("lon"), deg))
+    joined = keyed.join(cells.select("cy", "cx", "value"), ["cy", "cx"], "left").drop("cy", "cx")
+    left = written(joined.where(F.col("value").isNull() & F.col("lat").isNotNull() & F.col("lon").isNotNull()).select("lat", "lon").distinct())
+    targets = cells.where(F.col("value").isNotNull()).select((F.col("cy") * deg).alias("_y"), (F.col("cx") * deg).alias("_x"), "cy", "cx", F.col("value").alias("_v"))
+    reach, found = 4 * deg, None
+    while left.limit(1).count():
+        square = lambda y, x: (F.floor(y / reach).cast("int"), F.floor(x / reach).cast("int"))  # noqa: E731,B023
+        ty, tx = square(F.col("_y"), F.col("_x"))
+        near = F.explode(F.array(*[F.struct((ty + i).alias("_sy"), (tx + j).alias("_sx")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+        py, px = square(F.col("lat"), F.col("lon"))
+        met = left.withColumn("_sy", py).withColumn("_sx", px).join(targets.select("*", near.alias("_s")).select("*", "_s._sy", "_s._sx"), ["_sy", "_sx"])
+        met = met.withColumn("_d", F.pow(F.col("_y") - F.col("lat"), 2) + F.pow(F.col("_x") - F.col("lon"), 2)).where(F.col("_d") <= reach * reach)
+        part = written(met.groupBy("lat", "lon").agg(F.min(F.struct("_d", "cy", "cx", "_v")).alias("_b")).select("lat", "lon", F.col("_b._v").alias("_v")))
+        found = part if found is None else found.unionByName(part)
+        left = written(left.join(part.select("lat", "lon"), ["lat", "lon"], "left_anti"))
+        if reach > 800:
+            break
+        reach *= 4
+    if found is None:
+        return joined.withColumn("value", F.coalesce("value", F.lit(default)))
+    return joined.join(found, ["lat", "lon"], "left").withColumn("value", F.coalesce("value", "_v", F.lit(default))).drop("_v")
 
 
 def polygon_cells(polygons: DataFrame, deg: float) -> DataFrame:

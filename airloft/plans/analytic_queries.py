@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as sc
 from ..operators import aggregates as agg, interpolate as itp, joins, modelling as ml, placement as pl, windows as win
+from ..sources.io import shared_folder, written
 from .registry import query
 from .views import events, r6, sql_km, sql_r6, table, v_sensor, v_sensor_day, v_tract, with_views
 
@@ -342,9 +343,7 @@ def inverse_mse_weights(spark, sf_dir):
 @query("site_out_cv")
 def site_out_cv(spark, sf_dir):
     """Metrics of models on sites that they never saw."""
-    from .live_queries import folder
-
-    oof = ml.site_out_cv(_training(spark, sf_dir), FEATURES, "y", "sensor_id", folder(spark, "folds"), 3)
+    oof = ml.site_out_cv(_training(spark, sf_dir), FEATURES, "y", "sensor_id", shared_folder(spark, "folds"), 3)
     return agg.regression_metrics(oof, "y", "p_forest")
 
 
@@ -407,7 +406,7 @@ def spread_need(spark, sf_dir):
 
 
 def _pool(spark, sf_dir, n=120):
-    return pl.diverse_candidates(pl.placement_scores(*_sites(spark, sf_dir)), n)
+    return pl.diverse_candidates(written(pl.placement_scores(*_sites(spark, sf_dir))), n)
 
 
 _CELLS = (
@@ -470,8 +469,8 @@ def spacing_objective(spark, sf_dir):
     with_views("v_tract v_sensor", f", {_SCORES}{_CELLS}, pts AS (SELECT id, lat, lon, comp AS s, row_number() OVER (ORDER BY comp DESC, id) AS r FROM c2 JOIN cs USING (id) JOIN t USING (id)), {_GREEDY} SELECT x.id AS id, {R('x.s')} AS composite, pick FROM picks").replace("WITH", "WITH RECURSIVE", 1),
 )
 def select_spaced(spark, sf_dir):
-    scored = pl.placement_scores(*_sites(spark, sf_dir))
-    return rounded(pl.select_spaced(pl.diverse_candidates(scored), scored, 25).select("id", "composite", "pick"), "composite")
+    scored = written(pl.placement_scores(*_sites(spark, sf_dir)))
+    return rounded(pl.select_spaced(pl.diverse_candidates(scored, 120), scored, 25).select("id", "composite", "pick"), "composite")
 
 
 _COVER = (
@@ -515,7 +514,7 @@ _COVER_TAIL = _COVER[len(_SITES) :]
 )
 def compare_coverage(spark, sf_dir):
     tracts, old = _sites(spark, sf_dir)
-    best = win.spaced_top_k(pl.placement_scores(tracts, old), "composite", 25)
+    best = win.spaced_top_k(written(pl.placement_scores(tracts, old)), "composite", 25)
     return pl.compare_coverage(tracts, {"fixed": _picked(spark, sf_dir), "spaced": best}, old).select("method", "total", "covered", "new_covered")
 
 

@@ -314,7 +314,7 @@ _FILL = (
 )
 def neighbor_features(spark, sf_dir):
     d = v_sensor_day(spark, sf_dir)
-    out = joins.neighbor_features(d, d, max_lat=40.0)
+    out = joins.neighbor_features(d, d)
     return out.select("sensor_id", "date", *[(r6(c) if "count" not in c else F.col(c).cast("long")).alias(c) for c in out.columns if c.startswith("nbr_")])
 
 
@@ -341,7 +341,7 @@ def neighbor_features(spark, sf_dir):
 def band_distribution(spark, sf_dir):
     """Readings by robust QC, same-day neighbours, AQI and band to the share of each band."""
     d = win.min_rows(win.robust_z(clean.in_range(v_sensor_day(spark, sf_dir), "pm25"), "sensor_id", "pm25"), "sensor_id", 25)
-    near = joins.neighbor_features(d, d, max_lat=40.0)
+    near = joins.neighbor_features(d, d)
     named = near.withColumn("band", bands.band_name(F.col("nbr_pm25_50km")))
     return agg.category_counts(named, "band", bands.NAMES)
 
@@ -359,7 +359,7 @@ def band_distribution(spark, sf_dir):
     dates=("date",),
 )
 def neighbor_features_heldout(spark, sf_dir):
-    out = joins.neighbor_features_heldout(v_sensor_day(spark, sf_dir), max_lat=40.0)
+    out = joins.neighbor_features_heldout(v_sensor_day(spark, sf_dir))
     return out.select("fold", "sensor_id", "date", F.col("nbr_count_50km").cast("long").alias("nbr_count_50km"), r6("nbr_pm25_50km").alias("nbr_pm25_50km"))
 
 
@@ -376,7 +376,7 @@ _SNAP = "z AS (SELECT lat, lon, pm25 FROM v_sensor_day WHERE date = DATE '2024-0
 )
 def point_neighbors(spark, sf_dir):
     snap = v_sensor_day(spark, sf_dir).where("date = DATE '2024-01-10'").select("lat", "lon", "pm25")
-    out = joins.point_neighbors(v_tract(spark, sf_dir).select(F.col("GEOID").alias("id"), "lat", "lon"), snap, min_n=10, max_lat=40.0)
+    out = joins.point_neighbors(v_tract(spark, sf_dir).select(F.col("GEOID").alias("id"), "lat", "lon"), snap, min_n=10)
     return out.select("id", r6("nbr_pm25_50km").alias("nbr_pm25_50km"), F.col("nbr_count_50km").cast("long").alias("nbr_count_50km"), r6("nbr_pm25_25km").alias("nbr_pm25_25km"))
 
 

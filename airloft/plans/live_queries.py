@@ -2,30 +2,19 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import bands
 from ..operators import aggregates as agg, joins
 from ..streaming import live
+from ..sources.io import load_or_none, shared_folder
 from .registry import query
 from .views import events, place, r6, sql_km, sql_r6, table, v_sensor_day, v_smoke, v_tract, with_views
 
 R = sql_r6
 
 
-def folder(spark, name: str) -> str:
-    """A new folder under the session's shared checkpoint folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        import tempfile
-
-        base = tempfile.mkdtemp(prefix="spark-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def stream_events(spark, sf_dir) -> DataFrame:
     """The event table as a stream of files."""
     path = f"{sf_dir}/events.parquet"
@@ -38,7 +27,7 @@ def stream_events(spark, sf_dir) -> DataFrame:
 def drain(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Runs a stream over all there is; append mode gives all rows, complete mode the last result."""
     spark = df.sparkSession
-    out, state = folder(spark, name), folder(spark, f"{name}-state")
+    out, state = shared_folder(spark, name), shared_folder(spark, f"{name}-state")
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={0 if mode == 'complete' else number}")
@@ -104,10 +93,10 @@ def stream_snapshot(spark, sf_dir):
     shaped = raw.select(F.col("user_id").cast("string").alias("sensor_id"), F.lit(None).cast("double").alias("pm_24h"), F.col("value").alias("pm_now"), F.lit(100.0).alias("confidence"), F.lit(30.0).alias("latitude"), F.lit(-97.0).alias("longitude"))
     from ..operators.clean import live_qc
 
-    out = folder(spark, "snapshot")
-    q = live_qc(shaped).writeStream.option("checkpointLocation", folder(spark, "snapshot-state")).trigger(availableNow=True).foreachBatch(live.publish_if_usable(out)).start()
+    out = shared_folder(spark, "snapshot")
+    q = live_qc(shaped).writeStream.option("checkpointLocation", shared_folder(spark, "snapshot-state")).trigger(availableNow=True).foreachBatch(live.publish_if_usable(out)).start()
     q.awaitTermination()
-    return spark.read.parquet(out).select("sensor_id", r6("pm25").alias("pm25"))
+    return load_or_none(spark, out).select("sensor_id", r6("pm25").alias("pm25"))
 
 
 @query("score_stream")
@@ -115,11 +104,11 @@ def score_stream(spark, sf_dir):
     """Tracts scored by the neighbours of each batch of live readings."""
     tracts = v_tract(spark, sf_dir).select(F.col("GEOID").alias("id"), "lat", "lon")
     s = stream_events(spark, sf_dir).where(F.col("pm25").between(0, 200)).select("sensor_id", "ts", F.col("lat").alias("latitude"), F.col("lon").alias("longitude"), "pm25")
-    out = folder(spark, "scores")
+    out = shared_folder(spark, "scores")
     scorer = lambda df: df.select("id", F.col("nbr_pm25_50km").alias("pm25"), bands.epa_aqi(F.col("nbr_pm25_50km")).alias("aqi"))
-    q = s.writeStream.option("checkpointLocation", folder(spark, "scores-state")).trigger(availableNow=True).foreachBatch(live.score_batch(tracts, scorer, out, min_n=10)).start()
+    q = s.writeStream.option("checkpointLocation", shared_folder(spark, "scores-state")).trigger(availableNow=True).foreachBatch(live.score_batch(tracts, scorer, out, min_n=10)).start()
     q.awaitTermination()
-    return spark.read.parquet(out).withColumn("pm25", r6("pm25"))
+    return load_or_none(spark, out).withColumn("pm25", r6("pm25"))
 
 
 @query(

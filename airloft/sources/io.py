@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -150,17 +153,54 @@ def latest_day(df: DataFrame, as_of, back: int = 3, date: str = "date") -> DataF
 
 
 def publish(df: DataFrame, path: str) -> None:
-    """Overwrites by Spark's commit protocol: readers of a failed write find no success marker."""
-    df.write.mode("overwrite").parquet(path)
+    """Adds a version to the published table: a folder of its own, by Spark's commit protocol.
+
+    Nothing is deleted or overwritten, so a failed write leaves the last good
+    version, which is the newest that has a success marker.
+    """
+    held = _versions(df.sparkSession, path)
+    df.write.parquet(f"{path}/version={max(held, default=0) + 1:012d}-{uuid.uuid4().hex[:8]}")
+
+
+def _versions(spark: SparkSession, path: str, done: bool = False) -> dict[int, str]:
+    """Number to folder of the versions under path, of complete ones if `done`."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(root):
+        return {}
+    found = [s.getPath() for s in files.listStatus(root) if s.getPath().getName().startswith("version=")]
+    kept = [f for f in found if not done or files.exists(jvm.org.apache.hadoop.fs.Path(f, "_SUCCESS"))]
+    return {int(f.getName()[8:20]): f.toString() for f in sorted(kept, key=lambda f: f.getName())}
 
 
 def load_or_none(spark: SparkSession, path: str) -> DataFrame | None:
+    """The newest complete version of a published table, or a plain table at path; None if there is neither."""
+    held = _versions(spark, path, done=True)
     try:
-        return spark.read.parquet(path)
+        return spark.read.parquet(held[max(held)] if held else path)
     except AnalysisException:
         return None
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder under the session's shared checkpoint folder; in local mode one of the machine where that is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="spark-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df by a reliable checkpoint: later steps start from the written rows."""
+    spark = df.sparkSession
+    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(shared_folder(spark, "steps"))
+    return df.checkpoint()
+
+
 def stage(df: DataFrame, path: str) -> DataFrame:
     """Written and read again, so later phases restart from here."""
     df.write.mode("overwrite").parquet(path)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.clean import live_qc
 from ..operators.joins import point_neighbors
+from ..sources.io import publish
 
 LIVE_SCHEMA = "sensor_id string, ts timestamp, latitude double, longitude double, pm_24h double, pm_now double, confidence double"
 
@@ -64,13 +65,13 @@ def stream_dedupe(df: DataFrame, keys, ts: str = "ts", delay: str = "1 day") ->
 
 
 def publish_if_usable(path: str, min_n: int = 20):
-    """A foreachBatch function: replaces the table at `path` only by batches of min_n sensors or more."""
+    """A foreachBatch function: batches of min_n rows or more become the newest version of the table at `path`; see load_or_none."""
 
-    def publish(batch: DataFrame, _: int) -> None:
+    def run(batch: DataFrame, _: int) -> None:
         if batch.limit(min_n).count() >= min_n:
-            batch.write.mode("overwrite").parquet(path)
+            publish(batch, path)
 
-    return publish
+    return run
 
 
 def with_fallback(keys: DataFrame, live: DataFrame, last: DataFrame, climatology: DataFrame, fill: float, key: str = "sensor_id", col: str = "pm25") -> DataFrame:
@@ -90,7 +91,7 @@ def score_batch(tracts: DataFrame, scorer, path: str, min_n: int = 20):
         latest = latest_per_sensor(batch.select("sensor_id", "ts", F.col("latitude").alias("lat"), F.col("longitude").alias("lon"), "pm25"))
         found = point_neighbors(tracts, latest, min_n=min_n)
         if found.limit(1).count():
-            scorer(found).write.mode("overwrite").parquet(path)
+            publish(scorer(found), path)
 
     return run
 

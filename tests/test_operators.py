@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from airloft.operators import aggregates as agg, clean, interpolate as itp, joins, modelling as ml, windows as win
+from airloft.operators import aggregates as agg, clean, interpolate as itp, joins, modelling as ml, placement as pl, windows as win
 from airloft.sources import io
 
 FORM = "sensor_id string, lat double, lon double, date date, pm25 double"
@@ -95,12 +95,55 @@ def test_snapshot_gate(spark):
     assert joins.point_neighbors(pts, s(19)).count() == 0 and joins.point_neighbors(pts, s(20)).count() == 1
 
 
-def test_nearest_ties_and_many_targets(spark):
-    pts = spark.createDataFrame([(i, 30 + i / 50, -97.0) for i in range(20)], "id int, lat double, lon double")
+def test_nearest_ties(spark):
+    pts = spark.createDataFrame([(i, 30 + i / 50, -97.0) for i in range(20)] + [(99, None, 1.0)], "id int, lat double, lon double")
     t = spark.createDataFrame([("b", 31.0, -97.5), ("a", 31.0, -96.5), ("c", 20.0, -80.0)], "k string, lat double, lon double")
-    few = {r["id"]: r["k"] for r in joins.nearest(pts, t, "k").collect()}
-    many = {r["id"]: r["k"] for r in joins.nearest(pts, t, "k", most=1).collect()}
-    assert few == many and set(few.values()) <= {"a", "b"}
+    got = {r["id"]: r["k"] for r in joins.nearest(pts, t, "k").collect()}
+    assert got.pop(99) is None and set(got.values()) <= {"a", "b"} and len(got) == 20
+    assert joins.nearest(pts, t.limit(0), "k").where("k IS NOT NULL OR km IS NOT NULL").count() == 0
+
+
+def test_nearest_neighbours_anywhere(spark):
+    import random
+
+    def km(a, b):
+        x = math.sin(math.radians(b[0] - a[0]) / 2) ** 2 + math.cos(math.radians(a[0])) * math.cos(math.radians(b[0])) * math.sin(math.radians(b[1] - a[1]) / 2) ** 2
+        return 2 * 6371.0 * math.asin(min(1.0, math.sqrt(x)))
+
+    rng = random.Random(4)
+    place = lambda: (math.degrees(math.asin(rng.uniform(-1, 1))), rng.uniform(-180, 180))
+    pts = [place() for _ in range(60)] + [(89.9, 10.0), (-90.0, 0.0), (10.0, 179.99), (10.0, -179.99), (30.0, -97.0)]
+    close = [(40 + rng.random(), -90 + rng.random()) for _ in range(80)]  # far from most points, so reaches must widen
+    for src in ([place() for _ in range(120)] + [(10.0, -179.98), (89.8, -170.0)], close):
+        p = spark.createDataFrame([(i, *x) for i, x in enumerate(pts)], "id int, lat double, lon double")
+        t = spark.createDataFrame([(i, *x) for i, x in enumerate(src)], "id int, lat double, lon double")
+        got = {}
+        for r in joins.knn(p, t, 3).collect():
+            got.setdefault(r["id"], []).append((r["rank"], r["source_id"]))
+        want = {i: [j for _, j in sorted((km(x, y), j) for j, y in enumerate(src))[:3]] for i, x in enumerate(pts)}
+        assert {i: [j for _, j in sorted(v)] for i, v in got.items()} == want
+        dist = {r["id"]: r["dist"] for r in joins.dist_to_set(p, t, 500.0).collect()}
+        assert all(abs(dist[i] - min(500.0, min(km(x, y) for y in src))) < 1e-6 for i, x in enumerate(pts))
+        pairs = {(r["id"], r["j"]) for r in joins.within(p, t.withColumnRenamed("id", "j"), 3000.0).collect()}
+        assert pairs == {(i, j) for i, x in enumerate(pts) for j, y in enumerate(src) if km(x, y) <= 3000.0}
+    two = spark.createDataFrame([(1, 10.0, 179.99), (2, 10.0, -179.99)], "id int, lat double, lon double")
+    assert all(r["km"] < 3 for r in joins.nearest_other(two).collect()) and joins.nearest_other(two.limit(1)).first()["km"] is None
+
+
+def test_cell_or_nearest_by_squares(spark):
+    pts = [(30.2, -97.4), (50.0, 10.0), (0.0, 0.0), (-60.0, 170.0), (None, 1.0)]
+    cells = [(30, -97, 1.0), (31, -100, 2.0), (48, 30, 3.0)]
+    got = {r["i"]: r["value"] for r in joins.cell_or_nearest(spark.createDataFrame([(i, *x) for i, x in enumerate(pts)], "i int, lat double, lon double"), spark.createDataFrame(cells, "cy int, cx int, value double"), 9.0).collect()}
+    best = lambda x: min(cells, key=lambda c: ((c[0] - x[0]) ** 2 + (c[1] - x[1]) ** 2, c))[2]
+    assert got == {i: 9.0 if x[0] is None else best(x) for i, x in enumerate(pts)}
+
+
+def test_short_ranking_is_filled_by_coverage(spark):
+    form = "id string, lat double, lon double, composite double, coverage_need double"
+    ranked = spark.createDataFrame([("a", 30.0, -97.0, 0.9, 0.0)], form)
+    fill = spark.createDataFrame([("a", 30.0, -97.0, 0.9, 0.0), ("b", 32.0, -97.0, 0.5, 0.0), ("c", 34.0, -97.0, 0.3, 1.0), ("d", 30.01, -97.0, 0.8, 1.0)], form)
+    got = pl.select_spaced(ranked, fill, 3).orderBy("pick").collect()
+    assert [r["id"] for r in got] == ["a", "c", "b"] and [r["pick"] for r in got] == [1, 2, 3] and set(got[0].asDict()) == {"id", "lat", "lon", "composite", "coverage_need", "pick"}
 
 
 def test_robust_z_with_flat_sensor(spark):
@@ -201,4 +244,5 @@ def test_streaming_dedupe_and_gate(spark, tmp_path):
     publish(spark.read.parquet(str(tmp_path / "in")), 0)
     assert io.load_or_none(spark, str(tmp_path / "out")) is None
     live.publish_if_usable(str(tmp_path / "out"), 2)(spark.read.parquet(str(tmp_path / "in")), 1)
+    (tmp_path / "out" / "version=000000000009-x").mkdir()  # a write that failed
     assert io.load_or_none(spark, str(tmp_path / "out")).count() == 2

@@ -64,9 +64,10 @@ def add_missing(df: DataFrame, defaults: dict) -> DataFrame:
 
 
 def conformance(df: DataFrame, expected) -> DataFrame:
-    """(col, present) of each expected column."""
-    return df.sparkSession.createDataFrame([(c, c in df.columns) for c in expected], "col string, present boolean")
-
+    """(col, present, filled): is an expected column there, and how many rows have a value in it."""
+    have = set(df.columns)
+    parts = [F.struct(F.lit(c).alias("col"), F.lit(c in have).alias("present"), (F.count(c) if c in have else F.lit(0).cast("long")).alias("filled")) for c in expected]
+    return df.agg(F.count(F.lit(1)), F.array(*parts).alias("r")).select(F.explode("r").alias("r")).select("r.*")
 
 def fill_by_precedence(df: DataFrame, features, shared: dict, fill: dict) -> DataFrame:
     """Each feature from the row, else a value shared by all rows, else the training fill, else 0."""

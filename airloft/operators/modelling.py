@@ -44,9 +44,10 @@ def predict(df: DataFrame, features, models: dict, log: bool = False) -> DataFra
 
 
 def hash_split(df: DataFrame, key, share: float = 0.2) -> tuple[DataFrame, DataFrame]:
-    """(train, test) by a hash of the key: the same rows in every run."""
+    """(train, test) by the MD5 of the key's text: the same rows in every run and engine."""
     key = [key] if isinstance(key, str) else list(key)
-    test = F.pmod(F.xxhash64(*key), F.lit(1000)) < int(share * 1000)
+    digest = F.md5(F.concat_ws("/", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in key]))
+    test = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % 1000 < int(share * 1000)
     return df.where(~test), df.where(test)
 
 

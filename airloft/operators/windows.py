@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import haversine_mi, null_nan
+from ..sources.io import written
 
 
 def robust_z(df: DataFrame, key: str, col: str, z: float = 20.0) -> DataFrame:
@@ -39,9 +40,28 @@ def top_per_cell(df: DataFrame, score: str, cells: int = 20, id_col: str = "id")
     return keyed.withColumn("_k", F.row_number().over(best)).where("_k = 1").drop("_k")
 
 
+def in_order(df: DataFrame, order, cost: str | None = None) -> DataFrame:
+    """df with _rank (1, 2, ...) and, of a cost, its _running sum in an order without ties.
+
+    Rows are dealt to ranges of the order and written; a range's rows and cost
+    shift what is counted within the next ones, so no task holds all rows.
+    """
+    spark = df.sparkSession
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = written(df.repartitionByRange(ranges, *order).withColumn("_part", F.spark_partition_id()))
+    value = F.col(cost) if cost else F.lit(0)
+    sizes = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), F.sum(value).alias("_c"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    starts = sizes.select("_part", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in ("_n", "_c")])
+    inside = Window.partitionBy("_part").orderBy(*order)
+    running = F.sum(value).over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)) + F.col("_c")
+    out = dealt.join(F.broadcast(starts), "_part").withColumn("_rank", F.row_number().over(inside) + F.col("_n")).withColumn("_running", running)
+    return out.drop("_part", "_n", "_c", *([] if cost else ["_running"]))
+
+
 def add_rank(df: DataFrame, order) -> DataFrame:
-    """rank 1, 2, ... over few selected rows."""
-    return df.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+    """rank 1, 2, ... in an order without ties."""
+    return in_order(df, order).withColumn("rank", F.col("_rank").cast("int")).drop("_rank")
 
 
 def date_chunks(df: DataFrame, start: str, end: str, days: int = 720) -> DataFrame:
@@ -51,9 +71,9 @@ def date_chunks(df: DataFrame, start: str, end: str, days: int = 720) -> DataFra
 
 
 def within_budget(df: DataFrame, order, cost: str, budget: float, reserve: float = 5000) -> DataFrame:
-    """Items in order while the running cost and the reserve fit the budget; for lists that one task can order."""
-    running = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return df.withColumn("running", F.sum(cost).over(running)).where(F.col("running") + reserve <= budget)
+    """Items, in an order without ties, while the running cost and the reserve fit the budget."""
+    out = in_order(df, order, cost).withColumn("running", F.col("_running")).drop("_rank", "_running")
+    return out.where(F.col("running") + reserve <= budget)
 
 
 def tail_holdout(df: DataFrame, order, frac: float = 0.1, cap: int = 50_000) -> DataFrame:
@@ -73,20 +93,20 @@ def tail_holdout(df: DataFrame, order, frac: float = 0.1, cap: int = 50_000) ->
 def group_folds(df: DataFrame, key: str, n: int = 5, most: int = 5000) -> DataFrame:
     """(key, fold): whole groups in folds of near equal size.
 
-    Up to `most` groups the largest go first, each to the lightest fold; more
-    groups are dealt by hash, which is even for so many.
+    Groups of more than one in `most` of all rows, of which there are fewer
+    than `most`, go largest first to the lightest fold each; smaller ones are
+    dealt by hash, which is even for so many.
     """
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    rows = counts.orderBy(F.desc("n"), key).limit(most + 1).collect()
-    if len(rows) > most:
-        return counts.select(key, F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias("fold"))
+    total = counts.agg(F.sum("n").alias("s")).first()["s"] or 0
+    large = F.col("n") * most > total
     load, out = [0] * n, []
-    for r in rows:
+    for r in counts.where(large).orderBy(F.desc("n"), key).collect():
         fold = load.index(min(load))
         load[fold] += r["n"]
         out.append((r[key], fold))
-    schema = f"{key} {dict(df.dtypes)[key]}, fold int"
-    return df.sparkSession.createDataFrame(out, schema)
+    first = df.sparkSession.createDataFrame(out, f"{key} {dict(df.dtypes)[key]}, fold int")
+    return first.unionByName(counts.where(~large).select(key, F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias("fold")))
 
 
 def scenario_std(df: DataFrame, scenarios: DataFrame, score, key: str = "id") -> DataFrame:

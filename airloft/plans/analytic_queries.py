@@ -180,7 +180,15 @@ def tail_holdout(spark, sf_dir):
     return win.tail_holdout(table(spark, sf_dir, "events"), ["ts", "event_id"]).select("event_id", "holdout")
 
 
-@query("group_folds")
+_FOLDS = (
+    ", g AS (SELECT sensor_id, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, sensor_id) AS r FROM v_sensor_day GROUP BY 1), "
+    "rec AS (SELECT CAST(0 AS BIGINT) AS r, CAST([0, 0, 0, 0, 0] AS BIGINT[]) AS held, CAST(-1 AS BIGINT) AS fold UNION ALL "
+    "SELECT g.r, list_transform(held, lambda x, i: x + CASE WHEN i = list_position(held, list_min(held)) THEN g.n ELSE 0 END), CAST(list_position(held, list_min(held)) - 1 AS BIGINT) FROM rec JOIN g ON g.r = rec.r + 1) "
+    "SELECT CAST(fold AS INT) AS fold, CAST(sum(n) AS BIGINT) AS n, count(*) AS sensors FROM rec JOIN g USING (r) GROUP BY 1"
+)
+
+
+@query("group_folds", with_views("v_sensor_day", _FOLDS).replace("WITH", "WITH RECURSIVE", 1))
 def group_folds(spark, sf_dir):
     """Whole sensors in five folds, with the rows of each."""
     d = v_sensor_day(spark, sf_dir)
@@ -260,7 +268,14 @@ def kriging_sensors(spark, sf_dir):
     return rounded(itp.kriging(r, r, exclude_self=True), "corr")
 
 
-@query("ridge_loo")
+_RIDGE = (
+    f", {_RES}, t AS (SELECT count(*) AS n, sum(lat) AS sx, sum(lon) AS sy, sum(resid) AS sv, sum(lat * lat) AS xx, sum(lat * lon) AS xy, sum(lon * lon) AS yy, sum(lat * resid) AS xv, sum(lon * resid) AS yv FROM rs), "
+    "m AS (SELECT rs.*, t.*, n - 1 AS k, (sx - lat) / (n - 1) AS mx, (sy - lon) / (n - 1) AS my, (sv - resid) / (n - 1) AS mv FROM rs, t), "
+    "e AS (SELECT *, xx - lat * lat - k * mx * mx + 2 AS a, xy - lat * lon - k * mx * my AS b, yy - lon * lon - k * my * my + 2 AS c, xv - lat * resid - k * mx * mv AS p, yv - lon * resid - k * my * mv AS q FROM m) "
+)
+
+
+@query("ridge_loo", with_views("v_sensor_day", _RIDGE + f"SELECT id, {R('mv + (lat - mx) * (c * p - b * q) / (a * c - b * b) + (lon - my) * (a * q - b * p) / (a * c - b * b)')} AS corr FROM e"))
 def ridge_loo(spark, sf_dir):
     return rounded(itp.ridge_loo(_residuals(spark, sf_dir), ["lat", "lon"]), "corr")
 
@@ -323,7 +338,7 @@ def fit_and_score(spark, sf_dir):
     return agg.regression_metrics(scored, "y", "pm25_pred")
 
 
-@query("hash_split")
+@query("hash_split", with_views("v_sensor_day", "SELECT CASE WHEN CAST('0x' || substr(md5(sensor_id || '/' || CAST(date AS VARCHAR)), 1, 8) AS BIGINT) % 1000 < 200 THEN 'test' ELSE 'train' END AS part, count(*) AS n FROM v_sensor_day GROUP BY 1"))
 def hash_split(spark, sf_dir):
     train, test = ml.hash_split(_training(spark, sf_dir), "id")
     return train.agg(F.lit("train").alias("part"), F.count(F.lit(1)).alias("n")).union(test.agg(F.lit("test"), F.count(F.lit(1))))
@@ -359,8 +374,10 @@ def blend_report(spark, sf_dir):
 
 @query("calibrate_cv")
 def calibrate_cv(spark, sf_dir):
-    out = ml.calibrate_cv(_oof(spark, sf_dir).withColumn("p", F.col("p_a")), folds=3)
-    return agg.regression_metrics(out, "y", "cal")
+    """Metrics before and after calibration on sites that it has not seen."""
+    out = written(ml.calibrate_cv(_oof(spark, sf_dir).withColumn("p", F.col("p_a")), folds=3))
+    parts = [agg.regression_metrics(out, "y", c).withColumn("stage", F.lit(stage)) for stage, c in (("before", "p"), ("after", "cal"))]
+    return parts[0].unionByName(parts[1])
 
 
 @query("cluster_distance")

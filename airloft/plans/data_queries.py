@@ -52,8 +52,7 @@ def decode_keyed(spark, sf_dir):
 )
 def align_by_position(spark, sf_dir):
     """Each batch asks for 30 sensors and gets their values in that order."""
-    rank = sc.F.row_number().over(win.Window.orderBy(F.col("sensor_id").cast("long"))) - 1
-    s = v_sensor(spark, sf_dir).withColumn("n", rank).withColumn("batch", F.floor(F.col("n") / 30))
+    s = win.add_rank(v_sensor(spark, sf_dir), [F.col("sensor_id").cast("long")]).withColumn("n", F.col("rank") - 1).withColumn("batch", F.floor(F.col("n") / 30))
     b = s.groupBy("batch").agg(F.array_sort(F.collect_list(F.struct("n", "sensor_id", "lat"))).alias("r"))
     asked = b.select("batch", F.col("r.sensor_id").alias("asked"))
     got = b.select("batch", F.transform("r.lat", lambda x: x * 2).alias("got"))
@@ -135,10 +134,11 @@ def tag_membership(spark, sf_dir):
     return clean.flag_present(clean.tag_membership(s, members), members, "sensor_id", "in_dataset").select("sensor_id", "in_tx", "in_dataset")
 
 
-@query("conformance", "SELECT * FROM (VALUES ('GEOID', true), ('lat', true), ('nope', false)) AS t(col, present) WHERE (SELECT count(*) FROM customer) > 0")
+@query("conformance", "SELECT 'GEOID' AS col, true AS present, count(*) AS filled FROM customer UNION ALL SELECT 'ejf', true, count(*) FILTER (WHERE c_acctbal > 0) FROM customer UNION ALL SELECT 'nope', false, CAST(0 AS BIGINT)")
 def conformance(spark, sf_dir):
-    have = clean.add_missing(clean.keep_rename(v_tract(spark, sf_dir), {"GEOID": "GEOID", "lat": "lat", "gone": "gone"}), {"extra": 0.0})
-    return clean.conformance(have, ["GEOID", "lat", "nope"])
+    t = v_tract(spark, sf_dir).withColumn("score", F.when(F.col("c_acctbal") > 0, F.col("ejf")))
+    have = clean.add_missing(clean.keep_rename(t, {"GEOID": "GEOID", "score": "ejf", "gone": "gone"}), {"extra": 0.0})
+    return clean.conformance(have, ["GEOID", "ejf", "nope"])
 
 
 @query("require_range_cap", f"SELECT event_id, {R('value')} AS value FROM events WHERE value BETWEEN 0 AND 200 AND value <= 75 AND ts IS NOT NULL")

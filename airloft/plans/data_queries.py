@@ -97,6 +97,81 @@ def features_merged(spark, sf_dir):
     return merged.select("geoid", "name", r6(bbox(F.col("rings"))["xmin"]).alias("xmin"))
 
 
+# Sources and sinks: written to a shared folder and read again
+
+
+@query("csv_round_trip", with_views("v_tract", f"SELECT GEOID, county, {R('lat')} AS lat FROM v_tract"))
+def csv_round_trip(spark, sf_dir):
+    """As CSV under a misleading name, with a schema and fewer columns on reading."""
+    path = f"{io.shared_folder(spark, 'csv')}.xls"
+    io.write_csv(v_tract(spark, sf_dir).select("GEOID", "c_mktsegment", "county", "lat"), path)
+    return io.read_bom_csv(spark, path, "GEOID string, c_mktsegment string, county int, lat double").select("GEOID", "county", r6("lat").alias("lat"))
+
+
+@query("table_round_trip", with_views("v_sensor_day", f"SELECT sensor_id, date, {R('pm25')} AS pm25 FROM v_sensor_day WHERE date >= DATE '2024-01-10'"), dates=("date",))
+def table_round_trip(spark, sf_dir):
+    """As Parquet by day, of which later days and three columns are read."""
+    path = io.shared_folder(spark, "table")
+    io.write_table(v_sensor_day(spark, sf_dir), path, "date")
+    return io.read_table(spark, path, ["sensor_id", "date", "pm25"]).where("date >= DATE '2024-01-10'").withColumn("pm25", r6("pm25"))
+
+
+@query("records_round_trip", with_views("v_sensor", f"SELECT sensor_id, {R('lat')} AS lat, {R('lon')} AS lon FROM v_sensor"))
+def records_round_trip(spark, sf_dir):
+    path = io.shared_folder(spark, "records")
+    io.write_records(v_sensor(spark, sf_dir), path)
+    return io.read_records(spark, path, "sensor_id string, lat double, lon double").select("sensor_id", r6("lat").alias("lat"), r6("lon").alias("lon"))
+
+
+@query("map_round_trip", with_views("v_sensor_day", f"SELECT sensor_id, {R('avg(pm25)')} AS mean FROM v_sensor_day GROUP BY 1"))
+def map_round_trip(spark, sf_dir):
+    """One JSON object of sensor to mean, as the residual map is kept."""
+    path = io.shared_folder(spark, "map")
+    io.write_map(v_sensor_day(spark, sf_dir).groupBy("sensor_id").agg(F.avg("pm25").alias("mean")), path)
+    return io.read_map(spark, path, "sensor_id", "mean").withColumn("mean", r6("mean"))
+
+
+@query("features_read", with_views("v_smoke", f"SELECT CAST(poly AS VARCHAR) AS geoid, density AS name, {R('x - w')} AS xmin, 5 AS vertices FROM v_smoke"))
+def features_read(spark, sf_dir):
+    """GeoJSON collections, one a nation, read as features."""
+    from ..functions.geometry import bbox, vertex_count
+
+    path = io.shared_folder(spark, "features")
+    p = v_smoke(spark, sf_dir)
+    one = F.struct(F.struct(F.col("poly").cast("string").alias("GEOID"), F.col("density").alias("NAME")).alias("properties"), F.struct(F.lit("Polygon").alias("type"), F.col("rings").alias("coordinates")).alias("geometry"))
+    sets = p.groupBy(F.floor(F.col("poly") / 100)).agg(F.collect_list(one).alias("features"))
+    sets.select(F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), "features"))).write.text(path)
+    return io.read_features(spark, path).select("geoid", "name", r6(bbox(F.col("rings"))["xmin"]).alias("xmin"), vertex_count(F.col("rings")).alias("vertices"))
+
+
+@query("staged", with_views("v_sensor_day v_tract", f"SELECT d.sensor_id, count(*) AS n, {R('avg(d.pm25)')} AS mean FROM v_sensor_day d GROUP BY 1"))
+def staged(spark, sf_dir):
+    """A join kept on disk before the phase that uses it."""
+    d = v_sensor_day(spark, sf_dir)
+    joined = io.stage(d.join(v_sensor(spark, sf_dir).select("sensor_id"), "sensor_id"), io.shared_folder(spark, "stage"))
+    return joined.groupBy("sensor_id").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("pm25")).alias("mean"))
+
+
+@query("published", with_views("v_sensor", f"SELECT sensor_id, {R('lat')} AS lat FROM v_sensor"))
+def published(spark, sf_dir):
+    """Two versions of a table, of which readers get the newer."""
+    path = io.shared_folder(spark, "published")
+    s = v_sensor(spark, sf_dir).select("sensor_id", r6("lat").alias("lat"))
+    io.publish(s.where(F.col("sensor_id").cast("long") % 2 == 0), path)
+    io.publish(s, path)
+    return io.load_or_none(spark, path)
+
+
+@query("distinct_keys", with_views("v_sensor_day", "SELECT DISTINCT lat, date FROM v_sensor_day".replace("lat", f"{R('lat')} AS lat")), dates=("date",))
+def distinct_keys(spark, sf_dir):
+    return clean.distinct_keys(v_sensor_day(spark, sf_dir).withColumn("lat", r6("lat")), ["lat", "date"])
+
+
+@query("median_scalars", with_views("v_tract", f"SELECT {R('median(ejf)')} AS ejf, {R('median(lat)')} AS lat FROM v_tract"))
+def median_scalars(spark, sf_dir):
+    return agg.median_scalars(v_tract(spark, sf_dir), ["ejf", "lat"]).select(r6("ejf").alias("ejf"), r6("lat").alias("lat"))
+
+
 # Cleaning
 
 

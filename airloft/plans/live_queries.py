@@ -87,14 +87,12 @@ def fresh_readings(spark, sf_dir):
 
 @query("stream_snapshot", f"SELECT CAST(user_id AS VARCHAR) AS sensor_id, {R('value')} AS pm25 FROM events WHERE value BETWEEN 0 AND 200")
 def stream_snapshot(spark, sf_dir):
-    """Quality-checked live readings published by a stream only if there are enough."""
-    path = f"{sf_dir}/events.parquet"
-    raw = spark.readStream.schema(spark.read.parquet(path).schema).option("recursiveFileLookup", True).parquet(path)
-    shaped = raw.select(F.col("user_id").cast("string").alias("sensor_id"), F.lit(None).cast("double").alias("pm_24h"), F.col("value").alias("pm_now"), F.lit(100.0).alias("confidence"), F.lit(30.0).alias("latitude"), F.lit(-97.0).alias("longitude"))
-    from ..operators.clean import live_qc
-
+    """Landed readings, quality-checked and published by a stream only if there are enough."""
+    landed = shared_folder(spark, "landed")
+    e = table(spark, sf_dir, "events")
+    e.select(F.col("user_id").cast("string").alias("sensor_id"), F.col("ts").cast("timestamp").alias("ts"), F.lit(30.0).alias("latitude"), F.lit(-97.0).alias("longitude"), F.lit(None).cast("double").alias("pm_24h"), F.col("value").alias("pm_now"), F.lit(100.0).alias("confidence")).write.json(landed)
     out = shared_folder(spark, "snapshot")
-    q = live_qc(shaped).writeStream.option("checkpointLocation", shared_folder(spark, "snapshot-state")).trigger(availableNow=True).foreachBatch(live.publish_if_usable(out)).start()
+    q = live.stream_sensors(spark, landed).writeStream.option("checkpointLocation", shared_folder(spark, "snapshot-state")).trigger(availableNow=True).foreachBatch(live.publish_if_usable(out)).start()
     q.awaitTermination()
     return load_or_none(spark, out).select("sensor_id", r6("pm25").alias("pm25"))
 

@@ -35,10 +35,17 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
+def _json(spark: SparkSession, path: str, schema=None) -> DataFrame:
+    """JSON documents: each on a line of its own if the first line is a whole one, else one a file."""
+    first = spark.read.text(path).select(F.trim("value").alias("v")).where("v <> ''").limit(1).collect()
+    whole = not first or first[0]["v"][0] + first[0]["v"][-1] in ("{}", "[]")
+    reader = spark.read.option("multiLine", not whole)
+    return (reader.schema(schema) if schema is not None else reader).json(path)
+
+
 def read_records(spark: SparkSession, path: str, schema=None) -> DataFrame:
     """JSON array of objects, or one object a line."""
-    reader = spark.read.option("multiLine", True)
-    return (reader.schema(schema) if schema is not None else reader).json(path)
+    return _json(spark, path, schema)
 
 
 def write_records(df: DataFrame, path: str) -> None:
@@ -69,7 +76,7 @@ FEATURES = T.StructType().add(
 
 def read_features(spark: SparkSession, path: str) -> DataFrame:
     """GeoJSON features as (geoid, name, rings); parts of a multipolygon give their rings to one row."""
-    rows = spark.read.option("multiLine", True).schema(FEATURES).json(path).select(F.explode("features").alias("f"))
+    rows = _json(spark, path, FEATURES).select(F.explode("features").alias("f"))
     return rows.select(F.col("f.properties.GEOID").alias("geoid"), F.col("f.properties.NAME").alias("name"), rings_of(F.col("f.geometry")).alias("rings"))
 
 

@@ -545,6 +545,63 @@ def test_toxicity_on_held_out_rows(spark):
     assert right > 0.97
 
 
+def test_kneser_ney_counts_equal_brute_force(spark):
+    """Counts, backoff and evidence from their definitions, in dictionaries."""
+    rng = random.Random(71)
+    texts = [(k, " ".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 9)))) for k in (0, 0, 0, 0, 0, 0, 1, 1, 1) for _ in range(3)]
+    texts += [texts[0], texts[-1]]
+    corpus = [t for _, t in texts] + [" ".join(rng.choice("abcz") for _ in range(5)) for _ in range(9)]
+    rows = spark.createDataFrame([(k, i, t) for i, (k, t) in enumerate(texts)], "toxic int, h long, text string")
+    counts, parts = toxicity.count_sample(rows, spark.createDataFrame([(t,) for t in corpus], "text string"))
+    model = toxicity.fit_model(counts, parts, 0.75)
+    n0 = round(sum(k == 0 for k, _ in texts) / sum(k == 1 for k, _ in texts))
+    assert [len(p) for p in parts] == [n0, 1]
+    hashed = dict(spark.createDataFrame([(t,) for t in corpus], "t string").select("t", F.xxhash64("t")).collect())
+
+    def counted(held):
+        triple = {}
+        for t in held:
+            w = ["", "", *t.split()]
+            for x in zip(w, w[1:], w[2:]):
+                triple[x] = min(triple.get(x, 2**63), hashed[t])
+        pair, word, first = {}, {}, {}
+        for (_, u, v), d in triple.items():
+            pair.setdefault((u, v), set()).add(d)
+            first[u, v] = min(first.get((u, v), 2**63), d)
+        for (u, v), d in first.items():
+            word.setdefault(v, set()).add(d)
+        return {k: len(x) for k, x in pair.items()}, {k: len(x) for k, x in word.items()}
+
+    groups = [counted([t for i, (k, t) in enumerate(texts) if k == 0 and i % n0 == g]) for g in range(n0)] + [counted([t for k, t in texts if k == 1])]
+    vocabulary = {v for _, w in groups for v in w}
+    total = sum(len(set(t.split())) for t in corpus)
+    shared = {v: (sum(v in t.split() for t in corpus) + 0.5) / (total + 0.5 * (len(vocabulary) + 2)) for v in vocabulary}
+    pool = {}
+    for pair, _ in groups:
+        for k, n in pair.items():
+            pool[k] = pool.get(k, 0) + n
+
+    def kept(pair, u, v):
+        all_ = max(1, sum(n for (a, _), n in pair.items() if a == u))
+        left = 1 - sum(max(n - 0.75, 0) / all_ for (a, _), n in pair.items() if a == u)
+        return max(pair.get((u, v), 0) - 0.75, 0) / all_, max(left, 1e-9)
+
+    def log_p(group, u, v):
+        pair, word = group
+        mass = sum(word.values())
+        p_word = max(word.get(v, 0) - 0.75, 0) / mass + (1 - sum(max(n - 0.75, 0) for n in word.values()) / mass) * shared[v]
+        a, b = kept(pool, u, v)
+        x, y = kept(pair, u, v)
+        return math.log(x + y * (a + b * shared[v]) * p_word / shared[v])
+
+    for text in ("a b c", "h", "d a g f b", texts[0][1]):
+        t = next(textnum.slices(pa.array([text])))[2]
+        w = ["", *text.split()]
+        want = [log_p(groups[-1], u, v) - np.mean([log_p(g, u, v) for g in groups[:-1]]) for u, v in zip(w, w[1:]) if v in vocabulary]
+        got = model.features(t)[0][2::2].sum() * len(t.hashes)
+        assert math.isclose(got, sum(want), abs_tol=1e-3)
+
+
 def test_toxicity_of_odd_input(spark):
     docs, labels = odd_documents(spark), spark.createDataFrame([(1, 1, 1), (1, 1, 0), (None, None, None), (6, 1, 0), (8, None, None)], "doc_id long, quality int, toxic int")
     for table in (labels, labels.limit(0), labels.where("toxic = 1")):

@@ -145,20 +145,35 @@ def neighbor_features(query: DataFrame, pool: DataFrame, radii=(25, 50, 100)) ->
 def neighbor_features_heldout(df: DataFrame, radii=(25, 50, 100)) -> DataFrame:
     """(fold, sensor_id, date, ...): neighbour statistics of rows near a sensor with that sensor held out.
 
-    Rows without a pair to the held-out sensor keep their statistics, so only
-    pairs within reach are aggregated again. The day means change for all rows
-    and are corrected by subtraction; for rows that are not listed see
-    loo_without.
+    Rows without a pair to the held-out sensor keep their statistics. For the
+    others its share is taken from the row's sums, so the work grows with the
+    pairs within reach. The day means change for all rows and are corrected
+    likewise; for rows that are not listed see loo_without. Neighbours'
+    readings that are not numbers count as none.
     """
     keys = ["sensor_id", "date", "lat", "lon"]
-    others = df.select(F.col("sensor_id").alias("_sid"), "date", "lat", "lon", F.col("pm25").alias("_pm"))
+    middle = sorted(radii)[len(radii) // 2]
+    reading = F.when(~F.isnan("pm25"), F.col("pm25"))
+    others = df.select(F.col("sensor_id").alias("_sid"), "date", "lat", "lon", reading.alias("_pm"))
     pairs = within(df.select(*keys).distinct(), others, max(radii), ("date",)).where("_sid <> sensor_id")
-    folds = pairs.select(*keys, F.col("_sid").alias("fold")).distinct()
-    again = folds.join(pairs, keys).where("_sid <> fold")
-    stats = neighbour_stats(again, ["fold", *keys], radii)
+    row = Window.partitionBy(*keys)
+    # Deviations from the row's mean keep the sums of squares exact enough to subtract.
+    near = pairs.repartition(*keys).withColumn("_mean", F.avg("_pm").over(row)).withColumn("_off", F.col("_pm") - F.col("_mean"))
+    inside = lambda r, c: F.when(F.col("km") <= r, c)
+    sums = {f"_n{r}": F.count(inside(r, F.col("_off"))) for r in radii} | {f"_s{r}": F.coalesce(F.sum(inside(r, F.col("_off"))), F.lit(0.0)) for r in radii}
+    sums["_q"] = F.coalesce(F.sum(inside(middle, F.col("_off") * F.col("_off"))), F.lit(0.0))
+    held = near.groupBy(*keys, "_sid").agg(F.max("_mean").alias("_mean"), *[c.alias(k) for k, c in sums.items()])
+    rest = held.withColumns({k: F.sum(k).over(row) - F.col(k) for k in sums})
+    stats = {}
+    for r in radii:
+        stats[f"nbr_pm25_{r}km"] = F.when(F.col(f"_n{r}") > 0, F.col("_mean") + F.col(f"_s{r}") / F.col(f"_n{r}"))
+        stats[f"nbr_count_{r}km"] = F.col(f"_n{r}").cast("int")
+    n, off = F.col(f"_n{middle}"), F.col(f"_s{middle}") / F.col(f"_n{middle}")
+    stats[f"nbr_std_{middle}km"] = F.when(n > 1, F.sqrt(F.greatest(F.col("_q") / n - off * off, F.lit(0.0)))).when(n == 1, 0.0)
+    found = rest.select(F.col("_sid").alias("fold"), *keys, *[c.alias(k) for k, c in stats.items()])
     day = df.groupBy("date").agg(F.sum("pm25").alias("_sum"), F.count("pm25").alias("_cnt"))
-    held = df.select(F.col("sensor_id").alias("fold"), "date", F.col("pm25").alias("_held"))
-    out = folds.join(stats, ["fold", *keys], "left").join(df.select(*keys, "pm25"), keys).join(day, "date").join(held, ["fold", "date"], "left")
+    taken = df.select(F.col("sensor_id").alias("fold"), "date", F.col("pm25").alias("_held"))
+    out = found.join(df.select(*keys, "pm25"), keys).join(day, "date").join(taken, ["fold", "date"], "left")
     loo = loo_without(F.col("_sum"), F.col("_cnt"), F.col("pm25"), F.col("_held"))
     mean = df.agg(F.avg("pm25").alias("m")).scalar()
     return fill_neighbors(out.withColumn("loo_mean", loo), mean, radii).drop("loo_mean", "_sum", "_cnt", "_held")
@@ -170,6 +185,18 @@ def loo_without(day_sum: Column, day_count: Column, own: Column, held: Column) -
     return (day_sum - F.coalesce(held, F.lit(0.0)) - own) / F.greatest(day_count - has - 1, F.lit(1))
 
 
+def day_mean_without(rows: DataFrame, held: Column, value: str = "pm25") -> DataFrame:
+    """rows with loo_mean: the same-day mean of the rows that are not held out, without the row's own reading if it is one of them.
+
+    Null where a day has no other such row.
+    """
+    kept = F.when(~held, F.col(value))
+    day = rows.groupBy("date").agg(F.sum(kept).alias("_sum"), F.count(kept).alias("_cnt"))
+    n = F.col("_cnt") - F.when(kept.isNotNull(), 1).otherwise(0)
+    mean = F.when(n > 0, (F.col("_sum") - F.coalesce(kept, F.lit(0.0))) / n)
+    return rows.drop("loo_mean").join(day, "date").withColumn("loo_mean", mean).drop("_sum", "_cnt")
+
+
 def point_neighbors(points: DataFrame, sensors: DataFrame, radii=(25, 50, 100), min_n: int = 20) -> DataFrame:
     """points (id, lat, lon) with statistics of one snapshot of sensors (lat, lon, pm25).
 

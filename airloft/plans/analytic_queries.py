@@ -362,6 +362,19 @@ def site_out_cv(spark, sf_dir):
     return agg.regression_metrics(oof, "y", "p_forest")
 
 
+@query("site_out_cv_rebuilt")
+def site_out_cv_rebuilt(spark, sf_dir):
+    """The same with the day means rebuilt for each fold, from rows whose sites are not held out."""
+
+    def rebuild(rows, held):
+        out = joins.day_mean_without(rows, held, "y")
+        return out.withColumn("loo_mean", F.coalesce("loo_mean", F.lit(0.0)))
+
+    t = _training(spark, sf_dir).withColumn("date", F.col("day"))
+    oof = ml.site_out_cv(t, FEATURES, "y", "sensor_id", shared_folder(spark, "folds"), 3, rebuild)
+    return agg.regression_metrics(oof, "y", "p_forest")
+
+
 @query("blend_weights")
 def blend_weights(spark, sf_dir):
     return ml.blend_weights(_oof(spark, sf_dir), ["a", "b", "c"])[0]
@@ -392,6 +405,22 @@ def metrics_report(spark, sf_dir):
     return ml.metrics_report({m: agg.regression_metrics(o, "y", f"p_{m}") for m in ("a", "b")})
 
 
+@query(
+    "metrics_report_read",
+    with_views(
+        "v_sensor_day",
+        f", {_OOF}, a AS (SELECT {_METRIC} FROM oof), b AS (SELECT {_METRIC.replace('p_a', 'p_b')} FROM oof), "
+        "r AS (SELECT 'a' AS section, * FROM a UNION ALL SELECT 'b', * FROM b) "
+        "SELECT section, 'n' AS metric, CAST(n AS DOUBLE) AS value FROM r UNION ALL SELECT section, 'rmse', rmse FROM r UNION ALL SELECT section, 'mae', mae FROM r UNION ALL SELECT section, 'r2', r2 FROM r",
+    ),
+)
+def metrics_report_read(spark, sf_dir):
+    """The report's JSON read back as rows."""
+    sections = metrics_report(spark, sf_dir).select(F.explode(F.from_json("json", "map<string,string>")).alias("section", "text"))
+    rows = sections.select("section", F.explode(F.from_json("text", "map<string,double>")).alias("metric", "value"))
+    return rows.withColumn("value", r6("value"))
+
+
 # Placement
 
 

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import bands
+from ..functions.scalars import cell_index
 from ..operators import aggregates as agg, joins
+from ..operators.clean import tract_by_id
 from ..streaming import live
 from ..sources.io import load_or_none, shared_folder
 from .registry import query
@@ -159,6 +161,41 @@ def county_reports(spark, sf_dir):
     return agg.pack_report(predictions(spark, sf_dir), "county", ["id", "pm25", "aqi", "category", "color", "aqi_range", "health_msg"])
 
 
+@query(
+    "county_reports_read",
+    with_views(
+        "v_sensor_day v_tract",
+        f", {_PRED} SELECT county, {R('avg(pm25) OVER (PARTITION BY county)')} AS mean, count(*) OVER (PARTITION BY county) AS n, id, pm25, CASE WHEN pm25 <= 9 THEN 'Good' WHEN pm25 <= 13 THEN 'Moderate' WHEN pm25 <= 17 THEN 'Elevated' ELSE 'High' END AS category FROM pr",
+    ),
+)
+def county_reports_read(spark, sf_dir):
+    """The reports' JSON read back, a row a tract."""
+    shape = "summary struct<mean:double,n:long>, tracts array<struct<id:string,pm25:double,category:string>>"
+    read = county_reports(spark, sf_dir).select("county", F.from_json("json", shape).alias("r"))
+    rows = read.select("county", "r.summary.mean", "r.summary.n", F.explode("r.tracts").alias("t"))
+    return rows.select("county", r6("mean").alias("mean"), "n", "t.id", "t.pm25", "t.category")
+
+
+@query(
+    "tract_detail",
+    with_views(
+        "v_sensor_day v_tract",
+        f", {_PRED}, c AS (SELECT CAST(round_even(lat, 0) AS INT) AS cy, CAST(round_even(lon, 0) AS INT) AS cx, avg(pm25) AS value FROM v_sensor_day WHERE CAST(sensor_id AS BIGINT) % 3 = 0 GROUP BY 1, 2), "
+        "t AS (SELECT * FROM v_tract WHERE GEOID = '48000000007'), "
+        "n AS (SELECT arg_min(c.value, ((c.cy - t.lat) * (c.cy - t.lat) + (c.cx - t.lon) * (c.cx - t.lon), c.cy, c.cx)) AS v FROM t, c) "
+        f"SELECT t.GEOID AS id, pr.pm25, CASE WHEN pr.pm25 <= 9 THEN 'Good' WHEN pr.pm25 <= 13 THEN 'Moderate' WHEN pr.pm25 <= 17 THEN 'Elevated' ELSE 'High' END AS category, {R('coalesce(c.value, n.v, 1.5)')} AS cell_value "
+        "FROM t JOIN pr ON pr.id = t.GEOID CROSS JOIN n LEFT JOIN c ON c.cy = round_even(t.lat, 0) AND c.cx = round_even(t.lon, 0)",
+    ),
+)
+def tract_detail(spark, sf_dir):
+    """One tract by key: its prediction and the value of its cell, or of the nearest cell that has one."""
+    d = v_sensor_day(spark, sf_dir).where(F.col("sensor_id").cast("long") % 3 == 0)
+    cells = d.groupBy(cell_index(F.col("lat"), 1.0).alias("cy"), cell_index(F.col("lon"), 1.0).alias("cx")).agg(F.avg("pm25").alias("value"))
+    one = tract_by_id(v_tract(spark, sf_dir), "48000000007").select(F.col("GEOID").alias("id"), "lat", "lon")
+    filled = joins.cell_or_nearest(one, cells, 1.5).select("id", r6("value").alias("cell_value"))
+    return filled.join(predictions(spark, sf_dir).select("id", "pm25", "category"), "id")
+
+
 @query("tract_geometry", with_views("v_smoke", "SELECT CAST(poly AS VARCHAR) AS geoid, CAST(5 AS INT) AS vertices FROM v_smoke WHERE starts_with(CAST(poly AS VARCHAR), '12')"))
 def tract_geometry(spark, sf_dir):
     """Polygons of one county by key prefix, simplified for display."""

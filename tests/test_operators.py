@@ -74,6 +74,28 @@ def test_held_out_neighbours(spark):
         assert math.isclose(r["nbr_pm25_50km"], want[2], abs_tol=1e-9) and r["nbr_count_50km"] == want[3]
 
 
+def test_held_out_deviations_and_all_radii(spark):
+    import statistics
+
+    rows = [r for r in sensor_days(5) if r[4] is not None]
+    got = joins.neighbor_features_heldout(spark.createDataFrame(rows, FORM)).collect()
+    assert got
+    for r in got:
+        near = {k: [x[4] for x in rows if x[3] == r["date"] and x[0] not in (r["sensor_id"], r["fold"]) and km((r["lat"], r["lon"]), x[1:3]) <= k] for k in (25, 50, 100)}
+        assert [r[f"nbr_count_{k}km"] for k in near] == [len(v) for v in near.values()]
+        assert math.isclose(r["nbr_std_50km"], statistics.pstdev(near[50]) if near[50] else 0.0, abs_tol=1e-6)
+        for k, v in near.items():
+            if v:
+                assert math.isclose(r[f"nbr_pm25_{k}km"], statistics.fmean(v), abs_tol=1e-9)
+
+
+def test_day_means_without_held_out_sites(spark):
+    day = date(2025, 1, 1)
+    rows = [("a", day, 4.0, False), ("b", day, 6.0, False), ("c", day, 50.0, True), ("d", day, None, False), ("e", date(2025, 1, 2), 9.0, False)]
+    got = joins.day_mean_without(spark.createDataFrame(rows, "id string, date date, pm25 double, held boolean"), F.col("held"))
+    assert {r["id"]: r["loo_mean"] for r in got.collect()} == {"a": 6.0, "b": 4.0, "c": 5.0, "d": 5.0, "e": None}
+
+
 def test_lone_sensor_day_is_zero_not_null(spark):
     lone = [("a", 30.0, -97.0, date(2025, 1, 1), 9.0), ("b", 30.1, -97.0, date(2025, 1, 2), 5.0)]
     df = spark.createDataFrame(lone, FORM)

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.io import written
 from .aggregates import gram
 from .joins import knn
 from .windows import top_strategies
 
 COINCIDENT_KM = 1e-6
+#: Neighbours of a kriging system.
+KRIGING_K = 25
 
 
 def idw(targets: DataFrame, sources: DataFrame, k: int = 8, power: float = 2.0, max_km: float = 150.0, exclude_self: bool = False) -> DataFrame:
@@ -20,7 +25,16 @@ def idw(targets: DataFrame, sources: DataFrame, k: int = 8, power: float = 2.0,
     Sources at the target itself replace the others by their mean; 0 where no
     source is near.
     """
-    near = knn(targets.select("id", "lat", "lon"), sources.select("id", "lat", "lon", "resid"), k, max_km, exclude_self)
+    return _idw(targets, knn(targets.select("id", "lat", "lon"), _sources(sources), k, max_km, exclude_self), power)
+
+
+def _sources(sensors: DataFrame) -> DataFrame:
+    """Sources of knn joins, with their places under names of their own."""
+    return sensors.select("id", "lat", "lon", "resid", F.col("lat").alias("slat"), F.col("lon").alias("slon"))
+
+
+def _idw(targets: DataFrame, near: DataFrame, power: float) -> DataFrame:
+    """idw from the neighbours (id, km, resid) themselves."""
     w = F.when(F.col("km") >= COINCIDENT_KM, 1 / F.pow("km", F.lit(power)))
     same = F.avg(F.when(F.col("km") < COINCIDENT_KM, F.col("resid")))
     corr = near.groupBy("id").agg(F.coalesce(same, F.sum(w * F.col("resid")) / F.sum(w)).alias("corr"))
@@ -33,14 +47,17 @@ def _km(lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
     return 2 * 6371.0 * np.arcsin(np.sqrt(np.clip(a, 0, 1)))
 
 
-def kriging(targets: DataFrame, sources: DataFrame, range_km: float = 60.0, nugget: float = 0.1, k: int = 25, exclude_self: bool = False) -> DataFrame:
+def kriging(targets: DataFrame, sources: DataFrame, range_km: float = 60.0, nugget: float = 0.1, k: int = KRIGING_K, exclude_self: bool = False) -> DataFrame:
     """(id, corr): local ordinary kriging with an exponential variogram over the k nearest residuals.
 
     0 where all of them are beyond three ranges. Each target's system has
     k + 1 unknowns and is solved in an Arrow batch.
     """
-    source = sources.select("id", "lat", "lon", "resid", F.col("lat").alias("slat"), F.col("lon").alias("slon"))
-    near = knn(targets.select("id", "lat", "lon"), source, k, None, exclude_self)
+    return _kriging(targets, knn(targets.select("id", "lat", "lon"), _sources(sources), k, None, exclude_self), range_km, nugget)
+
+
+def _kriging(targets: DataFrame, near: DataFrame, range_km: float, nugget: float) -> DataFrame:
+    """kriging from the neighbours (id, rank, km, slat, slon, resid) themselves."""
     rows = near.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("rank", "km", "slat", "slon", "resid"))).alias("s"))
     rows = rows.select("id", *[F.col(f"s.{c}").alias(c) for c in ("km", "slat", "slon", "resid")])
 
@@ -102,10 +119,10 @@ def forest_loo(sensors: DataFrame, feats, folds: int = 5, y: str = "resid", tree
 
     from .windows import group_folds
 
-    rows = VectorAssembler(inputCols=list(feats), outputCol="features").transform(sensors.join(group_folds(sensors, "id", folds), "id"))
-    out = None
+    rows = written(VectorAssembler(inputCols=list(feats), outputCol="features").transform(sensors.join(group_folds(sensors, "id", folds), "id")))
+    least, out = min(30, max(1, rows.count() // 10)), None
     for f in range(folds):
-        model = RandomForestRegressor(labelCol=y, numTrees=trees, maxDepth=depth, minInstancesPerNode=min(30, max(1, rows.count() // 10)), seed=seed).fit(rows.where(F.col("fold") != f))
+        model = RandomForestRegressor(labelCol=y, numTrees=trees, maxDepth=depth, minInstancesPerNode=least, seed=seed).fit(rows.where(F.col("fold") != f))
         part = model.transform(rows.where(F.col("fold") == f)).select("id", F.col("prediction").alias("corr"))
         out = part if out is None else out.unionByName(part)
     return out
@@ -117,16 +134,24 @@ def evaluate_correction(rows: DataFrame, corr: DataFrame, shrink: float = 1.0, c
     Corrections are shrunk, capped in size and the sum floored at 0; rho is
     their correlation with the predictions, 0 where they hardly vary.
     """
-    c = F.coalesce(F.col("corr"), F.lit(0.0)) * shrink
-    c = c if cap is None else F.least(F.greatest(c, F.lit(-float(cap))), F.lit(float(cap)))
-    out = rows.join(corr, "id", "left").withColumn("_c", c).withColumn("_h", F.greatest(F.lit(0.0), F.col("p") + F.col("_c")))
-    err, n = F.col("_h") - F.col("y"), F.count(F.lit(1))
+    return rows.join(corr, "id", "left").withColumn("_c", _applied(F.coalesce("corr", F.lit(0.0)), shrink, cap)).agg(*_figures())
+
+
+def _applied(corr: Column, shrink: float = 1.0, cap: float | None = None) -> Column:
+    """A correction after shrinking and cap."""
+    c = corr * shrink
+    return c if cap is None else F.least(F.greatest(c, F.lit(-float(cap))), F.lit(float(cap)))
+
+
+def _figures() -> list[Column]:
+    """The aggregates of evaluate_correction over rows (y, p, _c)."""
+    err, n = F.greatest(F.lit(0.0), F.col("p") + F.col("_c")) - F.col("y"), F.count(F.lit(1))
     spread = F.sum(F.col("y") * F.col("y")) - F.sum("y") * F.sum("y") / n
     rho = F.when(F.stddev_pop("_c") > 1e-9, F.try_divide(F.covar_pop("p", "_c"), F.stddev_pop("p") * F.stddev_pop("_c"))).otherwise(0.0)
-    return out.agg(
+    return [
         (1 - F.sum(err * err) / spread).alias("r2"), F.sqrt(F.avg(err * err)).alias("rmse"), F.avg(F.abs(err)).alias("mae"),
         F.stddev_pop("_c").alias("corr_std"), F.min("_c").alias("corr_min"), F.max("_c").alias("corr_max"), rho.alias("rho"),
-    )
+    ]
 
 
 #: The searched strategies: kind and parameters are columns, not names to be parsed.
@@ -149,20 +174,33 @@ def correction(targets: DataFrame, sensors: DataFrame, config: dict, feats=("lat
 def search_corrections(rows: DataFrame, sensors: DataFrame, configs=STRATEGIES, feats=("lat", "lon")) -> DataFrame:
     """(name, config, r2, ...) of each strategy, each sensor corrected from the others.
 
-    Strategies that differ only in shrinking and cap share one correction.
+    One neighbour join of the most neighbours that any strategy takes, at any
+    distance, serves all. Strategies that differ only in shrinking and cap
+    share one correction, and all corrections meet the rows in one join.
     """
     import json
 
-    out, made = None, {}
+    sensors = written(sensors)
+    places, kinds, parts, tried = sensors.select("id", "lat", "lon"), {}, [], []
+    most = max((c["k"] if c["kind"] == "idw" else KRIGING_K for c in configs if c["kind"] in ("idw", "kriging")), default=0)
+    near = written(knn(places, _sources(sensors), most, None, exclude_self=True)) if most else None
     for i, config in enumerate(configs):
         kind = tuple(sorted((k, v) for k, v in config.items() if k not in ("shrink", "cap")))
-        if kind not in made:
-            made[kind] = correction(sensors, sensors, config, feats, exclude_self=True)
-        found = made[kind]
-        one = evaluate_correction(rows, found, config.get("shrink", 1.0), config.get("cap"))
-        one = one.withColumn("name", F.lit(f"{config['kind']}-{i}")).withColumn("config", F.lit(json.dumps(config)))
-        out = one if out is None else out.unionByName(one)
-    return out
+        if kind not in kinds:
+            kinds[kind] = f"c{len(kinds)}"
+            if config["kind"] == "idw":
+                made = _idw(places, near.where((F.col("rank") <= config["k"]) & (F.col("km") < config["max_km"])), config["power"])
+            elif config["kind"] == "kriging":
+                made = _kriging(places, near.where(F.col("rank") <= KRIGING_K), config["range_km"], config["nugget"])
+            else:
+                made = correction(sensors, sensors, config, feats)
+            parts.append(made.select("id", F.lit(kinds[kind]).alias("kind"), "corr"))
+        applied = _applied(F.coalesce(kinds[kind], F.lit(0.0)), config.get("shrink", 1.0), config.get("cap"))
+        one = F.struct(F.lit(f"{config['kind']}-{i}").alias("name"), F.lit(json.dumps(config)).alias("config"), applied.alias("_c"))
+        tried.append(one)
+    made = reduce(DataFrame.unionByName, parts).groupBy("id").pivot("kind", list(kinds.values())).agg(F.first("corr"))
+    each = rows.join(made, "id", "left").select("y", "p", F.inline(F.array(*tried)))
+    return each.groupBy("name", "config").agg(*_figures())
 
 
 def deploy_gate(results: DataFrame, base_r2: float, gain: float = 0.01, rho: float = 0.3) -> DataFrame:
@@ -174,7 +212,5 @@ def deploy_gate(results: DataFrame, base_r2: float, gain: float = 0.01, rho: flo
 
 def apply_correction(tracts: DataFrame, sensors: DataFrame, config: dict) -> DataFrame:
     """(id, corr) of all tracts to four places by a distance-based strategy."""
-    c = F.col("corr") * config.get("shrink", 1.0)
-    cap = config.get("cap")
-    c = c if cap is None else F.least(F.greatest(c, F.lit(-float(cap))), F.lit(float(cap)))
+    c = _applied(F.col("corr"), config.get("shrink", 1.0), config.get("cap"))
     return correction(tracts, sensors, config).withColumn("corr", F.bround(c, 4))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid, licences, lines, media, mixing, neardup, sharding, substrings, toxicity
+from . import decontaminate, langid, licences, lines, media, mixing, neardup, ranked, sharding, substrings, toxicity
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_toxicity": toxicity.op8,
     "op9_language_id": langid.op9,
     "op10_license_scan": licences.op10,
+    "op11_ranked_search": ranked.op11,
 }
 
 ORACLE_SQL = {
@@ -22,4 +23,5 @@ ORACLE_SQL = {
     "op4_line_dedup": lines.SQL,
     "op6_substring_dedup": substrings.SQL,
     "op10_license_scan": licences.sql(),
+    "op11_ranked_search": ranked.SQL,
 }

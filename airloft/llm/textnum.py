@@ -42,9 +42,10 @@ class Texts:
     first[i]:first[i + 1] are the words of text i.
     """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False, blank: np.ndarray = _BLANK):
+        """blank: a flag a byte, set for those that separate words."""
         self.data, self.offsets = data, offsets
-        inside = ~_BLANK[data]
+        inside = ~blank[data]
         before = np.empty_like(inside)
         before[:1] = False
         before[1:] = inside[:-1]
@@ -99,6 +100,29 @@ def slices(column: pa.Array, lower: bool = False, most: int = SLICE_BYTES) -> It
         i = j
 
 
+def pieces(column: pa.Array, lower: bool = False, most: int = SLICE_BYTES, blank: np.ndarray = _BLANK) -> Iterator[tuple[np.ndarray, Texts]]:
+    """(row of each text, Texts) of about `most` bytes; a longer row comes as several texts, cut where a word ends."""
+    data, o = raw(column)
+    ends, rows = [], []
+    for i in range(len(o) - 1):
+        at = o[i]
+        while o[i + 1] - at > most:
+            at += most
+            while at < o[i + 1] and not len(gap := np.flatnonzero(blank[data[at : min(at + 65_536, o[i + 1])]])):
+                at = min(at + 65_536, o[i + 1])
+            at = at + gap[0] if at < o[i + 1] else at
+            ends.append(at)
+            rows.append(i)
+        ends.append(o[i + 1])
+        rows.append(i)
+    cuts, rows = np.array([0, *ends], np.int64), np.array(rows, np.int64)
+    i = 0
+    while i < len(rows):
+        j = max(i + 1, int(np.searchsorted(cuts, cuts[i] + most, "right")) - 1)
+        yield rows[i:j], Texts(data[cuts[i] : cuts[j]], cuts[i : j + 1] - cuts[i], lower, blank)
+        i = j
+
+
 def grams(t: Texts, n: int, short: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Runs of n words: hash, text and first word of each, in order.
 

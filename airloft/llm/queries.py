@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid, licences, lines, media, mixing, neardup, ranked, sharding, substrings, toxicity
+from . import decontaminate, langid, licences, lines, media, mixing, neardup, orchard, ranked, sharding, substrings, toxicity
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_language_id": langid.op9,
     "op10_license_scan": licences.op10,
     "op11_ranked_search": ranked.op11,
+    "op12_centroid_clusters": orchard.op12,
 }
 
 ORACLE_SQL = {
@@ -24,4 +25,5 @@ ORACLE_SQL = {
     "op6_substring_dedup": substrings.SQL,
     "op10_license_scan": licences.sql(),
     "op11_ranked_search": ranked.SQL,
+    "op12_centroid_clusters": orchard.sql(),
 }

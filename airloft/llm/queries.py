@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid, licences, lines, media, mixing, neardup, orchard, ranked, sharding, substrings, toxicity
+from . import decontaminate, langid, licences, lines, media, mixing, neardup, orchard, pii, ranked, sharding, substrings, toxicity
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_license_scan": licences.op10,
     "op11_ranked_search": ranked.op11,
     "op12_centroid_clusters": orchard.op12,
+    "op13_personal_data": pii.op13,
 }
 
 ORACLE_SQL = {

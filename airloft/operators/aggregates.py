@@ -9,12 +9,15 @@ from pyspark.sql import functions as F
 
 from ..functions.bands import band_name, epa_aqi
 from ..functions.scalars import null_nan
+from ..sources.io import written
 from .joins import dist_to_set
+from .quantiles import quantiles
 
 
 def sensor_stats(df: DataFrame, key: str = "sensor_id", col: str = "pm25") -> DataFrame:
     """Sample deviation, exact median and count by sensor."""
-    return df.groupBy(key).agg(F.stddev_samp(col).alias("std"), F.median(null_nan(F.col(col))).alias("median"), F.count(col).alias("n"))
+    stats = df.groupBy(key).agg(F.stddev_samp(col).alias("std"), F.count(col).alias("n"))
+    return stats.join(quantiles(df, {"median": (F.col(col), 0.5)}, key), key).select(key, "std", "median", "n")
 
 
 def climatology(df: DataFrame, order: str = "date") -> DataFrame:
@@ -69,8 +72,7 @@ def pearson(df: DataFrame, a: str, b: str, eps: float = 1e-9) -> DataFrame:
 
 def percentiles(df: DataFrame, col: str, ps, by=()) -> DataFrame:
     """Exact, linearly interpolated percentiles as columns p25, p50, ..."""
-    aggs = [F.percentile(null_nan(F.col(col).cast("double")), F.lit(p / 100.0)).alias(f"p{p}") for p in ps]
-    return df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)
+    return quantiles(df, {f"p{p}": (F.col(col), p / 100.0) for p in ps}, by)
 
 
 def _metrics(y: str, p: str) -> list[Column]:
@@ -97,8 +99,9 @@ def region_summary(preds: DataFrame, region) -> DataFrame:
 
 def mad_by(df: DataFrame, key: str, col: str) -> DataFrame:
     """Median and median absolute deviation by key."""
-    med = df.groupBy(key).agg(F.median(col).alias("med"))
-    return df.join(med, key).groupBy(key).agg(F.first("med").alias("med"), F.median(F.abs(F.col(col) - F.col("med"))).alias("mad"))
+    med = quantiles(df, {"med": (F.col(col), 0.5)}, key)
+    mad = quantiles(df.join(med, key), {"mad": (F.abs(F.col(col) - F.col("med")), 0.5)}, key)
+    return med.join(mad, key)
 
 
 def profile(df: DataFrame, key: str = "sensor_id", date: str = "date") -> DataFrame:
@@ -108,13 +111,14 @@ def profile(df: DataFrame, key: str = "sensor_id", date: str = "date") -> DataFr
 
 def coverage(tracts: DataFrame, selected: DataFrame, existing: DataFrame, miles: float = 10.0) -> DataFrame:
     """One row: tracts within reach of old and new sensors; new_covered is the difference of two counts."""
-    d = _distances(tracts, selected, existing)
+    d = written(_distances(tracts, selected, existing))
     n = F.count(F.lit(1))
     covered, before = F.count_if(F.col("dist") <= miles), F.count_if(F.col("dist_old") <= miles)
-    return d.agg(
+    row = d.agg(
         n.alias("total"), covered.alias("covered"), before.alias("existing_covered"), (covered - before).alias("new_covered"),
-        (100.0 * covered / n).alias("pct"), F.avg("dist").alias("avg_miles"), F.max("dist").alias("max_miles"), F.median("dist").alias("median_miles"),
+        (100.0 * covered / n).alias("pct"), F.avg("dist").alias("avg_miles"), F.max("dist").alias("max_miles"),
     )
+    return row.join(F.broadcast(quantiles(d, {"median_miles": (F.col("dist"), 0.5)})), F.lit(True))  # one row each
 
 
 def _distances(tracts: DataFrame, selected: DataFrame, existing: DataFrame) -> DataFrame:
@@ -128,8 +132,9 @@ def coverage_by_quartile(tracts: DataFrame, selected: DataFrame, existing: DataF
     """The same by quartile of ejf; bounds come from scores above 0, zeros count in the first, 101 and more nowhere."""
     d = _distances(tracts, selected, existing)
     ej = F.coalesce("ejf", F.lit(0.0))
-    cuts = tracts.agg(F.percentile(F.when(F.col("ejf") > 0, F.col("ejf")), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q")).scalar()
-    q = F.coalesce(cuts, F.array(F.lit(25.0), F.lit(50.0), F.lit(75.0)))
+    positive = F.when(F.col("ejf") > 0, F.col("ejf"))
+    cuts = quantiles(tracts, {f"q{i}": (positive, i / 4) for i in (1, 2, 3)}).first()
+    q = F.array(*[F.lit(25.0 * i if cuts[f"q{i}"] is None else cuts[f"q{i}"]) for i in (1, 2, 3)])
     named = d.withColumn("_q", q).withColumn("quartile", F.when(ej < F.col("_q")[0], "Q1").when(ej < F.col("_q")[1], "Q2").when(ej < F.col("_q")[2], "Q3").when(ej < 101, "Q4"))
     n, covered, before = F.count(F.lit(1)), F.count_if(F.col("dist") <= miles), F.count_if(F.col("dist_old") <= miles)
     return named.where("quartile IS NOT NULL").groupBy("quartile").agg(n.alias("total"), covered.alias("covered"), (covered - before).alias("new_covered"), (100.0 * covered / n).alias("pct"), F.avg("dist").alias("avg_miles"))

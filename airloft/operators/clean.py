@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import REGION_BOX, in_box, null_nan, pad_key
+from .quantiles import quantiles
 
 
 def keep_rename(df: DataFrame, mapping: dict) -> DataFrame:
@@ -81,14 +82,15 @@ def fill_by_precedence(df: DataFrame, features, shared: dict, fill: dict) -> Dat
 
 def drop_bad_sensors(df: DataFrame, std: float = 1.0, med: float = 15.0, n: int = 200, key: str = "sensor_id", col: str = "pm25") -> DataFrame:
     """Without sensors that hardly vary (sample deviation), run high or have few readings."""
-    stats = df.groupBy(key).agg(F.stddev_samp(col).alias("_s"), F.median(null_nan(F.col(col))).alias("_m"), F.count(col).alias("_n"))
+    middle = quantiles(df, {"_m": (F.col(col), 0.5)}, key)
+    stats = df.groupBy(key).agg(F.stddev_samp(col).alias("_s"), F.count(col).alias("_n")).join(middle, key)
     bad = stats.where((F.col("_s") < std) | (F.col("_m") > med) | (F.col("_n") < n))
     return df.join(bad, key, "left_anti")
 
 
 def medians(df: DataFrame, cols) -> DataFrame:
     """One row of exact medians, NaN skipped."""
-    return df.agg(*[F.median(null_nan(F.col(c).cast("double"))).alias(c) for c in cols])
+    return quantiles(df, {c: (F.col(c), 0.5) for c in cols})
 
 
 def fill_median(df: DataFrame, cols) -> DataFrame:
@@ -100,7 +102,8 @@ def fill_median(df: DataFrame, cols) -> DataFrame:
 def feature_fill(df: DataFrame, features, zero=("hms_smoke",)) -> DataFrame:
     """(feature, fill): medians, 0 for features whose absence means none."""
     present = [f for f in features if f in df.columns]
-    row = df.agg(*[(F.lit(0.0) if f in zero else F.coalesce(F.median(null_nan(F.col(f).cast("double"))), F.lit(0.0))).alias(f) for f in present])
+    found = [f for f in present if f not in zero]
+    row = (medians(df, found) if found else df.agg(F.count(F.lit(1)))).select(*[F.coalesce(F.col(f), F.lit(0.0)).alias(f) if f in found else F.lit(0.0).alias(f) for f in present])
     return row.select(F.explode(F.map_from_arrays(F.array(*[F.lit(f) for f in present]), F.array(*present))).alias("feature", "fill"))
 
 

@@ -179,6 +179,56 @@ def neighbor_features_heldout(df: DataFrame, radii=(25, 50, 100)) -> DataFrame:
     return fill_neighbors(out.withColumn("loo_mean", loo), mean, radii).drop("loo_mean", "_sum", "_cnt", "_held")
 
 
+def fold_sums(df: DataFrame, folds: DataFrame, radii=(25, 50, 100)) -> dict[str, DataFrame]:
+    """What the neighbour features of all folds are made of, from one pass over the pairs.
+
+    df: (sensor_id, lat, lon, date, pm25, ...); folds: (sensor_id, fold).
+    rows has df with fold and its neighbour sums over all folds; held has the
+    same sums (sensor_id, date, out, ...) by the fold `out` of the neighbours;
+    days has the sum and count of readings by date and fold. Readings that are
+    not numbers count as none. Deviations from the day's mean keep sums of
+    squares exact enough to subtract.
+    """
+    keys, middle = ["sensor_id", "date", "lat", "lon"], sorted(radii)[len(radii) // 2]
+    known = df.join(folds.select("sensor_id", "fold"), "sensor_id")
+    reading = F.when(~F.isnan("pm25"), F.col("pm25"))
+    days = known.groupBy("date", "fold").agg(F.coalesce(F.sum(reading), F.lit(0.0)).alias("_sum"), F.count(reading).alias("_cnt"))
+    centre = days.groupBy("date").agg(F.try_divide(F.sum("_sum"), F.sum("_cnt")).alias("_mean"))
+    others = known.join(centre, "date").select(F.col("sensor_id").alias("_sid"), "date", "lat", "lon", F.col("fold").alias("out"), (reading - F.col("_mean")).alias("_off"))
+    pairs = within(known.select(*keys).distinct(), others, max(radii), ("date",)).where("_sid <> sensor_id")
+    inside = lambda r, c: F.when(F.col("km") <= r, c)
+    sums = {f"_n{r}": F.count(inside(r, F.col("_off"))) for r in radii} | {f"_s{r}": F.coalesce(F.sum(inside(r, F.col("_off"))), F.lit(0.0)) for r in radii}
+    sums["_q"] = F.coalesce(F.sum(inside(middle, F.col("_off") * F.col("_off"))), F.lit(0.0))
+    held = written(pairs.groupBy("sensor_id", "date", "out").agg(*[c.alias(k) for k, c in sums.items()]))
+    whole = held.groupBy("sensor_id", "date").agg(*[F.sum(k).alias(k) for k in sums])
+    rows = known.join(centre, "date", "left").join(whole, ["sensor_id", "date"], "left")
+    return {"rows": rows, "held": held, "days": days}
+
+
+def fold_features(parts: dict[str, DataFrame], fold, radii=(25, 50, 100)) -> DataFrame:
+    """df with fold, loo_mean and neighbour features as they are without the readings of the sensors of one fold.
+
+    Rows of the fold itself are what is predicted, the others what is trained
+    on; neither sees a reading of the fold but its own target. Only rows near
+    the fold change their sums, by those of `held`; the day means of all change.
+    """
+    middle = sorted(radii)[len(radii) // 2]
+    names = [*[f"_n{r}" for r in radii], *[f"_s{r}" for r in radii], "_q"]
+    held = parts["held"].where(F.col("out") == fold).select("sensor_id", "date", *[F.col(c).alias(f"{c}_out") for c in names])
+    rest = parts["days"].groupBy("date").agg(*[F.coalesce(F.sum(F.when(F.col("fold") != fold, F.col(c))), F.lit(0)).alias(c) for c in ("_sum", "_cnt")])
+    pool = parts["days"].where(F.col("fold") != fold).agg(F.try_divide(F.sum("_sum"), F.sum("_cnt"))).scalar()
+    out = parts["rows"].drop("loo_mean").join(held, ["sensor_id", "date"], "left").join(rest, "date")
+    out = out.withColumns({c: F.coalesce(c, F.lit(0)) - F.coalesce(f"{c}_out", F.lit(0)) for c in names})
+    n, off = F.col(f"_n{middle}"), F.col(f"_s{middle}") / F.col(f"_n{middle}")
+    stats = {f"nbr_pm25_{r}km": F.when(F.col(f"_n{r}") > 0, F.col("_mean") + F.col(f"_s{r}") / F.col(f"_n{r}")) for r in radii}
+    stats |= {f"nbr_count_{r}km": F.col(f"_n{r}").cast("int") for r in radii}
+    stats[f"nbr_std_{middle}km"] = F.when(n > 1, F.sqrt(F.greatest(F.col("_q") / n - off * off, F.lit(0.0)))).when(n == 1, 0.0)
+    own = F.when((F.col("fold") != fold) & ~F.isnan("pm25"), F.col("pm25"))
+    loo = (F.col("_sum") - F.coalesce(own, F.lit(0.0))) / F.greatest(F.col("_cnt") - F.when(own.isNotNull(), 1).otherwise(0), F.lit(1))
+    out = out.withColumns(stats | {"loo_mean": loo}).drop("_mean", "_sum", "_cnt", *names, *[f"{c}_out" for c in names])
+    return fill_neighbors(out, F.coalesce(pool, F.lit(0.0)), radii)
+
+
 def loo_without(day_sum: Column, day_count: Column, own: Column, held: Column) -> Column:
     """Leave-one-out day mean with another sensor's reading (null: none) taken out too."""
     has = F.when(held.isNotNull(), 1).otherwise(0)

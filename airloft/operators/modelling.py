@@ -13,8 +13,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import fit_scale, orig_scale
+from ..sources.io import load_or_none, publish, written
 from .aggregates import gram, regression_metrics
 from .clean import in_set_or_like
+from .joins import fold_features, fold_sums
 from .windows import group_folds, scenario_std
 
 SEED = 42
@@ -67,25 +69,50 @@ def inverse_mse_weights(df: DataFrame, models, y: str = "y", eps: float = 1e-10)
     return rows.select(F.explode("r").alias("x"), "s").select("x.model", "x.mse", (1 / (F.col("x.mse") + eps) / F.col("s")).alias("weight"))
 
 
-def site_out_cv(df: DataFrame, features, target: str, key: str, path: str, folds: int = 5, recompute=None) -> DataFrame:
-    """Out-of-fold predictions with whole sites held out; finished folds are read from `path`, not fitted again.
+def site_out_cv(df: DataFrame, features, target: str, key: str, path: str, folds: int = 5) -> DataFrame:
+    """Out-of-fold predictions with whole sites held out; finished folds are read from `path`, not fitted again."""
+    rows = _kept(df.sparkSession, f"{path}/rows", lambda: df.join(group_folds(df, key, folds), key))
+    return _by_fold(df.sparkSession, path, features, target, folds, lambda f: rows)
 
-    recompute: optional function (rows, held-out flag column) that rebuilds
-    features which depend on other sites' rows.
+
+def site_out_neighbors_cv(df: DataFrame, features, path: str, folds: int = 5, radii=(25, 50, 100)) -> DataFrame:
+    """The same over rows (sensor_id, lat, lon, date, pm25, ...) with neighbour features and day means rebuilt for each fold without its sensors.
+
+    features may name what fold_features makes. Folds, sums of neighbours and
+    finished folds are kept under `path`: a run that starts again there makes
+    only what is missing.
     """
-    from ..sources.io import load_or_none
+    spark = df.sparkSession
+    assigned = _kept(spark, f"{path}/folds", lambda: group_folds(df, "sensor_id", folds))
+    parts = {name: _kept(spark, f"{path}/{name}", lambda name=name: _once(made, df, assigned, radii)[name]) for made in [{}] for name in ("rows", "held", "days")}
+    return _by_fold(spark, path, features, "pm25", folds, lambda f: fold_features(parts, f, radii))
 
-    rows = df.join(group_folds(df, key, folds), key)
-    out = None
-    for f in range(folds):
-        part = load_or_none(df.sparkSession, f"{path}/fold={f}")
-        if part is None:
-            at = rows if recompute is None else recompute(rows, F.col("fold") == f)
-            models = fit_models(at.where(F.col("fold") != f), features, target, trees=10, depth=4)
-            predict(at.where(F.col("fold") == f), features, models).write.mode("overwrite").parquet(f"{path}/fold={f}")
-            part = df.sparkSession.read.parquet(f"{path}/fold={f}")
-        out = part if out is None else out.unionByName(part)
-    return out
+
+def _once(made: dict, df: DataFrame, assigned: DataFrame, radii) -> dict:
+    """The sums of folds, made at the first call."""
+    if not made:
+        made |= fold_sums(df, assigned, radii)
+    return made
+
+
+def _kept(spark, path: str, make) -> DataFrame:
+    """The complete table at path, made first if there is none."""
+    found = load_or_none(spark, path)
+    if found is None:
+        publish(make(), path)
+        found = load_or_none(spark, path)
+    return found
+
+
+def _by_fold(spark, path: str, features, target: str, folds: int, rows_of) -> DataFrame:
+    """Predictions of each fold by models of the others; rows_of gives the rows (fold, ...) for a fold."""
+
+    def predicted(f: int) -> DataFrame:
+        rows = written(rows_of(f))
+        models = fit_models(rows.where(F.col("fold") != f), features, target, trees=10, depth=4)
+        return predict(rows.where(F.col("fold") == f), features, models)
+
+    return reduce(DataFrame.unionByName, [_kept(spark, f"{path}/fold={f}", lambda f=f: predicted(f)) for f in range(folds)])
 
 
 def _best_convex(a: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -7,21 +7,22 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import haversine_mi, null_nan
 from ..sources.io import written
+from .quantiles import quantiles
 
 
 def robust_z(df: DataFrame, key: str, col: str, z: float = 20.0) -> DataFrame:
     """Rows whose distance to the key's median is below z robust deviations.
 
     A deviation of 0 counts as the median over rows of the positive ones, or
-    as 1 if there is none. Two grouped medians are joined back, so no window
+    as 1 if there is none. Two grouped medians are joined back, so no task
     holds a sensor's rows.
     """
     from .aggregates import mad_by
 
     stats = mad_by(df.withColumn(col, null_nan(F.col(col))), key, col)
     joined = df.join(stats, key)
-    spare = joined.where("mad > 0").agg(F.median("mad").alias("m")).scalar()
-    mad = F.when(F.col("mad") > 0, F.col("mad")).otherwise(F.coalesce(spare, F.lit(1.0)))
+    spare = quantiles(joined.where("mad > 0"), {"m": (F.col("mad"), 0.5)}).first()["m"]
+    mad = F.when(F.col("mad") > 0, F.col("mad")).otherwise(1.0 if spare is None else spare)
     return joined.where(F.abs(F.col(col) - F.col("med")) / (1.4826 * mad) < z).drop("med", "mad")
 
 

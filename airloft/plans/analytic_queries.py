@@ -362,17 +362,42 @@ def site_out_cv(spark, sf_dir):
     return agg.regression_metrics(oof, "y", "p_forest")
 
 
-@query("site_out_cv_rebuilt")
-def site_out_cv_rebuilt(spark, sf_dir):
-    """The same with the day means rebuilt for each fold, from rows whose sites are not held out."""
+_FOLD_PM = {r: f"avg(CASE WHEN km <= {r} THEN b.pm25 END)" for r in (25, 50, 100)}
+_FOLD_N = {r: f"count(CASE WHEN km <= {r} THEN b.pm25 END)" for r in (25, 50, 100)}
+_FOLD_SQL = (
+    ", d AS (SELECT *, CAST(sensor_id AS BIGINT) % 3 AS own FROM v_sensor_day), f AS (SELECT unnest([0, 1, 2]) AS fold), "
+    "days AS (SELECT fold, date, sum(CASE WHEN own <> fold THEN pm25 ELSE 0 END) AS s, count(CASE WHEN own <> fold THEN pm25 END) AS c FROM d, f GROUP BY 1, 2), "
+    f"p AS (SELECT a.sensor_id, a.date, b.own, b.pm25, {sql_km('a.lat', 'a.lon', 'b.lat', 'b.lon')} AS km FROM d a JOIN d b ON a.date = b.date AND a.sensor_id <> b.sensor_id), "
+    f"st AS (SELECT fold, b.sensor_id, b.date, {', '.join(f'{_FOLD_PM[r]} AS m{r}, {_FOLD_N[r]} AS n{r}' for r in (25, 50, 100))}, stddev_pop(CASE WHEN km <= 50 THEN b.pm25 END) AS dev FROM p b JOIN f ON b.own <> f.fold WHERE km <= 100 GROUP BY ALL), "
+    "j AS (SELECT f.fold, d.sensor_id, d.date, d.own, (s - CASE WHEN d.own <> f.fold THEN d.pm25 ELSE 0 END) / greatest(c - CASE WHEN d.own <> f.fold THEN 1 ELSE 0 END, 1) AS loo, st.* EXCLUDE (fold, sensor_id, date) "
+    "FROM d CROSS JOIN f JOIN days ON days.fold = f.fold AND days.date = d.date LEFT JOIN st ON st.fold = f.fold AND st.sensor_id = d.sensor_id AND st.date = d.date) "
+)
 
-    def rebuild(rows, held):
-        out = joins.day_mean_without(rows, held, "y")
-        return out.withColumn("loo_mean", F.coalesce("loo_mean", F.lit(0.0)))
 
-    t = _training(spark, sf_dir).withColumn("date", F.col("day"))
-    oof = ml.site_out_cv(t, FEATURES, "y", "sensor_id", shared_folder(spark, "folds"), 3, rebuild)
-    return agg.regression_metrics(oof, "y", "p_forest")
+@query(
+    "fold_features",
+    with_views("v_sensor_day", _FOLD_SQL + f"SELECT CAST(fold AS INT) AS held_out, own AS fold, sensor_id, date, {R('loo')} AS loo_mean, {R('coalesce(m25, m50, loo)')} AS nbr_pm25_25km, {R('coalesce(m50, loo)')} AS nbr_pm25_50km, {R('coalesce(m100, m50, loo)')} AS nbr_pm25_100km, CAST(coalesce(n25, 0) AS INT) AS nbr_count_25km, CAST(coalesce(n50, 0) AS INT) AS nbr_count_50km, CAST(coalesce(n100, 0) AS INT) AS nbr_count_100km, round(coalesce(dev, 0) + 1.37e-5, 3) AS nbr_std_50km FROM j"),
+    dates=("date",),
+)
+def fold_features(spark, sf_dir):
+    """All rows as each of three folds of sensors sees them, with that fold's readings taken out."""
+    d = v_sensor_day(spark, sf_dir)
+    folds = v_sensor(spark, sf_dir).select("sensor_id", (F.col("sensor_id").cast("long") % 3).alias("fold"))
+    parts = joins.fold_sums(d, folds)
+    out = [joins.fold_features(parts, f).withColumn("held_out", F.lit(f)) for f in range(3)]
+    rows = out[0].unionByName(out[1]).unionByName(out[2]).drop("lat", "lon", "pm25")
+    return rounded(rows, "loo_mean", *[f"nbr_pm25_{r}km" for r in (25, 50, 100)]).withColumn("nbr_std_50km", F.round(F.col("nbr_std_50km") + 1.37e-5, 3))
+
+
+NEIGHBOR_FEATURES = ["lat", "lon", "loo_mean", "coast", "doy", *[f"nbr_pm25_{r}km" for r in (25, 50, 100)], *[f"nbr_count_{r}km" for r in (25, 50, 100)], "nbr_std_50km"]
+
+
+@query("site_out_cv_rebuilt")
+def site_out_cv_rebuilt(spark, sf_dir):
+    """The same with neighbour features and day means rebuilt for each fold without its sensors."""
+    d = v_sensor_day(spark, sf_dir).withColumn("coast", sc.min_dist(F.col("lat"), F.col("lon"), sc.COAST)).withColumn("doy", F.dayofyear("date").cast("double"))
+    oof = ml.site_out_neighbors_cv(d, NEIGHBOR_FEATURES, shared_folder(spark, "folds"), 3)
+    return agg.regression_metrics(oof, "pm25", "p_forest")
 
 
 @query("blend_weights")

@@ -10,13 +10,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import crc32, cut, shielded, table
+from .common import crc32, cut, if_small, shielded, table
 
 SHARDS = 8
 ROUNDS = 6
-#: Rows of a hash bucket, in which rows are numbered, on average; the table of bucket sizes is broadcast, 24 bytes a bucket.
+#: Rows of a hash bucket, in which rows are numbered, on average.
 BUCKET_ROWS = 1 << 17
-#: Identical rows from which they are dealt over several buckets.
+#: Identical rows from which they have buckets of their own.
 HOT_ROWS = 1 << 16
 #: Steps of the cycle walk. The domain exceeds n by less than its square root,
 #: so even for small n all steps fit, and for large n the chance of needing so
@@ -47,31 +47,33 @@ def numbered(docs: DataFrame, bucket_rows: int = BUCKET_ROWS, hot_rows: int = HO
     """Adds a gapless global row number _row and the row count _n.
 
     The number depends on doc_id and text alone. Rows are ranked within hash
-    buckets; the bucket sizes (hence the broadcast) give each bucket its first
-    number. Identical rows beyond hot_rows would fill one bucket; they are
-    numbered after all others, dealt over buckets of their own by where they
-    lie, which does not matter as they are interchangeable.
+    buckets; the bucket sizes give each bucket its first number. Identical rows
+    beyond hot_rows would fill one bucket; they are numbered after all others,
+    dealt over as many buckets of their own as they fill, by a hash of where they
+    lie, which does not matter as they are interchangeable. So there are at most
+    n / hot_rows + 2 n / bucket_rows buckets, whose sizes are broadcast if
+    their bytes are few.
     """
     n = docs.count()
     buckets, h = max(64, -(-n // bucket_rows)), F.xxhash64(F.col("doc_id"), F.col("text"))
-    hot = [r["h"] for r in docs.groupBy(h.alias("h")).count().where(F.col("count") > hot_rows).select("h").orderBy("h").collect()]  # at most n / hot_rows, of real repeats
-    rows = docs.withColumn("_hash", h).withColumn("_hot", F.lit(-1)).withColumn("_bucket", F.pmod("_hash", F.lit(buckets)))
-    if hot:
-        number = F.create_map(*[F.lit(x) for i, key in enumerate(hot) for x in (key, i)])
-        rows = rows.withColumn("_hot", F.coalesce(F.try_element_at(number, F.col("_hash")), F.lit(-1)))
-        dealt = F.pmod(F.monotonically_increasing_id(), F.lit(buckets))
-        same = cut(rows.where("_hot >= 0").withColumn("_bucket", dealt))
-        rows = rows.where("_hot < 0").unionByName(same)
-    upto = Window.orderBy("_hot", "_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sizes = rows.groupBy("_hot", "_bucket").agg(F.count(F.lit(1)).alias("_held"))
-    starts = sizes.select("_hot", "_bucket", (F.sum("_held").over(upto) - F.col("_held")).alias("_start"))
-    order = Window.partitionBy("_hot", "_bucket").orderBy("_hash", "doc_id")
+    counts = docs.groupBy(h.alias("_hash")).agg(F.count(F.lit(1)).alias("_copies")).where(F.col("_copies") > hot_rows)
+    hot = cut(counts.select("_hash", F.ceil(F.col("_copies") / bucket_rows).alias("_parts")))
+    rows = docs.withColumn("_hash", h).withColumns({"_key": F.lit(0).cast("long"), "_hot": F.lit(False), "_bucket": F.pmod("_hash", F.lit(buckets))})
+    if hot.limit(1).count():
+        held = if_small(hot, 24)
+        dealt = rows.join(held, "_hash").withColumns({"_key": F.col("_hash"), "_hot": F.lit(True), "_bucket": F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("_parts"))})
+        rows = rows.join(held, "_hash", "left_anti").unionByName(cut(dealt.drop("_parts")))
+    place = ["_hot", "_key", "_bucket"]
+    upto = Window.orderBy(*place).rowsBetween(Window.unboundedPreceding, Window.currentRow)  # a row a bucket
+    sizes = rows.groupBy(*place).agg(F.count(F.lit(1)).alias("_held"))
+    starts = cut(sizes.select(*place, (F.sum("_held").over(upto) - F.col("_held")).alias("_start")))
+    order = Window.partitionBy(*place).orderBy("_hash", "doc_id")
     return (
         rows.withColumn("_rank", F.row_number().over(order) - 1)
-        .join(F.broadcast(starts), ["_hot", "_bucket"])
+        .join(if_small(starts, 40), place)
         .withColumn("_row", F.col("_start") + F.col("_rank"))
         .withColumn("_n", F.lit(n).cast("long"))
-        .drop("_hash", "_hot", "_bucket", "_rank", "_start")
+        .drop("_hash", *place, "_rank", "_start")
     )
 
 

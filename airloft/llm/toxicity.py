@@ -25,6 +25,8 @@ from .textnum import U, Texts, slices
 
 #: Labelled documents of each class that the models are fitted on; a bounded sample in order of a hash of doc_id.
 PER_CLASS = 1500
+#: Characters of a sampled text, and the pieces that are taken of a longer one.
+TEXT_CHARS, PIECES = 65_536, 16
 #: One in so many of them calibrates instead of being counted.
 CALIBRATE = 4
 #: The larger class is counted in up to so many parts of the smaller one's size; their models are averaged.
@@ -101,11 +103,18 @@ def labelled(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) ->
     """The bounded sample: (doc_id, toxic, text), up to per_class documents of each class, without held-out ids.
 
     An id that is labelled both ways counts as toxic. With labels of one class
-    only, that class is sampled alone.
+    only, that class is sampled alone. Of rows that share an id the text with
+    the smallest hash counts, and of a text of more than TEXT_CHARS characters
+    PIECES spaced evenly over it, so the sample is bounded in rows and bytes.
     """
     marks = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     first = lambda c: marks.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
-    return docs.select("doc_id", "text").join(F.broadcast(first(0).union(first(1))), "doc_id")
+    rows = docs.where("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(first(0).union(first(1))), "doc_id")
+    size = TEXT_CHARS // PIECES
+    at = lambda i: F.floor(F.length("text").cast("long") * i / PIECES).cast("int") + 1
+    spread = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(PIECES - 1)), lambda i: F.substring("text", at(i), F.lit(size))), " ")
+    bounded = rows.select("doc_id", "toxic", F.xxhash64("text").alias("_h"), F.when(F.length("text") <= TEXT_CHARS, F.col("text")).otherwise(spread).alias("text"))
+    return bounded.groupBy("doc_id", "toxic").agg(F.min_by("text", F.struct("_h", "text")).alias("text")).select("doc_id", "text", "toxic")
 
 
 def sample_counts(sample: DataFrame) -> tuple[pa.Table, pa.Table]:

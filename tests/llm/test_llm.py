@@ -506,6 +506,16 @@ def test_sharding_of_hot_rows(spark):
 
 
 @needs_tables
+def test_many_hot_keys_have_buckets_by_their_count(spark):
+    """1,000 hot keys fill 1,000 to 3,000 buckets, not 1,000 times all."""
+    rows = spark.range(40_000).select(F.pmod("id", F.lit(1000)).alias("doc_id"), F.lit("same").alias("text")).unionByName(spark.range(5000).select((F.col("id") + 5000).alias("doc_id"), F.lit("own").alias("text")))
+    got = sharding.numbered(rows, bucket_rows=25, hot_rows=30)
+    plan = got._jdf.queryExecution().toString()
+    assert sorted(r["_row"] for r in got.select("_row").collect()) == list(range(45_000)) and "map(" not in plan
+    by_key = got.where("doc_id < 1000").groupBy("doc_id").agg((F.max("_row") - F.min("_row")).alias("reach")).agg(F.max("reach")).first()[0]
+    assert by_key == 39  # the rows of a key stand together
+
+
 def test_sharding_query_equals_brute_force(spark):
     docs = {r["doc_id"]: (r["text"] or "").encode() for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
     got = sharding.op7(spark, SF).collect()
@@ -545,6 +555,16 @@ def test_toxicity_on_held_out_rows(spark):
     assert right > 0.97
 
 
+def test_sample_is_bounded_in_rows_and_bytes(spark):
+    long = "word " * 60_000
+    docs = spark.range(20_000).select(F.pmod("id", F.lit(4)).alias("doc_id"), F.when(F.col("id") < 4, F.lit(long)).otherwise(F.concat(F.lit("text "), F.col("id"))).alias("text"))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(4)], "doc_id long, toxic int")
+    rows = toxicity.labelled(docs, labels, 2).collect()
+    assert len(rows) == len({r["doc_id"] for r in rows}) <= 4
+    longest = toxicity.labelled(docs.where(F.col("text") == long), labels, 2).agg(F.max(F.length("text"))).first()[0]
+    assert 60_000 < longest <= toxicity.TEXT_CHARS + toxicity.PIECES
+
+
 def test_kneser_ney_counts_equal_brute_force(spark):
     """Counts, backoff and evidence from their definitions, in dictionaries."""
     rng = random.Random(71)
@@ -695,12 +715,60 @@ def form(text):
             lines.append(line)
     import unicodedata
 
+    lines = [x for x in lines if not re.fullmatch(r"[ \t]*all rights reserved[ \t.]*", x)]
+    full = [i for i, x in enumerate(lines) if x.strip(" \t\n\r\x0b\x0c#*=_-")]
+    if full and full[0] + 1 < len(lines):
+        title = lines[full[0]].lstrip(" \t\r\x0b\x0c#*=_-").removeprefix("the ")
+        families = ("mit", "expat", "x11", "isc", "zlib", "bsd", "new bsd", "modified bsd", "simplified bsd", "revised bsd", "apache", "boost", "gnu", "mozilla", "eclipse", "academic free", "artistic")
+        if any(re.fullmatch(re.escape(x) + ".{0,50}licen[cs]e.{0,40}", title) for x in families):
+            lines = lines[full[0] + 1 :]
+    lines = [re.sub(r"^[ \t]*([0-9][0-9]?[.)]|\([0-9a-z][0-9a-z]?\)|[a-z][.)]|[*\u2022-])[ \t]+", "", x, count=1) for x in lines]
     text = " ".join("".join(c if unicodedata.category(c)[0] in "LMN" else " " for c in "\n".join(lines)).split())
     for a, b in licences.SPELLINGS:
         text = text.replace(a, b)
+    for a, z in (("neither the name of ", " nor the names of"), ("provided by ", " as is"), ("in no event shall ", " be liable")):
+        text = re.sub(re.escape(a) + ".{1,100}?" + (" nor the names? of" if "nor" in z else re.escape(z)), a + "the copyright owner" + z, text)
     return text
 
 
+MIT_BODY = next(t for k, t in licences.TEXTS if k == "MIT").partition("\n\n")[2]
+BSD_BODY = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+* Redistributions of source code must retain the above copyright notice, this
+  list of conditions and the following disclaimer.
+
+* Redistributions in binary form must reproduce the above copyright notice,
+  this list of conditions and the following disclaimer in the documentation
+  and/or other materials provided with the distribution.
+
+* Neither the name of Acme Corporation nor the names of its
+  contributors may be used to endorse or promote products derived from
+  this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE REGENTS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE REGENTS OR CONTRIBUTORS BE LIABLE
+FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL
+DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR
+SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER
+CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY,
+OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE
+OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+HEADINGS = [
+    ("MIT", MIT_BODY), ("MIT", "The MIT License (MIT)\n\nCopyright (c) 2015-2020 Some Body\n\n" + MIT_BODY), ("MIT", "# MIT Licence\n" + MIT_BODY.replace(". ", ".\n")),
+    ("MIT", "Copyright (c) 2019 A. Person. All rights reserved.\n\nThe MIT License\n\n" + MIT_BODY), ("BSD-3-Clause", BSD_BODY),
+    ("BSD-3-Clause", "BSD 3-Clause License\n\nCopyright (c) 2017, Acme\nAll rights reserved.\n\n" + BSD_BODY), ("BSD-3-Clause", "Copyright 2001 Acme\n" + BSD_BODY.replace("* Redis", "(a) Redis").replace("* Nei", "(c) Nei")),
+    ("BSD-2-Clause", re.sub(r"\* Neither.*?permission\.\n", "", BSD_BODY, flags=re.S)), (None, MIT_BODY + "\nand no other use"), (None, BSD_BODY.replace("binary", "any")),
+]
+
+
+def test_licences_under_other_headings(spark):
+    found = licences.scan_licences(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(HEADINGS)], "doc_id int, text string")).collect()
+    assert [r["license"] for r in sorted(found, key=lambda r: r["doc_id"])] == [k for k, _ in HEADINGS]
+
+
 def test_licence_forms_equal_brute_force(spark):
     rng = random.Random(31)
     texts = [t for _, t in licences.TEXTS] + ["Copyright Acme Corp 2020\ncopyright notice and\n(c) 2001 x\nCopyright [yyyy] [name]\n© by me", "a “curly” – ‘quote’ … b", "", "ÀÉ licence\tÜ"]

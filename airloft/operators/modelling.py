@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from functools import reduce
 from itertools import combinations
 
 import numpy as np
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, IsotonicRegression, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, IsotonicRegression, RandomForestRegressionModel, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import fit_scale, orig_scale
-from ..sources.io import load_or_none, publish, written
+from ..sources.io import _versions, load_or_none, publish, written
 from .aggregates import gram, regression_metrics
 from .clean import in_set_or_like
 from .joins import fold_features, fold_sums
@@ -206,6 +208,32 @@ def score(df: DataFrame, features, models: dict, weights: dict, fill: dict | Non
     return out.withColumn("pm25_pred", F.greatest(F.lit(0.0), blended)).drop(*[f"p_{n}" for n in active])
 
 
+def save_models(spark, path: str, models: dict, weights: dict, features, fill: dict | None = None, log: bool = False) -> None:
+    """Adds a version of a set of fitted models with what scoring needs; it counts once its description is complete."""
+    held = _versions(spark, path)
+    folder = f"{path}/version={max(held, default=0) + 1:012d}-{uuid.uuid4().hex[:8]}"
+    for name, model in models.items():
+        model.save(f"{folder}/{name}")
+    facts = {"models": {n: type(m).__name__ for n, m in models.items()}, "weights": weights, "features": list(features), "fill": fill or {}, "log": log}
+    spark.createDataFrame([(json.dumps(facts),)], "value string").coalesce(1).write.text(f"{folder}/about")
+
+
+def load_models(spark, path: str) -> dict | None:
+    """The newest complete set: models, weights, features, fill, log; None if there is none."""
+    held = _versions(spark, path, done="about/_SUCCESS")
+    if not held:
+        return None
+    folder = held[max(held)]
+    facts = json.loads(spark.read.text(f"{folder}/about").first()["value"])
+    kinds = {c.__name__: c for c in (RandomForestRegressionModel, GBTRegressionModel)}
+    return facts | {"models": {n: kinds[k].load(f"{folder}/{n}") for n, k in facts["models"].items()}}
+
+
+def score_with(df: DataFrame, found: dict) -> DataFrame:
+    """df with pm25_pred by a loaded set of models."""
+    return score(df, found["features"], found["models"], found["weights"], found["fill"], found["log"])
+
+
 def sensitivity(df: DataFrame, scenarios: DataFrame, predict_expr, key: str = "id") -> DataFrame:
     """(key, spread) of a scoring expression over perturbed inputs."""
     return scenario_std(df, scenarios, predict_expr, key)

@@ -10,7 +10,7 @@ from ..functions.scalars import cell_index
 from ..operators import aggregates as agg, joins
 from ..operators.clean import tract_by_id
 from ..streaming import live
-from ..sources.io import load_or_none, shared_folder
+from ..sources.io import _versions as published_versions, load_or_none, shared_folder, written
 from .registry import query
 from .views import events, place, r6, sql_km, sql_r6, table, v_sensor_day, v_smoke, v_tract, with_views
 
@@ -27,7 +27,7 @@ def stream_events(spark, sf_dir) -> DataFrame:
 
 
 def drain(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over all there is; append mode gives all rows, complete mode the last result."""
+    """Runs a stream over all there is; append mode gives all rows, complete mode the last result, update mode all changes with the number of their batch."""
     spark = df.sparkSession
     out, state = shared_folder(spark, name), shared_folder(spark, f"{name}-state")
 
@@ -36,7 +36,7 @@ def drain(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
 
     q = df.writeStream.outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(write).start()
     q.awaitTermination()
-    return spark.read.parquet(out).select(df.columns)
+    return spark.read.parquet(out).select(*df.columns, *["batch"] * (mode == "update"))
 
 
 @query("stream_daily_mean", f"SELECT sensor_id, date, {R('mean')} AS mean FROM (SELECT CAST(user_id AS VARCHAR) AS sensor_id, CAST(ts AS DATE) AS date, avg(value) AS mean FROM events GROUP BY 1, 2) WHERE date + 1 <= (SELECT max(ts) - INTERVAL 2 HOURS FROM events)", dates=("date",))
@@ -62,7 +62,8 @@ def stream_latest(spark, sf_dir):
     f'SELECT sensor_id, w AS "end", {R("avg(value)")} AS mean, count(value) AS n FROM (SELECT CAST(user_id AS VARCHAR) AS sensor_id, value, unnest(generate_series(time_bucket(INTERVAL 6 HOURS, ts) + INTERVAL 6 HOURS, time_bucket(INTERVAL 6 HOURS, ts) + INTERVAL 24 HOURS, INTERVAL 6 HOURS)) AS w FROM events) GROUP BY 1, 2',
 )
 def stream_rolling_24h(spark, sf_dir):
-    out = drain(live.rolling_24h(stream_events(spark, sf_dir), slide="6 hours"), "rolling", "complete")
+    changes = drain(live.rolling_24h(stream_events(spark, sf_dir), slide="6 hours", delay="40 days"), "rolling", "update")
+    out = changes.groupBy("sensor_id", "end").agg(F.max_by(F.struct("mean", "n"), "batch").alias("m")).select("sensor_id", "end", "m.mean", "m.n")
     return out.withColumn("mean", r6("mean")).withColumn("end", F.col("end").cast("timestamp_ntz"))
 
 
@@ -123,6 +124,74 @@ def with_fallback(spark, sf_dir):
     return out.withColumn("pm25", r6("pm25"))
 
 
+@query(
+    "rolling_24h",
+    f'SELECT sensor_id, w AS "end", {R("avg(value)")} AS mean, count(value) AS n FROM (SELECT CAST(user_id AS VARCHAR) AS sensor_id, value, unnest(generate_series(time_bucket(INTERVAL 15 MINUTES, ts) + INTERVAL 15 MINUTES, time_bucket(INTERVAL 15 MINUTES, ts) + INTERVAL 24 HOURS, INTERVAL 15 MINUTES)) AS w FROM events) GROUP BY 1, 2',
+)
+def rolling_24h(spark, sf_dir):
+    """A batch at the default slide: 96 panes a window."""
+    out = live.rolling_24h(events(spark, sf_dir).withColumn("pm25", F.col("value")))
+    return out.withColumn("mean", r6("mean")).withColumn("end", F.col("end").cast("timestamp_ntz"))
+
+
+#: Days of January in the batches that land one after another; the last gap lets values expire.
+_LANDED = ((1, 8), (9, 16), (17, 22), (28, 31))
+
+
+@query(
+    "stream_last_good",
+    "WITH e AS (SELECT CAST(user_id AS VARCHAR) AS sensor_id, user_id, ts, value FROM events WHERE value IS NOT NULL AND (day(ts) <= 22 OR day(ts) >= 28) AND (user_id % 3 = 0 OR user_id % 3 = 1 AND day(ts) <= 29 OR day(ts) <= 16) AND user_id % 11 <> 4), "
+    "w AS (SELECT max(ts) - INTERVAL 10 MINUTES AS w FROM e), s AS (SELECT sensor_id, max(ts) AS t, arg_max(value, (ts, value)) AS v FROM e GROUP BY 1), "
+    "c AS (SELECT CAST(user_id AS VARCHAR) AS sensor_id, user_id, avg(value) AS m FROM events GROUP BY 1, 2), "
+    "j AS (SELECT c.*, v, t + INTERVAL 1 DAY >= w AS live, t + INTERVAL 5 DAYS >= w AS good FROM c LEFT JOIN s USING (sensor_id), w) "
+    f"SELECT sensor_id, CASE WHEN live THEN 'live' WHEN good THEN 'last' WHEN user_id % 2 = 0 AND m IS NOT NULL THEN 'climatology' ELSE 'fill' END AS source, {R('CASE WHEN good THEN v WHEN user_id % 2 = 0 THEN coalesce(m, 8.5) ELSE 8.5 END')} AS pm25 FROM j",
+)
+def stream_last_good(spark, sf_dir):
+    """Best value of every sensor after batches that land one after another, with a gap: live, last good, climatology or fill."""
+    e = events(spark, sf_dir).withColumn("pm25", F.col("value"))
+    u, day = F.col("user_id"), F.dayofmonth("ts")
+    kept = e.where(((u % 3 == 0) | ((u % 3 == 1) & (day <= 29)) | (day <= 16)) & (u % 11 != 4)).select("sensor_id", F.col("ts").cast("timestamp").alias("ts"), "pm25")
+    folder, state, out = (shared_folder(spark, n) for n in ("landing", "good-state", "good"))
+    for i, (first, last) in enumerate(_LANDED):
+        kept.where(F.dayofmonth("ts").between(first, last)).write.mode("append").parquet(folder)
+        changes = live.last_good(spark.readStream.schema(kept.schema).parquet(folder), "1 day", "5 days")
+
+        def write(batch: DataFrame, number: int, i=i) -> None:
+            batch.write.mode("overwrite").parquet(f"{out}/cycle={i}/batch={number}")
+
+        changes.writeStream.outputMode("update").option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
+    status = live.settled(spark.read.parquet(out).drop("cycle"), "batch")
+    clim = e.groupBy("sensor_id", "user_id").agg(F.avg("pm25").alias("pm25"))
+    found = live.from_status(clim.select("sensor_id"), status, clim.where(u % 2 == 0).select("sensor_id", "pm25"), 8.5)
+    return found.withColumn("pm25", r6("pm25"))
+
+
+@query("score_stream_models", "SELECT count(*) AS tracts, CAST(0 AS BIGINT) AS differing, CAST(1 AS BIGINT) AS versions FROM customer")
+def score_stream_models(spark, sf_dir):
+    """Tracts scored by saved models on the neighbours of a stream; the scores that differ from a batch run, and the versions after the batch was replayed."""
+    from ..operators import modelling as ml
+
+    d = v_sensor_day(spark, sf_dir)
+    near = [*[f"nbr_pm25_{r}km" for r in (25, 50, 100)], *[f"nbr_count_{r}km" for r in (25, 50, 100)], "nbr_std_50km", "lat", "lon"]
+    rows = written(joins.neighbor_features(d, d))
+    models, out = shared_folder(spark, "models"), shared_folder(spark, "model-scores")
+    ml.save_models(spark, models, ml.fit_models(rows, near, "pm25", trees=6, depth=4), {"forest": 0.6, "boosted": 0.4}, near)
+    tracts = v_tract(spark, sf_dir).select(F.col("GEOID").alias("id"), "lat", "lon")
+    s = stream_events(spark, sf_dir).where(F.col("pm25").between(0, 200)).select("sensor_id", "ts", F.col("lat").alias("latitude"), F.col("lon").alias("longitude"), "pm25")
+    cycle = live.score_batch(tracts, live.model_scorer(spark, models), out, min_n=10)
+
+    def twice(batch: DataFrame, number: int) -> None:
+        cycle(batch, number)
+        cycle(batch, number)  # as after a failure between the write and the commit
+
+    s.writeStream.option("checkpointLocation", shared_folder(spark, "model-state")).trigger(availableNow=True).foreachBatch(twice).start().awaitTermination()
+    e = events(spark, sf_dir).where(F.col("value").between(0, 200)).select("sensor_id", "ts", "lat", "lon", F.col("value").alias("pm25"))
+    batch = ml.score_with(joins.point_neighbors(tracts, live.latest_per_sensor(e), min_n=10), ml.load_models(spark, models))
+    both = load_or_none(spark, out).select("id", F.col("pm25_pred").alias("a")).join(batch.select("id", F.col("pm25_pred").alias("b")), "id", "full_outer")
+    differing = F.count_if(F.coalesce(F.abs(F.col("a") - F.col("b")) > 1e-6, F.lit(True)))
+    return both.agg(F.count(F.lit(1)).alias("tracts"), differing.alias("differing"), F.lit(len(published_versions(spark, out))).cast("long").alias("versions"))
+
+
 @query("batch_provenance", "SELECT count(*) AS rows, count(DISTINCT user_id) AS sensors, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last, count(DISTINCT user_id) >= 20 AS usable FROM events")
 def batch_provenance(spark, sf_dir):
     out = live.batch_provenance(events(spark, sf_dir))

@@ -159,25 +159,42 @@ def latest_day(df: DataFrame, as_of, back: int = 3, date: str = "date") -> DataF
     return near.join(near.agg(F.max(date).alias(date)), date, "left_semi")
 
 
-def publish(df: DataFrame, path: str) -> None:
+def publish(df: DataFrame, path: str, batch: int | None = None, keep: int | None = None) -> bool:
     """Adds a version to the published table: a folder of its own, by Spark's commit protocol.
 
-    Nothing is deleted or overwritten, so a failed write leaves the last good
-    version, which is the newest that has a success marker.
+    A failed write leaves the last good version, which is the newest that has
+    a success marker. A batch whose number has a complete version already is
+    not written again, so a replay changes nothing; tells whether it wrote. With
+    `keep`, complete versions before the newest so many are removed after it.
     """
-    held = _versions(df.sparkSession, path)
-    df.write.parquet(f"{path}/version={max(held, default=0) + 1:012d}-{uuid.uuid4().hex[:8]}")
+    spark = df.sparkSession
+    held, mark = _versions(spark, path), "" if batch is None else f"b{batch:012d}-"
+    if batch is not None and any(f"-{mark}" in f for f in _versions(spark, path, done=True).values()):
+        return False
+    df.write.parquet(f"{path}/version={max(held, default=0) + 1:012d}-{mark}{uuid.uuid4().hex[:8]}")
+    if keep:
+        done = _versions(spark, path, done=True)
+        for number in sorted(done)[:-keep]:
+            remove(spark, done[number])
+    return True
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that this library made."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(root, True)
 
 
-def _versions(spark: SparkSession, path: str, done: bool = False) -> dict[int, str]:
-    """Number to folder of the versions under path, of complete ones if `done`."""
+def _versions(spark: SparkSession, path: str, done: bool | str = False) -> dict[int, str]:
+    """Number to folder of the versions under path, of complete ones if `done`: those with a success marker, or with the file that it names."""
     jvm = spark.sparkContext._jvm
     root = jvm.org.apache.hadoop.fs.Path(path)
     files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not files.exists(root):
         return {}
+    marker = "_SUCCESS" if done is True else done
     found = [s.getPath() for s in files.listStatus(root) if s.getPath().getName().startswith("version=")]
-    kept = [f for f in found if not done or files.exists(jvm.org.apache.hadoop.fs.Path(f, "_SUCCESS"))]
+    kept = [f for f in found if not done or files.exists(jvm.org.apache.hadoop.fs.Path(f, marker))]
     return {int(f.getName()[8:20]): f.toString() for f in sorted(kept, key=lambda f: f.getName())}
 
 

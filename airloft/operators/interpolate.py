@@ -41,17 +41,11 @@ def _idw(targets: DataFrame, near: DataFrame, power: float) -> DataFrame:
     return targets.select("id").join(corr, "id", "left").withColumn("corr", F.coalesce("corr", F.lit(0.0)))
 
 
-def _km(lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
-    p, q = np.radians(lat), np.radians(lon)
-    a = np.sin((p[:, None] - p) / 2) ** 2 + np.cos(p)[:, None] * np.cos(p) * np.sin((q[:, None] - q) / 2) ** 2
-    return 2 * 6371.0 * np.arcsin(np.sqrt(np.clip(a, 0, 1)))
-
-
 def kriging(targets: DataFrame, sources: DataFrame, range_km: float = 60.0, nugget: float = 0.1, k: int = KRIGING_K, exclude_self: bool = False) -> DataFrame:
     """(id, corr): local ordinary kriging with an exponential variogram over the k nearest residuals.
 
     0 where all of them are beyond three ranges. Each target's system has
-    k + 1 unknowns and is solved in an Arrow batch.
+    k + 1 unknowns; those of an Arrow batch are solved together.
     """
     return _kriging(targets, knn(targets.select("id", "lat", "lon"), _sources(sources), k, None, exclude_self), range_km, nugget)
 
@@ -61,22 +55,33 @@ def _kriging(targets: DataFrame, near: DataFrame, range_km: float, nugget: float
     rows = near.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("rank", "km", "slat", "slon", "resid"))).alias("s"))
     rows = rows.select("id", *[F.col(f"s.{c}").alias(c) for c in ("km", "slat", "slon", "resid")])
 
-    def weigh(km: np.ndarray, lat: np.ndarray, lon: np.ndarray, resid: np.ndarray) -> float:
-        if not len(km) or (km > 3 * range_km).all():
-            return 0.0
-        sill = float(np.var(resid)) + nugget
-        covariance = lambda h: (sill - nugget) * np.exp(-3.0 * h / max(range_km, 1.0))
-        n = len(km)
-        system, right = np.ones((n + 1, n + 1)), np.ones(n + 1)
-        system[:n, :n], right[:n], system[n, n] = covariance(_km(lat, lon)), covariance(km), 0.0
-        try:
-            return float(np.linalg.solve(system + 1e-6 * np.eye(n + 1), right)[:n] @ resid)
-        except np.linalg.LinAlgError:
-            return 0.0
-
     @F.pandas_udf("double")
     def solve(km: pd.Series, lat: pd.Series, lon: pd.Series, resid: pd.Series) -> pd.Series:
-        return pd.Series([weigh(*map(np.asarray, row)) for row in zip(km, lat, lon, resid)], dtype=float)
+        """All systems of a batch at once; shorter ones are filled up with unknowns of their own that come out as 0."""
+        lens = km.map(len).to_numpy()
+        most = int(lens.max(initial=0))
+        there = np.arange(most) < lens[:, None]
+        padded = lambda c: np.stack([np.pad(np.asarray(v, float), (0, most - len(v))) for v in c]) if len(c) else np.zeros((0, most))
+        h, y, x, r = padded(km), padded(lat), padded(lon), padded(resid)
+        n = np.maximum(lens, 1)
+        mean = r.sum(axis=1) / n
+        spread = (np.where(there, r - mean[:, None], 0.0) ** 2).sum(axis=1) / n
+        covariance = lambda d, s: s * np.exp(-3.0 * d / max(range_km, 1.0))
+        both = there[:, :, None] & there[:, None, :]
+        p, q = np.radians(y), np.radians(x)
+        a = np.sin((p[:, :, None] - p[:, None, :]) / 2) ** 2 + np.cos(p)[:, :, None] * np.cos(p)[:, None, :] * np.sin((q[:, :, None] - q[:, None, :]) / 2) ** 2
+        system = np.zeros((len(h), most + 1, most + 1))
+        system[:, :most, :most] = np.where(both, covariance(2 * 6371.0 * np.arcsin(np.sqrt(np.clip(a, 0, 1))), spread[:, None, None]), 0.0)
+        system[:, :most, most] = system[:, most, :most] = there
+        system += 1e-6 * np.eye(most + 1)
+        system[:, np.arange(most), np.arange(most)] += ~there
+        right = np.concatenate([np.where(there, covariance(h, spread[:, None]), 0.0), np.ones((len(h), 1))], axis=1)
+        try:
+            weights = np.linalg.solve(system, right[:, :, None])[:, :most, 0]
+        except np.linalg.LinAlgError:  # some system is singular: the least weights that fit best
+            weights = np.stack([np.linalg.lstsq(m, v, rcond=None)[0][:most] for m, v in zip(system, right)])
+        near = (there & (h <= 3 * range_km)).any(axis=1)
+        return pd.Series(np.where(near, (weights * r).sum(axis=1), 0.0))
 
     corr = rows.select("id", solve("km", "slat", "slon", "resid").alias("corr"))
     return targets.select("id").join(corr, "id", "left").withColumn("corr", F.coalesce("corr", F.lit(0.0)))
@@ -85,31 +90,25 @@ def _kriging(targets: DataFrame, near: DataFrame, range_km: float, nugget: float
 def ridge_loo(sensors: DataFrame, feats, alpha: float = 2.0, y: str = "resid") -> DataFrame:
     """(id, corr): for each sensor the prediction of a ridge fit on all the others.
 
-    Sums of products over all rows less the row's own give its normal
-    equations, of as many unknowns as features; the intercept is not penalised.
+    One fit on all rows serves: leaving a row out changes its residual by the
+    factor 1 / (1 - leverage), also with a penalty. Sums of products give the fit,
+    of as many unknowns as features; the intercept is not penalised. 0 for a
+    lone sensor.
     """
     names = list(feats)
     total = gram(sensors, names, y).first().asDict()
-    m = len(names)
+    n = total["n"] or 0
+    if n < 2:
+        return sensors.select("id", F.lit(0.0).alias("corr"))
     key = lambda a, b: f"s_{a}_{b}" if f"s_{a}_{b}" in total else f"s_{b}_{a}"
-    xx = np.array([[total[key(a, b)] for b in names] for a in names])
-    xy, sx, sy, n = np.array([total[key(a, y)] for a in names]), np.array([total[f"s_{a}"] for a in names]), total[f"s_{y}"], total["n"]
-
-    @F.pandas_udf("double")
-    def predict(*columns: pd.Series) -> pd.Series:
-        x, v = np.stack([c.to_numpy(float) for c in columns[:-1]], axis=1), columns[-1].to_numpy(float)
-        out = np.zeros(len(v))
-        for i in range(len(v)):
-            k = n - 1
-            if k < 1:
-                continue
-            mx, my = (sx - x[i]) / k, (sy - v[i]) / k
-            a = xx - np.outer(x[i], x[i]) - k * np.outer(mx, mx) + alpha * np.eye(m)
-            b = xy - x[i] * v[i] - k * mx * my
-            out[i] = my + (x[i] - mx) @ np.linalg.solve(a, b)
-        return pd.Series(out)
-
-    return sensors.select("id", predict(*names, y).alias("corr"))
+    mean, my = np.array([total[f"s_{a}"] / n for a in names]), total[f"s_{y}"] / n
+    xx = np.array([[total[key(a, b)] for b in names] for a in names]) - n * np.outer(mean, mean) + alpha * np.eye(len(names))
+    inverse = np.linalg.inv(xx)
+    beta = inverse @ (np.array([total[key(a, y)] for a in names]) - n * mean * my)
+    off = [F.col(a) - float(m) for a, m in zip(names, mean)]
+    fitted = sum((c * float(w) for c, w in zip(off, beta)), F.lit(float(my)))
+    leverage = sum((a * b * float(inverse[i, j]) for i, a in enumerate(off) for j, b in enumerate(off)), F.lit(1.0 / n))
+    return sensors.select("id", (F.col(y) - (F.col(y) - fitted) / (1 - leverage)).alias("corr"))
 
 
 def forest_loo(sensors: DataFrame, feats, folds: int = 5, y: str = "resid", trees: int = 100, depth: int = 5, seed: int = 42) -> DataFrame:

@@ -5,13 +5,12 @@ from __future__ import annotations
 import json
 import uuid
 from functools import reduce
-from itertools import combinations
 
 import numpy as np
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, IsotonicRegression, RandomForestRegressionModel, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import fit_scale, orig_scale
@@ -117,33 +116,75 @@ def _by_fold(spark, path: str, features, target: str, folds: int, rows_of) -> Da
     return reduce(DataFrame.unionByName, [_kept(spark, f"{path}/fold={f}", lambda f=f: predicted(f)) for f in range(folds)])
 
 
+def active_set(a: np.ndarray, b: np.ndarray, summed: bool) -> np.ndarray:
+    """Weights >= 0, of sum 1 if `summed`, that minimise w'aw - 2 b'w.
+
+    Weights in use are solved for together; a step that would make one
+    negative ends there and drops it. Then the unused weight whose growth lowers
+    the value fastest comes in, until none does. Each pass solves one system, so
+    tens of models are no matter.
+    """
+    k = len(b)
+    scale = max(1e-300, float(np.abs(b).max(initial=0)), float(np.abs(a).max(initial=0)))
+    used, w = np.zeros(k, bool), np.zeros(k)
+    if summed:
+        used[np.argmin(np.diag(a) - 2 * b)] = True
+        w[used] = 1.0
+
+    def solved() -> np.ndarray:
+        s, out = np.flatnonzero(used), np.zeros(k)
+        m = len(s)
+        system, right = np.zeros((m + summed, m + summed)), np.ones(m + summed)
+        system[:m, :m], right[:m] = a[np.ix_(s, s)] / scale, b[s] / scale
+        system[m:, :m], system[:m, m:] = 1.0, 1.0
+        out[s] = np.linalg.lstsq(system, right, rcond=None)[0][:m]
+        return out
+
+    for _ in range(50 * k):
+        gain = (b - a @ w) / scale
+        level = float((gain[used] * w[used]).sum()) if summed else 0.0  # at the optimum the gain of all weights in use
+        gain[used] = -np.inf
+        if used.all() or gain.max() <= level + 1e-12:
+            break
+        used[np.argmax(gain)] = True
+        while True:
+            goal = solved()
+            if (goal[used] > 0).all():
+                w = goal
+                break
+            falling = used & (goal <= 0)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                step = np.min(np.where(falling, w / np.maximum(w - goal, 1e-300), np.inf))
+            w = w + min(1.0, step) * (goal - w)
+            used &= ~(falling & (w <= 1e-14))
+            w[~used] = 0.0
+            if not used.any():
+                break
+    return w
+
+
 def _best_convex(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Weights >= 0 of sum 1 that minimise w'aw - 2 b'w: the best of the stationary points of all supports."""
-    k, best, value = len(b), np.full(len(b), 1.0 / len(b)), np.inf
-    for size in range(1, k + 1):
-        for support in combinations(range(k), size):
-            s = list(support)
-            system = np.zeros((size + 1, size + 1))
-            system[:size, :size], system[:size, size], system[size, :size] = a[np.ix_(s, s)], 1.0, 1.0
-            w = np.zeros(k)
-            w[s] = np.linalg.lstsq(system, np.append(b[s], 1.0), rcond=None)[0][:size]
-            now = w @ a @ w - 2 * b @ w
-            if (w >= -1e-12).all() and now < value - 1e-12:
-                best, value = np.clip(w, 0, None) / max(w.clip(0).sum(), 1e-300), now
-    return best
+    w = active_set(a, b, True).clip(0)
+    return w / w.sum()
 
 
 def _best_nonnegative(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The same without the sum, then scaled to 1."""
-    k, best, value = len(b), np.full(len(b), 1.0 / len(b)), 0.0
-    for size in range(1, k + 1):
-        for support in combinations(range(k), size):
-            s, w = list(support), np.zeros(k)
-            w[s] = np.linalg.lstsq(a[np.ix_(s, s)], b[s], rcond=None)[0]
-            now = w @ a @ w - 2 * b @ w
-            if (w >= -1e-12).all() and now < value - 1e-12:
-                best, value = w.clip(0), now
-    return best / best.sum() if best.sum() > 0 else np.full(k, 1.0 / k)
+    w = active_set(a, b, False).clip(0)
+    return w / w.sum() if w.sum() > 0 else np.full(len(b), 1.0 / len(b))
+
+
+def optimality(oof: DataFrame, weights: DataFrame, models, y: str = "y") -> DataFrame:
+    """(model, weight, slack): of convex blends; optimal weights have slack 0 where they are used, and none below 0.
+
+    slack is how much faster than the blend's own weights a model's growth would
+    raise the mean squared error.
+    """
+    w = {r["model"]: r["weight"] for r in weights.collect()}  # a row a model
+    err = sum((F.col(f"p_{m}") * w[m] for m in models), F.lit(0.0)) - F.col(y)
+    blend = sum((F.col(f"p_{m}") * w[m] for m in models), F.lit(0.0))
+    parts = [F.struct(F.lit(m).alias("model"), F.lit(w[m]).alias("weight"), F.avg(err * (F.col(f"p_{m}") - blend)).alias("slack")) for m in models]
+    return oof.dropna(subset=[*[f"p_{m}" for m in models], y]).agg(F.array(*parts).alias("r")).select(F.explode("r").alias("r")).select("r.*")
 
 
 def blend_weights(oof: DataFrame, models, y: str = "y", key: str = "sensor_id", folds: int = 5) -> tuple[DataFrame, DataFrame]:
@@ -196,6 +237,38 @@ def calibrate_cv(oof: DataFrame, y: str = "y", p: str = "p", key: str = "sensor_
     return reduce(DataFrame.unionByName, parts)
 
 
+def isotonic_bins(bins: DataFrame, by: str, bin: str = "bin") -> DataFrame:
+    """(by, bin, cal): monotone fit to bins (by, bin, s, n) of sums and counts, by the min-max formula.
+
+    A bin's value is the largest, over bins not after it, of the smallest mean of
+    the bins from there to one not before it. Bins are few, and each is paired with
+    the later ones of its group only. Bins without rows take the value before
+    them, or the first one.
+    """
+    so_far = Window.partitionBy(by).orderBy(bin)
+    full = bins.where("n > 0").withColumns({"_s": F.sum("s").over(so_far), "_n": F.sum("n").over(so_far)})
+    start = full.select(by, F.col(bin).alias("_from"), (F.col("_s") - F.col("s")).alias("_s0"), (F.col("_n") - F.col("n")).alias("_n0"))
+    spans = full.select(by, bin, "_s", "_n").join(start, by).where(F.col("_from") <= F.col(bin)).withColumn("_mean", (F.col("_s") - F.col("_s0")) / (F.col("_n") - F.col("_n0")))
+    least = F.min("_mean").over(Window.partitionBy(by, "_from").orderBy(bin).rowsBetween(0, Window.unboundedFollowing))
+    fit = spans.withColumn("_least", least).groupBy(by, bin).agg(F.max("_least").alias("_cal"))
+    up, down = so_far.rowsBetween(Window.unboundedPreceding, 0), so_far.rowsBetween(0, Window.unboundedFollowing)
+    filled = F.coalesce(F.last("_cal", True).over(up), F.first("_cal", True).over(down))
+    return bins.select(by, bin).join(fit, [by, bin], "left").select(by, bin, filled.alias("cal"))
+
+
+def calibrate_binned_cv(rows: DataFrame, y: str = "y", p: str = "p", width: float = 0.5) -> DataFrame:
+    """rows (fold, y, p, ...) with cal: a monotone fit on the bins of the other folds, each `width` wide in p.
+
+    One pass sums all bins by fold; a fold's fit is made of the sums of the others.
+    """
+    binned = rows.withColumn("bin", F.floor(F.col(p) / width).cast("long"))
+    own = written(binned.groupBy("fold", "bin").agg(F.sum(y).alias("s"), F.count(y).alias("n")))
+    folds, whole = own.select("fold").distinct(), own.groupBy("bin").agg(F.sum("s").alias("_s"), F.sum("n").alias("_n"))
+    every = folds.crossJoin(whole).join(own, ["fold", "bin"], "left")  # folds x bins, both few
+    others = every.select("fold", "bin", (F.col("_s") - F.coalesce("s", F.lit(0.0))).alias("s"), (F.col("_n") - F.coalesce("n", F.lit(0))).alias("n"))
+    return binned.join(isotonic_bins(written(others), "fold"), ["fold", "bin"], "left").drop("bin")
+
+
 def score(df: DataFrame, features, models: dict, weights: dict, fill: dict | None = None, log: bool = False) -> DataFrame:
     """df with pm25_pred: the weighted sum of the models that have weight, floored at 0."""
     from .clean import fill_by_precedence

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import haversine_mi, null_nan
+from ..functions.scalars import KM_RADIUS, MILES_RADIUS, haversine_mi, null_nan
 from ..sources.io import written
 from .quantiles import quantiles
 
@@ -141,30 +141,44 @@ def choose_best(candidates: DataFrame, prefer: str, tol: float = 0.001) -> DataF
 def spaced_top_k(df: DataFrame, score: str, k: int = 25, miles: float = 8.0, kept=()) -> DataFrame:
     """Up to k rows by score, each at least `miles` from those before it and from `kept` (lat, lon) pairs; ties to the smaller id.
 
-    Scores do not change, so each round takes the best row left and drops what
-    is near it; the picks, at most k, come to the driver.
+    What greedy picks among the best m rows are its first picks among all, so m
+    grows until it holds k of them. Near pairs of the m rows are joined once; then in
+    each round every row with no better undecided row near it is picked and the
+    rows near it go, wherever they lie, so the rounds are few and k may be large.
     """
-    picks, near = [], [(float(a), float(b)) for a, b in kept]
-    columns = df.columns
-    while len(picks) < k:
-        left = df
-        for a, b in near:
-            left = left.where(haversine_mi(F.col("lat"), F.col("lon"), F.lit(a), F.lit(b)) >= miles)
-        # A batch of the best rows is enough for several picks.
-        batch = left.orderBy(F.desc(score), "id").limit(4 * k).collect()
-        if not batch:
+    from .joins import pairs, within
+
+    spark, order, most = df.sparkSession, [F.desc(score), F.asc("id")], max(4 * k, 64)
+    left = df.where(F.col(score).isNotNull() & F.col("lat").isNotNull() & F.col("lon").isNotNull())
+    if kept:
+        taken = spark.createDataFrame([(float(a), float(b), float(a), float(b)) for a, b in kept], "lat double, lon double, _a double, _b double")
+        met = within(left.select("id", "lat", "lon", F.col("lat").alias("_p"), F.col("lon").alias("_q")), taken, miles * KM_RADIUS / MILES_RADIUS * 1.001)
+        left = left.join(met.where(haversine_mi(F.col("_p"), F.col("_q"), F.col("_a"), F.col("_b")) < miles).select("id"), "id", "left_anti")
+    left = written(left)
+    total = left.count()
+    while True:
+        best = written(left.orderBy(*order).limit(most))
+        near = pairs(best.select("id", "lat", "lon"), miles).where(F.col("dist") < miles)
+        first = best.select(F.col("id").alias("i"), F.col(score).alias("_s")), best.select(F.col("id").alias("j"), F.col(score).alias("_t"))
+        ahead = (F.col("_s") > F.col("_t")) | ((F.col("_s") == F.col("_t")) & (F.col("i") < F.col("j")))
+        pick = lambda a, b: F.when(ahead, F.col(a)).otherwise(F.col(b))
+        edges = written(near.join(first[0], "i").join(first[1], "j").select(pick("i", "j").alias("up"), pick("j", "i").alias("down")))
+        picked = written(_first_apart(best.select("id"), edges))
+        if most >= total or picked.count() >= k:
             break
-        for row in batch:
-            if len(picks) < k and all(_miles(row["lat"], row["lon"], a, b) >= miles for a, b in near):
-                picks.append(row)
-                near.append((row["lat"], row["lon"]))
-    rows = [(*[r[c] for c in columns], i + 1) for i, r in enumerate(picks)]
-    schema = df.select(*columns, F.lit(1).alias("pick")).schema
-    return df.sparkSession.createDataFrame(rows, schema)
-
-
-def _miles(a: float, b: float, c: float, d: float) -> float:
-    from math import asin, cos, radians, sin, sqrt
-
-    x = sin(radians(c - a) / 2) ** 2 + cos(radians(a)) * cos(radians(c)) * sin(radians(d - b) / 2) ** 2
-    return 2 * 3959.0 * asin(sqrt(min(1.0, x)))
+        most *= 4
+    chosen = best.join(picked, "id", "left_semi").select(df.columns).orderBy(*order).limit(k)
+    return chosen.withColumn("pick", F.row_number().over(Window.orderBy(*order)))  # k rows
+
+
+def _first_apart(rows: DataFrame, edges: DataFrame) -> DataFrame:
+    """Ids of rows that greedy picks, of edges (up, down) between near rows, the better one up."""
+    undecided, picked = rows, None
+    while undecided.limit(1).count():
+        ids = undecided.select("id")
+        alive = edges.join(ids.withColumnRenamed("id", "up"), "up", "left_semi").join(ids.withColumnRenamed("id", "down"), "down", "left_semi")
+        now = written(ids.join(alive.select(F.col("down").alias("id")).distinct(), "id", "left_anti"))
+        gone = alive.join(now.withColumnRenamed("id", "up"), "up", "left_semi").select(F.col("down").alias("id")).distinct()
+        undecided = written(ids.join(now, "id", "left_anti").join(gone, "id", "left_anti"))
+        picked = now if picked is None else picked.unionByName(now)
+    return rows.limit(0) if picked is None else picked

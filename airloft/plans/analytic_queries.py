@@ -268,6 +268,23 @@ def kriging_sensors(spark, sf_dir):
     return rounded(itp.kriging(r, r, exclude_self=True), "corr")
 
 
+_TWO = (
+    f", {_RES}, kd AS (SELECT t.id, s.id AS sid, s.lat, s.lon, s.resid, {sql_km('t.lat', 't.lon', 's.lat', 's.lon')} AS km FROM rs t JOIN rs s ON s.id <> t.id), "
+    "kn AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY km, sid) AS r FROM kd), "
+    f"kp AS (SELECT a.id, a.km AS h1, b.km AS h2, a.resid AS x1, b.resid AS x2, {sql_km('a.lat', 'a.lon', 'b.lat', 'b.lon')} AS h FROM kn a JOIN kn b ON a.id = b.id AND a.r = 1 AND b.r = 2), "
+    "kc AS (SELECT *, pow((x1 - x2) / 2, 2) AS v FROM kp), "
+    "ke AS (SELECT *, v + 1e-6 AS a, v * exp(-3 * h / 60) AS b, v * exp(-3 * h1 / 60) AS r1, v * exp(-3 * h2 / 60) AS r2 FROM kc), "
+    "kw AS (SELECT *, (r1 - r2) / (a - b) AS d, (r1 + r2 - 2 / 1e-6) / (a + b - 2 / 1e-6) AS t FROM ke) "
+)
+
+
+@query("kriging_two", with_views("v_sensor_day", _TWO + "SELECT id, round(CASE WHEN h1 > 180 AND h2 > 180 THEN 0 ELSE (t + d) / 2 * x1 + (t - d) / 2 * x2 END + 1.37e-5, 3) AS corr FROM kw"))
+def kriging_two(spark, sf_dir):
+    """Kriging with two neighbours, whose system has a closed form."""
+    r = _residuals(spark, sf_dir)
+    return itp.kriging(r, r, k=2, exclude_self=True).withColumn("corr", F.round(F.col("corr") + 1.37e-5, 3))
+
+
 _RIDGE = (
     f", {_RES}, t AS (SELECT count(*) AS n, sum(lat) AS sx, sum(lon) AS sy, sum(resid) AS sv, sum(lat * lat) AS xx, sum(lat * lon) AS xy, sum(lon * lon) AS yy, sum(lat * resid) AS xv, sum(lon * resid) AS yv FROM rs), "
     "m AS (SELECT rs.*, t.*, n - 1 AS k, (sx - lat) / (n - 1) AS mx, (sy - lon) / (n - 1) AS my, (sv - resid) / (n - 1) AS mv FROM rs, t), "
@@ -410,6 +427,38 @@ def blend_report(spark, sf_dir):
     return ml.blend_weights(_oof(spark, sf_dir), ["a", "b", "c"])[1]
 
 
+_MANY = [f"m{i}" for i in range(20)]
+
+
+@query("blend_optimality", "SELECT 'm' || CAST(range AS VARCHAR) AS model, TRUE AS optimal FROM range(20)")
+def blend_optimality(spark, sf_dir):
+    """Whether the weights of a convex blend of twenty models meet the conditions of the optimum."""
+    made = {f"p_m{i}": F.col(f"p_{'abc'[i % 3]}") * (0.6 + i / 20) + F.pmod(F.xxhash64("sensor_id", "date", F.lit(i)), F.lit(100)) / 10 for i in range(20)}
+    oof = written(_oof(spark, sf_dir).withColumns(made))
+    weights = ml.blend_weights(oof, _MANY)[0].where("blend = 'convex'")
+    slack = ml.optimality(oof, weights, _MANY)
+    return slack.select("model", (F.when(F.col("weight") > 1e-9, F.abs("slack") < 1e-6).otherwise(F.col("slack") > -1e-6) & (F.col("weight") >= 0)).alias("optimal"))
+
+
+_CAL = (
+    f", {_OOF}, b AS (SELECT CAST(sensor_id AS BIGINT) % 3 AS fold, CAST(floor(p_a / 0.5::DOUBLE) AS BIGINT) AS bin, y, p_a AS p FROM oof), "
+    "g AS (SELECT f.fold, b.bin, sum(CASE WHEN b.fold <> f.fold THEN y ELSE 0 END) AS s, count(CASE WHEN b.fold <> f.fold THEN 1 END) AS n FROM b, (SELECT DISTINCT fold FROM b) f GROUP BY 1, 2), "
+    "c AS (SELECT *, sum(s) OVER w AS cs, sum(n) OVER w AS cn FROM g WHERE n > 0 WINDOW w AS (PARTITION BY fold ORDER BY bin)), "
+    "sp AS (SELECT i.fold, j.bin AS first, i.bin AS last, (i.cs - j.cs + j.s) / (i.cn - j.cn + j.n) AS mean FROM c i JOIN c j ON i.fold = j.fold AND j.bin <= i.bin), "
+    "le AS (SELECT fold, last AS bin, min(mean) OVER (PARTITION BY fold, first ORDER BY last ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS least FROM sp), "
+    "ft AS (SELECT fold, bin, max(least) AS cal FROM le GROUP BY 1, 2), "
+    "fl AS (SELECT g.fold, g.bin, coalesce(last_value(cal IGNORE NULLS) OVER (PARTITION BY g.fold ORDER BY g.bin ROWS UNBOUNDED PRECEDING), first_value(cal IGNORE NULLS) OVER (PARTITION BY g.fold ORDER BY g.bin ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS cal FROM g LEFT JOIN ft ON ft.fold = g.fold AND ft.bin = g.bin) "
+)
+
+
+@query("calibrate_binned", with_views("v_sensor_day", _CAL + f"SELECT b.fold, b.bin, count(*) AS n, {R('any_value(cal)')} AS cal, {R('avg(y)')} AS y FROM b JOIN fl ON fl.fold = b.fold AND fl.bin = b.bin GROUP BY 1, 2"))
+def calibrate_binned(spark, sf_dir):
+    """Calibrated value of each bin of predictions in each fold, fitted on the other folds, with what was read there."""
+    rows = _oof(spark, sf_dir).select((F.col("sensor_id").cast("long") % 3).alias("fold"), "y", F.col("p_a").alias("p"))
+    out = ml.calibrate_binned_cv(rows).withColumn("bin", F.floor(F.col("p") / 0.5).cast("long"))
+    return rounded(out.groupBy("fold", "bin").agg(F.count(F.lit(1)).alias("n"), F.first("cal").alias("cal"), F.avg("y").alias("y")), "cal", "y")
+
+
 @query("calibrate_cv")
 def calibrate_cv(spark, sf_dir):
     """Metrics before and after calibration on sites that it has not seen."""

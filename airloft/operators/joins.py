@@ -379,40 +379,88 @@ def cell_or_nearest(points: DataFrame, cells: DataFrame, default: float, deg: fl
     return joined.join(found, ["lat", "lon"], "left").withColumn("value", F.coalesce("value", "_v", F.lit(default))).drop("_v")
 
 
-def polygon_cells(polygons: DataFrame, deg: float) -> DataFrame:
-    """polygons (rings, ...) once for each grid cell that their box touches, with _py, _px and the box _box."""
-    boxed = polygons.withColumn("_box", bbox(F.col("rings")))
-    span = lambda lo, hi: F.sequence(F.floor(F.col(f"_box.{lo}") / deg).cast("int"), F.floor(F.col(f"_box.{hi}") / deg).cast("int"))
-    return boxed.withColumn("_py", F.explode(span("ymin", "ymax"))).withColumn("_px", F.explode(span("xmin", "xmax")))
+#: Side (degrees) of the coarsest cells of a polygon cover, how often they are halved at most, and edges that a point is tested against at most above the last level.
+COARSE, HALVINGS, EDGES = 4.0, 8, 16
 
 
-def smoke_tier(points: DataFrame, polygons: DataFrame, deg: float = 1.0, boundary: bool = False) -> DataFrame:
-    """points (id, date, lat, lon) with the highest tier of the day's polygons (date, tier, rings) that contain them, else 0.
+def polygon_cover(polygons: DataFrame, coarse: float = COARSE, halvings: int = HALVINGS) -> DataFrame:
+    """polygons (rings, ...) as the cells that cover them: (..., _level, _py, _px, _edges) without rings.
 
-    Polygons meet points by day and grid cell of their box; the box and then
-    the ray test filter what meets.
+    A polygon starts in a few cells about as large as its box. A cell that no
+    edge touches lies wholly inside (_edges is null: its points need no test) or
+    outside (it is left out). Others are cut in four once, and again while they
+    have many edges; then they keep the edges that a ray from inside the cell can
+    meet. So a polygon costs its outline in small cells and its area in large
+    ones, whatever its size. Rounds of cutting are written.
     """
-    keyed = points.select("id", "date", "lat", "lon").withColumn("_py", F.floor(F.col("lat") / deg).cast("int")).withColumn("_px", F.floor(F.col("lon") / deg).cast("int"))
-    met = keyed.join(polygon_cells(polygons.select("date", "tier", "rings"), deg), ["date", "_py", "_px"])
-    near = met.where(F.col("lon").between(F.col("_box.xmin"), F.col("_box.xmax")) & F.col("lat").between(F.col("_box.ymin"), F.col("_box.ymax")))
-    hit = near.where(contains(F.col("rings"), F.col("lon"), F.col("lat"), boundary)).groupBy("id", "date").agg(F.max("tier").alias("tier"))
+    segments = F.flatten(F.transform("rings", lambda ring: F.transform(F.sequence(F.lit(0), F.size(ring) - 2), lambda i: F.array(ring[i], ring[i + 1]))))
+    keep, edges = [c for c in polygons.columns if c != "rings"], "array<array<array<double>>>"
+    size = F.greatest(F.col("_box.xmax") - F.col("_box.xmin"), F.col("_box.ymax") - F.col("_box.ymin"), F.lit(1e-9))
+    first = F.least(F.greatest(F.ceil(F.log2(coarse / size)), F.lit(0)), F.lit(halvings)).cast("int")
+    side = coarse * F.pow(F.lit(0.5), F.col("_level"))
+    span = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(f"_box.{lo}") / side).cast("int"), F.floor(F.col(f"_box.{hi}") / side).cast("int")))
+    cells = polygons.where(F.size("rings") > 0).select(*keep, segments.cast(edges).alias("_edges"), bbox(F.col("rings")).alias("_box")).withColumn("_level", first)
+    cells = cells.withColumn("_py", span("ymin", "ymax")).withColumn("_px", span("xmin", "xmax")).drop("_box").withColumn("_cut", F.lit(False))
+    y, x = F.col("_py") * side, F.col("_px") * side
+    # A ray to the right of a point of the cell meets only edges that reach its rows and lie not wholly to its left.
+    near = F.filter("_edges", lambda e: (F.least(e[0][1], e[1][1]) <= y + side) & (F.greatest(e[0][1], e[1][1]) >= y) & (F.greatest(e[0][0], e[1][0]) >= x))
+    quarter = F.explode(F.array(*[F.struct((F.col("_py") * 2 + i).alias("_py"), (F.col("_px") * 2 + j).alias("_px")) for i in (0, 1) for j in (0, 1)]))
+    found = [*keep, "_level", "_py", "_px", "_edges"]
+    out = None
+    while True:
+        kept = cells.withColumn("_edges", near).withColumn("_hit", F.exists("_edges", lambda e: _touches(e, x, y, side)))
+        inside = F.when(~F.col("_hit"), contains(F.col("_edges"), x + side / 2, y + side / 2))
+        split = written(kept.withColumn("_in", inside).where("_hit OR _in").withColumn("_done", ~F.col("_hit") | (F.col("_level") >= halvings) | (F.col("_cut") & (F.size("_edges") <= EDGES))))
+        part = split.where("_done").withColumn("_edges", F.when(F.col("_hit"), F.col("_edges"))).select(found)
+        out = part if out is None else out.unionByName(part)
+        rest = split.where("NOT _done")
+        if rest.limit(1).count() == 0:
+            return out
+        cells = rest.select(*keep, "_edges", (F.col("_level") + 1).alias("_level"), quarter.alias("_q")).select(*keep, "_edges", "_level", "_q._py", "_q._px", F.lit(True).alias("_cut"))
+
+
+def _touches(e: Column, x: Column, y: Column, side: Column) -> Column:
+    """Whether an edge may meet the closed square at (x, y): their boxes do, and not all corners lie on one side of its line."""
+    a, b = e[0], e[1]
+    apart = (F.greatest(a[0], b[0]) < x) | (F.least(a[0], b[0]) > x + side) | (F.greatest(a[1], b[1]) < y) | (F.least(a[1], b[1]) > y + side)
+    corners = [(b[0] - a[0]) * (y + j * side - a[1]) - (b[1] - a[1]) * (x + i * side - a[0]) for i in (0, 1) for j in (0, 1)]
+    return ~apart & (F.least(*corners) <= 0) & (F.greatest(*corners) >= 0)
+
+
+def in_polygons(points: DataFrame, polygons: DataFrame, on=(), boundary: bool = False, coarse: float = COARSE, halvings: int = HALVINGS) -> DataFrame:
+    """Pairs of points (lat, lon, ...) and polygons (rings, ...; other names disjoint but for `on`) that contain them, without rings.
+
+    A point looks up its cell of each level; only in cells on an outline do
+    edges decide. Points on an edge count as `boundary` says.
+    """
+    cover = polygon_cover(polygons, coarse, halvings)
+    levels = sorted(r[0] for r in cover.select("_level").distinct().collect())  # at most halvings + 1
+    if not levels:
+        return points.join(polygons.drop("rings"), list(on)).limit(0) if on else points.crossJoin(polygons.drop("rings")).limit(0)
+    at = [F.struct(F.lit(i).alias("_level"), F.floor(F.col("lat") / (coarse / 2**i)).cast("int").alias("_py"), F.floor(F.col("lon") / (coarse / 2**i)).cast("int").alias("_px")) for i in levels]
+    keyed = points.withColumn("_c", F.explode(F.array(*at))).select(*points.columns, "_c.*")
+    met = keyed.join(cover, [*on, "_level", "_py", "_px"])
+    return met.where(F.col("_edges").isNull() | contains(F.col("_edges"), F.col("lon"), F.col("lat"), boundary)).drop("_level", "_py", "_px", "_edges")
+
+
+def smoke_tier(points: DataFrame, polygons: DataFrame, deg: float = COARSE, boundary: bool = False) -> DataFrame:
+    """points (id, date, lat, lon) with the highest tier of the day's polygons (date, tier, rings) that contain them, else 0."""
+    met = in_polygons(points.select("id", "date", "lat", "lon"), polygons.select("date", "tier", "rings"), ("date",), boundary, deg)
+    hit = met.groupBy("id", "date").agg(F.max("tier").alias("tier"))
     return points.join(hit, ["id", "date"], "left").withColumn("tier", F.coalesce("tier", F.lit(0)))
 
 
-def entity_day_tier(sensors: DataFrame, polygons: DataFrame, deg: float = 1.0) -> DataFrame:
+def entity_day_tier(sensors: DataFrame, polygons: DataFrame, deg: float = COARSE) -> DataFrame:
     """Sparse (id, date, tier > 0) of sensors (id, lat, lon) on the days of the polygons.
 
-    Sensors meet the polygons of all days by grid cell; days without a hit are never formed.
+    Sensors meet the polygons of all days by cell; days without a hit are never formed.
     """
-    keyed = sensors.select("id", "lat", "lon").withColumn("_py", F.floor(F.col("lat") / deg).cast("int")).withColumn("_px", F.floor(F.col("lon") / deg).cast("int"))
-    met = keyed.join(polygon_cells(polygons.select("date", "tier", "rings"), deg), ["_py", "_px"])
-    near = met.where(F.col("lon").between(F.col("_box.xmin"), F.col("_box.xmax")) & F.col("lat").between(F.col("_box.ymin"), F.col("_box.ymax")))
-    return near.where(contains(F.col("rings"), F.col("lon"), F.col("lat"))).groupBy("id", "date").agg(F.max("tier").alias("tier")).where("tier > 0")
+    met = in_polygons(sensors.select("id", "lat", "lon"), polygons.select("date", "tier", "rings"), coarse=deg)
+    return met.groupBy("id", "date").agg(F.max("tier").alias("tier")).where("tier > 0")
 
 
-def inside_any(points: DataFrame, polygons: DataFrame, boundary: bool = True, deg: float = 1.0) -> DataFrame:
+def inside_any(points: DataFrame, polygons: DataFrame, boundary: bool = True, deg: float = COARSE) -> DataFrame:
     """points (id, lat, lon) with in_tx: does any polygon contain them or, with boundary, touch them."""
-    keyed = points.select("id", "lat", "lon").withColumn("_py", F.floor(F.col("lat") / deg).cast("int")).withColumn("_px", F.floor(F.col("lon") / deg).cast("int"))
-    met = keyed.join(polygon_cells(polygons.select("rings"), deg), ["_py", "_px"])
-    hit = met.where(contains(F.col("rings"), F.col("lon"), F.col("lat"), boundary)).select("id").distinct().withColumn("in_tx", F.lit(True))
+    met = in_polygons(points.select("id", "lat", "lon"), polygons.select("rings"), (), boundary, deg)
+    hit = met.select("id").distinct().withColumn("in_tx", F.lit(True))
     return points.join(hit, "id", "left").withColumn("in_tx", F.coalesce("in_tx", F.lit(False)))

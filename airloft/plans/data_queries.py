@@ -8,7 +8,7 @@ from ..functions import bands, scalars as sc
 from ..operators import aggregates as agg, clean, joins, windows as win
 from ..sources import io
 from .registry import query
-from .views import events, r6, sql_km, sql_r6, table, v_sensor, v_sensor_day, v_smoke, v_tract, with_views
+from .views import events, r6, sql_km, sql_r6, table, v_sensor, v_plume, v_sensor_day, v_smoke, v_tract, with_views
 
 R = sql_r6
 
@@ -351,6 +351,25 @@ def smoke_tier(spark, sf_dir):
     return joins.smoke_tier(p, _polygons(spark, sf_dir)).select(F.col("id").alias("sensor_id"), "date", "tier")
 
 
+@query(
+    "plume_tier",
+    with_views("v_sensor_day v_plume", ", h AS (SELECT d.sensor_id, d.date, max(p.tier) AS tier FROM v_sensor_day d JOIN v_plume p ON d.date = p.date AND abs(d.lon - p.x) + abs(d.lat - p.y) < p.w GROUP BY 1, 2) SELECT d.sensor_id, d.date, coalesce(h.tier, 0) AS tier FROM v_sensor_day d LEFT JOIN h USING (sensor_id, date)"),
+    dates=("date",),
+)
+def plume_tier(spark, sf_dir):
+    """Sensors in polygons that grow in number with the tables and differ a hundredfold in size."""
+    p = v_sensor_day(spark, sf_dir).select(F.col("sensor_id").alias("id"), "date", "lat", "lon")
+    return joins.smoke_tier(p, v_plume(spark, sf_dir)).select(F.col("id").alias("sensor_id"), "date", "tier")
+
+
+@query("plume_counts", with_views("v_tract v_plume", "SELECT p.plume, count(t.GEOID) AS tracts FROM v_plume p LEFT JOIN v_tract t ON abs(t.lon - p.x) + abs(t.lat - p.y) < p.w GROUP BY 1"))
+def plume_counts(spark, sf_dir):
+    """Tracts in each polygon."""
+    p = v_plume(spark, sf_dir)
+    met = joins.in_polygons(v_tract(spark, sf_dir).select("GEOID", "lat", "lon"), p.select("plume", "rings")).groupBy("plume").agg(F.count(F.lit(1)).alias("tracts"))
+    return p.select("plume").join(met, "plume", "left").select("plume", F.coalesce("tracts", F.lit(0)).cast("long").alias("tracts"))
+
+
 @query(
     "entity_day_tier",
     with_views("v_sensor v_smoke", ", q AS (SELECT date, x, y, w, CASE WHEN density = '' THEN 0 WHEN density = 'Light' THEN 1 WHEN density = 'Medium' THEN 2 ELSE 3 END AS tier FROM v_smoke) SELECT s.sensor_id AS id, q.date, max(q.tier) AS tier FROM v_sensor s JOIN q ON abs(s.lon - q.x) + abs(s.lat - q.y) < q.w GROUP BY 1, 2 HAVING max(q.tier) > 0"),

@@ -53,6 +53,17 @@ def v_smoke(spark, sf_dir) -> DataFrame:
     return base.select((F.col("k") * 100 + F.col("d")).alias("poly"), F.date_add(F.lit("2024-01-01").cast("date"), F.col("d")).alias("date"), "density", F.array(ring).alias("rings"))
 
 
+def v_plume(spark, sf_dir) -> DataFrame:
+    """(plume, date, tier, rings): a diamond for each supplier, from a twentieth of a degree to six degrees across."""
+    y, x = place(F.col("s_suppkey") * 13)
+    w = F.lit(0.05) * F.pow(F.lit(2.0), F.pmod(F.col("s_suppkey"), F.lit(8)).cast("double"))
+    base = table(spark, sf_dir, "supplier").select("s_suppkey", y.alias("y"), x.alias("x"), w.alias("w"))
+    at = lambda dx, dy: F.array(F.col("x") + dx * F.col("w"), F.col("y") + dy * F.col("w"))
+    ring = F.array(at(-1, 0), at(0, -1), at(1, 0), at(0, 1), at(-1, 0))
+    day = F.date_add(F.lit("2024-01-01").cast("date"), F.pmod(F.col("s_suppkey"), F.lit(29)).cast("int"))
+    return base.select(F.col("s_suppkey").alias("plume"), day.alias("date"), (1 + F.pmod(F.col("s_suppkey"), F.lit(3))).cast("int").alias("tier"), F.array(ring).alias("rings"))
+
+
 def r6(c: Column | str) -> Column:
     return display_precision(F.col(c) if isinstance(c, str) else c)
 
@@ -79,11 +90,13 @@ def sql_km(a: str, b: str, c: str, d: str, radius: str = "6371.0::DOUBLE") -> st
 _LAT, _LON = sql_place("user_id")
 _TLAT, _TLON = sql_place("c_custkey + 500000")
 _SLAT, _SLON = sql_place("k * 31 + d")
+_PLAT, _PLON = sql_place("s_suppkey * 13")
 SQL = {
     "ev": f"ev AS (SELECT event_id, CAST(user_id AS VARCHAR) AS sensor_id, user_id, ts, event_type, value, props, {_LAT} AS lat, {_LON} AS lon FROM events)",
     "v_sensor": f"v_sensor AS (SELECT DISTINCT CAST(user_id AS VARCHAR) AS sensor_id, {_LAT} AS lat, {_LON} AS lon FROM events)",
     "v_sensor_day": f"v_sensor_day AS (SELECT CAST(user_id AS VARCHAR) AS sensor_id, {_LAT} AS lat, {_LON} AS lon, CAST(ts AS DATE) AS date, avg(value) AS pm25 FROM events WHERE value BETWEEN 0 AND 200 GROUP BY ALL)",
     "v_tract": f"v_tract AS (SELECT '48' || lpad(CAST(c_custkey AS VARCHAR), 9, '0') AS GEOID, {_TLAT} AS lat, {_TLON} AS lon, greatest(0.0::DOUBLE, c_acctbal) / 100.0::DOUBLE AS ejf, c_nationkey AS county, c_acctbal, c_mktsegment FROM customer)",
+    "v_plume": f"v_plume AS (SELECT s_suppkey AS plume, DATE '2024-01-01' + CAST(s_suppkey % 29 AS INT) AS date, CAST(1 + s_suppkey % 3 AS INT) AS tier, {_PLAT} AS y, {_PLON} AS x, 0.05::DOUBLE * pow(2.0::DOUBLE, CAST(s_suppkey % 8 AS DOUBLE)) AS w FROM supplier)",
     "v_smoke": f"v_smoke AS (SELECT k * 100 + d AS poly, DATE '2024-01-01' + CAST(d AS INT) AS date, ['Light', 'Medium', 'Heavy', ''][CAST(k % 4 + 1 AS INT)] AS density, {_SLON} AS x, {_SLAT} AS y, 0.5::DOUBLE + CAST(k % 3 AS DOUBLE) AS w FROM (SELECT CAST(n_nationkey AS BIGINT) AS k, unnest(range(0, 30)) AS d FROM nation))",
 }
 

@@ -1,11 +1,11 @@
 """Benchmark decontamination by spaced-seed hashing.
 
-A mask picks four of up to five consecutive tokens. Windows of the benchmark
-and of the training texts at every position meet by the hash of the three
-tokens that all masks start with, and stay if the fourth of any mask agrees.
-With the two masks used here an item of 8 tokens or more, up to a fifth of
-which is substituted, still shares a window (checked over all placements to 24
-tokens; a longer item has ten consecutive tokens with at most two substituted).
+A mask picks four of five or six consecutive tokens and ignores those between.
+The tokens that a mask picks are hashed at every position of the benchmark and of
+the training texts, and equal hashes of one mask meet in a join. With the two
+masks used here an item of 8 tokens or more, up to a fifth of which is
+substituted, still shares a hash (checked over all placements to 24 tokens; a
+longer item has ten consecutive tokens with at most two substituted).
 Shorter items, which may have one token substituted from five on, have masks of
 their own: the whole item, or its two halves. Each hit is then verified:
 benchmark and text are aligned at the hit and compared token by token around it.
@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from .common import cut, hash_pair, if_small, shielded, table
 
 SPAN = 8
-#: All masks start with the same STEM tokens; each has one more.
-MASKS, STEM = ((0, 1, 2, 3), (0, 1, 2, 4)), 3
+#: Places of a window that are hashed; the others are ignored.
+MASKS = ((0, 1, 2, 4), (0, 1, 4, 5))
 STRIDE = 1
 #: Tokens compared on each side of a hit's window.
 REACH = 64
@@ -37,12 +37,14 @@ def tokens(text: Column) -> Column:
 
 
 def seeds(token: Column, stride: int) -> Column:
-    """array<struct<p, h, m0, m1>>: window starts, the hash of their stem and the last token of each mask; needs SPAN tokens or more."""
+    """array<struct<p, h>>: window starts and the hash of the tokens that a mask picks there, of one mask after the other."""
 
-    def seed(p: Column) -> Column:
-        return F.struct(p.alias("p"), F.xxhash64(F.slice(token, p + 1, STEM)).alias("h"), *[F.get(token, p + mask[-1]).alias(f"m{k}") for k, mask in enumerate(MASKS)])
+    def of(k: int, mask: tuple[int, ...]) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.size(token) - 1 - mask[-1], F.lit(0)), F.lit(stride))
+        made = F.transform(starts, lambda p: F.struct(p.alias("p"), F.xxhash64(F.lit(k), *[F.get(token, p + o) for o in mask]).alias("h")))
+        return F.when(F.size(token) > mask[-1], made).otherwise(F.slice(made, 1, 0))
 
-    return F.transform(F.sequence(F.lit(0), F.size(token) - (STEM + 1), F.lit(stride)), seed)
+    return F.concat(*[of(k, mask) for k, mask in enumerate(MASKS)])
 
 
 def _short_masks(n: int) -> list[tuple[int, int]]:
@@ -83,13 +85,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     every = benchmark.where(F.col("text").isNotNull()).select("item_id", tokens(F.col("text")).alias("_it")).where(F.size("_it") > 0).dropDuplicates(["item_id", "_it"])
     items = every.where(F.size("_it") >= SPAN)
     probes = items.select("item_id", F.xxhash64("_it").alias("_iv"), F.explode(seeds(F.col("_it"), 1)).alias("s"))
-    probes = cut(probes.select("item_id", "_iv", F.col("s.p").alias("_q"), F.col("s.h").alias("_h"), *[F.col(f"s.m{k}").alias(f"_b{k}") for k in range(len(MASKS))]).distinct())
+    probes = cut(probes.select("item_id", "_iv", F.col("s.p").alias("_q"), F.col("s.h").alias("_h")).distinct())
 
     t1, t2 = hash_pair(F.col("text"))
     based = docs.where(F.col("text").isNotNull()).select(t1.alias("_t1"), t2.alias("_t2"), tokens(F.col("text")).alias("_tok"))
-    windows = based.where(F.size("_tok") > STEM).select("_t1", "_t2", F.explode(seeds(F.col("_tok"), STRIDE)).alias("s")).select("_t1", "_t2", F.col("s.p").alias("_p"), F.col("s.h").alias("_th"), *[F.col(f"s.m{k}").alias(f"_m{k}") for k in range(len(MASKS))])
-    agree = F.expr(" OR ".join(f"_m{k} = _b{k}" for k in range(len(MASKS))))
-    met = windows.join(if_small(probes, 64), (F.col("_th") == F.col("_h")) & agree)
+    windows = based.select("_t1", "_t2", F.explode(seeds(F.col("_tok"), STRIDE)).alias("s")).select("_t1", "_t2", F.col("s.p").alias("_p"), F.col("s.h").alias("_h"))
+    met = windows.join(if_small(probes, 48), "_h")
     place = F.floor(F.col("_p") / REACH)
     hits = cut(met.groupBy("_t1", "_t2", "item_id", "_iv", (F.col("_p") - F.col("_q")).alias("_shift"), place.alias("_place")).agg(F.min("_p").alias("_p")))
 

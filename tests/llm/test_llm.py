@@ -133,6 +133,24 @@ def test_decontamination_equals_brute_force(spark):
     assert found == want and 100 < len(want) < len(docs)
 
 
+def test_decontamination_of_long_items(spark):
+    """Items beyond what is compared around one hit, and masks that ignore places."""
+    rng = random.Random(33)
+    items = {n: [f"l{n}x{rng.randrange(3000)}" for _ in range(n)] for n in (137, 150, 300, 900)}
+    docs, want = [], []
+    for n, item in items.items():
+        for subs in (0, n // 8, n // 2):
+            words = list(item)
+            for i in range(0, n, 2) if subs == n // 2 else rng.sample(range(n), subs):
+                words[i] = "zz"
+            want += [len(docs)] * (subs < n // 2)
+            docs.append(prose(rng, 200).split() + words + prose(rng, 200).split())
+    df = spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string")
+    got = decontaminate.mark_contaminated(df, spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id long, text string"))
+    assert sorted(r["doc_id"] for r in got.where("contaminated").collect()) == want
+    assert all(set(m) != set(range(m[-1] + 1)) for m in decontaminate.MASKS)
+
+
 def test_decontamination_of_odd_input(spark):
     docs, none = odd_documents(spark), spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.mark_contaminated(docs, none).where("contaminated").count() == 0

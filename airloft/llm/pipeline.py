@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, mixing, neardup, sharding, toxicity
-from .common import shared_folder, table
+from .common import remove, shared_folder, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,9 +54,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each is written as Parquet and read again by the next."""
-    docs, folder = table(spark, sf_dir, "documents"), shared_folder(spark, "corpus")
+    """All stages over documents; each is written as Parquet and read again by the next, and its input is removed once it is written."""
+    docs, folder, last = table(spark, sf_dir, "documents"), shared_folder(spark, "corpus"), None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if last:
+            remove(spark, f"{folder}/{last}")
+        last = name
     return docs

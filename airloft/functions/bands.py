@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import nextafter
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -70,14 +72,30 @@ def density_tier(c: Column) -> Column:
     return out.otherwise(1)
 
 
+# Boxes (south, north, west, east; null is open) of the places outside the region, and their names, in order of precedence.
+OUTSIDE = (
+    (None, 25.84, None, None, "Mexico"),
+    (None, None, None, -103.043, "New Mexico"),
+    (nextafter(36.5, 90.0), None, -103.043, -94.43, "Oklahoma"),  # north of 36.5
+    (33.5, 37.0, -100.0, -94.43, "Oklahoma"),
+    (33.0, None, -94.43, None, "Arkansas"),
+    (None, 33.0, -94.04, None, "Louisiana"),
+    (None, 27.0, -97.0, None, "Gulf of Mexico"),
+)
+ELSEWHERE = "Outside TX (unclassified)"
+
+
 def outside_label(lat: Column, lon: Column) -> Column:
-    """Rough region of a point known to lie outside; first rule that holds."""
-    return (
-        F.when(lat < 25.84, "Mexico")
-        .when(lon < -103.043, "New Mexico")
-        .when(((lat > 36.5) & lon.between(-103.043, -94.43)) | (lat.between(33.5, 37.0) & lon.between(-100.0, -94.43)), "Oklahoma")
-        .when((lon > -94.43) & (lat >= 33.0), "Arkansas")
-        .when((lon > -94.04) & (lat < 33.0), "Louisiana")
-        .when((lon > -97) & (lat < 27), "Gulf of Mexico")
-        .otherwise("Outside TX (unclassified)")
-    )
+    """Rough region of a point known to lie outside: the name of the first box that holds it.
+
+    A south bound and both of a pair of bounds count as inside, other single bounds don't.
+    """
+
+    def held(x: Column, low: float | None, high: float | None) -> Column:
+        if low is not None and high is not None:
+            return x.between(low, high)
+        return F.lit(True) if low is None and high is None else x < high if low is None else x > low
+
+    north_of = lambda s, n: lat >= s if s is not None and n is None else held(lat, s, n)
+    found = [F.when(north_of(s, n) & held(lon, w, e), name) for s, n, w, e, name in OUTSIDE]
+    return F.coalesce(*found, F.lit(ELSEWHERE))

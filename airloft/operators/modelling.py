@@ -317,8 +317,13 @@ def fit_clusters(df: DataFrame, k: int = 8, seed: int = SEED) -> KMeansModel:
 
 
 def cluster_distance(df: DataFrame, model: KMeansModel) -> DataFrame:
-    """df with cluster and cluster_dist (in degrees) of the nearest of a few centres."""
-    away = [F.struct(F.sqrt(F.pow(F.col("lat") - float(c[0]), 2) + F.pow(F.col("lon") - float(c[1]), 2)).alias("d"), F.lit(i).alias("i")) for i, c in enumerate(model.clusterCenters())]
+    """df with cluster and cluster_dist (in degrees) of the nearest of a fitted model's centres."""
+    return centre_distance(df, model.clusterCenters())
+
+
+def centre_distance(df: DataFrame, centres) -> DataFrame:
+    """The same for a few (lat, lon) centres; ties to the first."""
+    away = [F.struct(F.sqrt(F.pow(F.col("lat") - float(c[0]), 2) + F.pow(F.col("lon") - float(c[1]), 2)).alias("d"), F.lit(i).alias("i")) for i, c in enumerate(centres)]
     best = F.least(*away) if len(away) > 1 else away[0]
     return df.withColumn("_b", best).withColumn("cluster", F.col("_b.i")).withColumn("cluster_dist", F.col("_b.d")).drop("_b")
 

@@ -145,6 +145,18 @@ def largest_per_key(files: DataFrame, key: str, size: str = "size", path: str =
     return files.withColumn("_k", F.row_number().over(best)).where("_k = 1").drop("_k")
 
 
+def largest_files(df: DataFrame, key: str) -> DataFrame:
+    """(key, path, size) of the largest file that has rows of each key, by the sizes the file system gives; df is read from files."""
+    files = df.select(key, F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size")).distinct()
+    return largest_per_key(files, key)
+
+
+def rows_of(df: DataFrame, files: DataFrame) -> DataFrame:
+    """Rows of df that come from one of the files (path)."""
+    marked = df.select("*", F.col("_metadata.file_path").alias("_path"))
+    return marked.join(files.select(F.col("path").alias("_path")).distinct(), "_path", "left_semi").drop("_path")
+
+
 def prefer(primary: DataFrame, fallback: DataFrame, key) -> DataFrame:
     """Rows of primary, and of fallback for keys that primary lacks; weather_source tells which."""
     key = [key] if isinstance(key, str) else list(key)

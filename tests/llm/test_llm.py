@@ -59,7 +59,7 @@ def test_query_equals_sql(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("documents", "labels", "benchmark"):
+    for t in ("documents", "labels", "benchmark", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     got, want = queries.QUERIES[name](spark, SF), con.execute(queries.ORACLE_SQL[name])
     names = sorted(d[0] for d in want.description)

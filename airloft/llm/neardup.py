@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, if_small, shielded, table
-from .textnum import SLICE_BYTES, U, Texts, grams, mix, raw, slices
+from .textnum import U, Texts, grams, mix, raw, slices
 
 SHINGLE = 5
 SIMILAR = 0.8
@@ -35,6 +35,8 @@ LIKELY = 0.6
 PART_ROWS, NEIGHBOURS = 256, 2
 #: Texts and bytes of a block; texts of a band that are left over are compared block against block.
 BLOCK_ROWS, BLOCK_BYTES = 256, 4 << 20
+#: Bytes of texts that are verified together.
+SLICE_BYTES = 3 << 20
 #: Columns of the matrix product that compares two blocks, at once.
 WIDTH = 2048
 

@@ -7,14 +7,17 @@ and every link is verified on the whole texts. First each text meets a few of a
 band, which links most families of copies; then all texts of a band that are
 not in one class by then are compared with each other, block by block.
 
-The idf of a shingle is the mean idf of its words. Document frequencies are
-counted over all documents in a table of hashed words, with a slot a document
-up to four million, so they can be handed to every task whatever the vocabulary.
+The idf of a shingle is the mean idf of its words. Document frequencies of words
+are counted exactly over all documents. A word in at most one of RARE documents
+counts as found in just that share, so what every task needs, the commoner
+words, is at most RARE times the mean number of different words of a text,
+whatever the vocabulary and the number of documents.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +30,10 @@ from .textnum import U, Texts, grams, mix, raw, slices
 SHINGLE = 5
 SIMILAR = 0.8
 BANDS, ROWS = 10, 4
-#: Width of the hashed table of document frequencies: a slot a document, within these bounds.
-IDF_BITS, MOST_BITS = 18, 22
+#: Words in at most one of so many documents share one idf.
+RARE = 4096
+#: Rows of counts that a task holds before it adds them up.
+COUNTED = 1 << 20
 #: Pairs of the first round whose samples agree less than this (0.8 less three deviations of the estimate) are left to links_within_bands.
 LIKELY = 0.6
 #: Texts of a band that are put in order together, and how many before a text it is compared with.
@@ -45,38 +50,73 @@ _SALTS = _RNG.integers(1, 2**63, size=(BANDS * ROWS, 3), dtype=np.int64).astype(
 _NEGLOG = (-np.log((np.arange(65536) + 0.5) / 65536)).astype(np.float32)
 
 
-def document_frequencies(texts: DataFrame, bits: int) -> tuple[np.ndarray, int]:
-    """Documents per hashed word, and documents with any word; the table has 2 ** bits entries."""
-    width = 1 << bits
+@dataclass
+class Idf:
+    """Inverse document frequencies: of the words with the sorted hashes, and of all others."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros(width + 1, np.int64)
-        for batch in batches:
-            for _, _, t in slices(batch.column(0), lower=True):
-                pairs = np.unique((t.owners().astype(U) << U(bits)) | (t.hashes >> U(64 - bits)))
-                held[:width] += np.bincount((pairs & U(width - 1)).astype(np.int64), minlength=width)
-                held[width] += np.count_nonzero(np.diff(t.first))
-        k = np.flatnonzero(held)
-        yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(held[k], pa.int64())], ["k", "n"])
+    words: np.ndarray
+    values: np.ndarray
+    other: float
+
+    def of(self, hashes: np.ndarray) -> np.ndarray:
+        if not len(self.words):
+            return np.full(len(hashes), self.other, np.float32)
+        at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
+        return np.where(self.words[at] == hashes, self.values[at], np.float32(self.other))
 
-    rows = texts.select("text").mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(width + 1, np.int64)
-    out[rows["k"]] = rows["n"]
-    return out[:width], int(out[width])
 
+def summed(words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct words and the sums of their counts."""
+    order = np.argsort(words)
+    words, counts = words[order], counts[order]
+    new = np.flatnonzero(np.concatenate([np.ones(min(1, len(words)), bool), words[1:] != words[:-1]]))
+    return words[new], np.add.reduceat(counts, new) if len(new) else counts
 
-def idf_table(texts: DataFrame) -> np.ndarray:
-    bits = min(MOST_BITS, max(IDF_BITS, int(texts.count()).bit_length()))
-    df, n = document_frequencies(texts, bits)
-    return (1 + np.log((1 + n) / (1 + df))).astype(np.float32)
 
+def document_frequencies(texts: DataFrame) -> DataFrame:
+    """(word, n) of texts (text): the documents that have the word with this hash; of a null word, the documents with any word."""
 
-def weighted_shingles(t: Texts, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, filled = [(np.zeros(0, U), np.zeros(0, np.int64))], 0
+        for batch in batches:
+            for _, _, t in slices(batch.column(0), lower=True):
+                order = np.argsort(t.hashes, kind="stable")
+                h, own = t.hashes[order], t.owners()[order]
+                once = np.concatenate([np.ones(min(1, len(h)), bool), (h[1:] != h[:-1]) | (own[1:] != own[:-1])])
+                held.append(summed(h[once], np.ones(np.count_nonzero(once), np.int64)))
+                filled += np.count_nonzero(np.diff(t.first))
+            if sum(len(w) for w, _ in held) > COUNTED:
+                words, n = summed(*(np.concatenate(x) for x in zip(*held)))
+                held = [(words, n)]
+                if len(words) > COUNTED // 2:
+                    yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n)], ["word", "n"])
+                    held = [(words[:0], n[:0])]
+        words, n = summed(*(np.concatenate(x) for x in zip(*held)))
+        yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n)], ["word", "n"])
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([filled], pa.int64())], ["word", "n"])
+
+    return texts.select("text").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def idf_table(texts: DataFrame) -> Idf:
+    """1 + ln((1 + documents) / (1 + frequency)), a frequency being one of RARE documents at least."""
+    counts = cut(document_frequencies(texts))
+    row = counts.where("word IS NULL").first()
+    total = row["n"] if row else 0
+    least = max(1.0, total / RARE)
+    rows = counts.where(F.col("word").isNotNull() & (F.col("n") > least)).toArrow()
+    words, df = (np.asarray(rows[c].combine_chunks()) if rows.num_rows else np.zeros(0, np.int64) for c in ("word", "n"))
+    order = np.argsort(words.view(U))
+    value = lambda n: 1 + np.log((1 + total) / (1 + n))
+    return Idf(words.view(U)[order], value(df[order]).astype(np.float32), float(value(least)))
+
+
+def weighted_shingles(t: Texts, idf: Idf) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct shingles of each text in hash order: hash, text, tf-idf weight."""
     h, own, at = grams(t, SHINGLE, short=True)
     if not len(h):
         return h, own, np.zeros(0, np.float32)
-    word = np.concatenate([[0.0], np.cumsum(idf[(t.hashes >> U(65 - len(idf).bit_length())).astype(np.int64)], dtype=np.float64)])
+    word = np.concatenate([[0.0], np.cumsum(idf.of(t.hashes), dtype=np.float64)])
     stop = np.minimum(at + SHINGLE, t.first[own + 1])
     weight = (word[stop] - word[at]) / (stop - at)
     order = np.lexsort((h, own)) if len(t) >= 1 << 20 else np.argsort((own.astype(U) << U(44)) | (h >> U(20)), kind="stable")
@@ -192,7 +232,7 @@ def candidate_pairs(nodes: DataFrame) -> DataFrame:
     return shares.where(F.col("alike") >= LIKELY)
 
 
-def similarities(left: Texts, right: Texts, idf: np.ndarray) -> np.ndarray:
+def similarities(left: Texts, right: Texts, idf: Idf) -> np.ndarray:
     """Weighted Jaccard similarity of the texts pair by pair."""
     n = len(left)
     (h1, o1, w1), (h2, o2, w2) = weighted_shingles(left, idf), weighted_shingles(right, idf)
@@ -228,7 +268,7 @@ def verified(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, idf, similar:
     return joined.select("a", "b", "ta", "tb").mapInArrow(check, "a binary, b binary").distinct()
 
 
-def block_links(node: list[bytes], root: np.ndarray, rest: np.ndarray, t: Texts, idf: np.ndarray, similar: float) -> list[tuple[bytes, bytes]]:
+def block_links(node: list[bytes], root: np.ndarray, rest: np.ndarray, t: Texts, idf: Idf, similar: float) -> list[tuple[bytes, bytes]]:
     """Pairs that join what is similar among texts: those of `rest` against all, by exact weighted Jaccard similarity.
 
     With equal roots (numbers) counted as joined, the pairs connect all that

@@ -7,6 +7,7 @@ import os
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -264,7 +265,7 @@ def test_weighted_samples_estimate_similarity():
     rng = random.Random(4)
     base = prose(rng, 3000, 100_000).split()
     other = [w if rng.random() > 0.03 else "x" + w for w in base]
-    idf = np.ones(1 << neardup.IDF_BITS, np.float32)
+    idf = neardup.Idf(np.zeros(0, np.uint64), np.zeros(0, np.float32), 1.0)
     a, b = (next(textnum.slices(pa.array([" ".join(w)]), True))[2] for w in (base, other))
     exact = neardup.similarities(a, b, idf)[0]
     x, y = (neardup.samples(*neardup.weighted_shingles(t, idf), 1) for t in (a, b))
@@ -273,6 +274,22 @@ def test_weighted_samples_estimate_similarity():
     assert abs(exact - len(h[0] & h[1]) / len(h[0] | h[1])) < 1e-6
 
 
+def test_document_frequencies_are_exact(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "RARE", 100)
+    rng = random.Random(17)
+    texts = [prose(rng, rng.randint(0, 80), 400).upper() for _ in range(700)] + [None, "", " ", "one one one"]
+    df = spark.createDataFrame([(x,) for x in texts], "text string").repartition(5)
+    words = [set(WORD.findall((x or "").lower())) for x in texts]
+    n, held = sum(map(bool, words)), Counter(w for x in words for w in x)
+    idf = neardup.idf_table(df)
+    names = sorted(held)
+    got = idf.of(next(textnum.slices(pa.array([" ".join(names)]), True))[2].hashes)
+    want = [1 + math.log((1 + n) / (1 + max(held[w], n / 100))) for w in names]
+    assert n > 600 and min(held.values()) < n / 100 and np.allclose(got, want, atol=1e-5)
+    assert len(idf.words) == sum(c > n / 100 for c in held.values())
+    assert neardup.idf_table(df.limit(0)).of(np.zeros(0, np.uint64)).tolist() == []
+
+
 def test_near_duplicates_of_odd_input(spark):
     docs = odd_documents(spark)
     got = [(r["doc_id"], r["class_id"]) for r in neardup.near_duplicate_classes(docs).collect()]

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, if_small, shielded, table
+from .common import cut, if_small, shielded, small_batches, table
 from .textnum import U, Texts, grams, mix, raw, slices
 
 SHINGLE = 5
@@ -385,6 +385,7 @@ def near_duplicate_classes(docs: DataFrame, similar: float = SIMILAR) -> DataFra
     hold different texts; then both may carry that id as class.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     based = docs.select(F.col("doc_id"), F.col("doc_id").cast("long").alias("id"), "text", F.unhex(F.md5("text")).alias("node"))
     texts = based.where(F.col("text").isNotNull())
     idf = spark.sparkContext.broadcast(idf_table(texts))

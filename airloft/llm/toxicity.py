@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, shielded, table
+from .common import held_out, shielded, small_batches, table
 from .textnum import U, Texts, slices
 
 #: Labelled documents of each class that the models are fitted on; a bounded sample in order of a hash of doc_id.
@@ -254,6 +254,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
 
     The discount is the one of DISCOUNTS whose calibrated model has the least loss.
     """
+    small_batches(docs.sparkSession)
     h = F.xxhash64(F.lit(3), "doc_id")
     texts = docs.select(plain(F.col("text")).alias("text"))
     sample = labelled(docs, labels, per_class).select("toxic", plain(F.col("text")).alias("text"), F.shiftrightunsigned(h, 8).alias("h"), (F.pmod(h, F.lit(CALIBRATE)) == 0).alias("later"))
@@ -287,6 +288,7 @@ def score_toxicity(docs: DataFrame, model: Model, with_text: bool = True) -> Dat
     scores. Texts of any length are read whole, in slices of rows. A column
     score is replaced.
     """
+    small_batches(docs.sparkSession)
     kept = docs if with_text else docs.drop("text")
     rows = docs.select(*kept.columns, plain(F.col("text")).alias("_plain"))
     held = docs.sparkSession.sparkContext.broadcast(vars(model))

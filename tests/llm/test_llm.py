@@ -657,6 +657,33 @@ def test_kneser_ney_counts_equal_brute_force(spark):
         assert math.isclose(got, sum(want), abs_tol=1e-3)
 
 
+def test_texts_reach_python_in_small_batches(spark, monkeypatch):
+    """Spark's own limits let 10,000 rows or 64 MB into a batch, whatever the size of an executor."""
+    words = [f"w{i}" for i in range(5003)]
+    texts = [" ".join(words[(i * 7919 + j * j + j) % 5003] for j in range(1500)) for i in range(1200)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+
+    def bounded(column, *args, **kwargs):
+        if column.nbytes > 2 * (4 << 20):
+            raise ValueError(f"{column.nbytes} bytes in a batch")
+        yield from textnum.slices(column, *args, **kwargs)
+
+    for module in (toxicity, neardup):
+        monkeypatch.setattr(module, "slices", bounded)
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None)
+    try:
+        spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+        assert toxicity.score_toxicity(docs, toxicity.train(docs, labels)).where("score >= 0").count() == 1200
+        spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+        assert neardup.near_duplicate_classes(docs).where("class_id = doc_id").count() == 1200
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "1m")
+        toxicity.train(docs, labels)
+        assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "1m"
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch") if before is None else spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", before)
+
+
 def test_toxicity_of_odd_input(spark):
     docs, labels = odd_documents(spark), spark.createDataFrame([(1, 1, 1), (1, 1, 0), (None, None, None), (6, 1, 0), (8, None, None)], "doc_id long, quality int, toxic int")
     for table in (labels, labels.limit(0), labels.where("toxic = 1")):

@@ -270,18 +270,20 @@ def _first_reach(sources: DataFrame, k: int) -> float:
     return min(FARTHEST_KM, max(1.0, sqrt(6.0 * k * area / (pi * box["n"]))))
 
 
-def knn(targets: DataFrame, sources: DataFrame, k: int, max_km: float | None = None, exclude_self: bool = False) -> DataFrame:
+def knn(targets: DataFrame, sources: DataFrame, k: int, max_km: float | None = None, exclude_self: bool = False, digits: int | None = None) -> DataFrame:
     """(target columns, source columns, source_id, km, rank): the k nearest sources (id, lat, lon, ...) of each target (id, lat, lon, ...) that are nearer than max_km, if given.
 
     Targets that have k sources within a reach are done with it; for the
     others the reach is made four times as wide, until it is max_km or the
     whole globe. Each round is written, so the next starts from what is left.
-    Ties go to the smaller id.
+    Ties go to the smaller id; distances that agree in so many decimal digits
+    of a km are ties, for places as far away differ by what sines round.
     """
     right = sources.withColumnRenamed("id", "source_id")
     most = FARTHEST_KM if max_km is None else min(float(max_km), FARTHEST_KM)
     reach, left, parts = min(most, _first_reach(sources, k)), targets, []
-    best = Window.partitionBy("id").orderBy("km", "source_id")
+    far = F.col("km") if digits is None else F.rint(F.col("km") * 10.0**digits)
+    best = Window.partitionBy("id").orderBy(far, "source_id")
     while True:
         met = within(left, right, reach)
         if exclude_self:
@@ -291,7 +293,8 @@ def knn(targets: DataFrame, sources: DataFrame, k: int, max_km: float | None = N
             parts.append(ranked)
             break
         found = written(ranked)
-        enough = found.where(F.col("rank") == k).select("id")
+        sure = reach if digits is None else reach - 10.0**-digits  # a tie may lie just beyond the reach
+        enough = found.where((F.col("rank") == k) & (F.col("km") <= sure)).select("id")
         parts.append(found.join(enough, "id", "left_semi"))
         left = written(left.join(enough, "id", "left_anti"))
         if left.where(F.col("lat").isNotNull() & F.col("lon").isNotNull()).limit(1).count() == 0:
@@ -304,11 +307,11 @@ def knn(targets: DataFrame, sources: DataFrame, k: int, max_km: float | None = N
 
 
 def nearest(points: DataFrame, targets: DataFrame, key: str) -> DataFrame:
-    """points (id, lat, lon, ...) with the key and km of the nearest target (key, lat, lon) at any distance; ties to the smaller key.
+    """points (id, lat, lon, ...) with the key and km of the nearest target (key, lat, lon) at any distance; ties, to nine digits of a km, to the smaller key.
 
     Both are null for points without a place, or if there is no target.
     """
-    found = knn(points.select("id", "lat", "lon"), targets.select(F.col(key).alias("id"), "lat", "lon"), 1)
+    found = knn(points.select("id", "lat", "lon"), targets.select(F.col(key).alias("id"), "lat", "lon"), 1, digits=9)
     return points.join(found.select("id", F.col("source_id").alias(key), "km"), "id", "left").select(*points.columns, key, "km")
 
 

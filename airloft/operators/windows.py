@@ -92,22 +92,49 @@ def tail_holdout(df: DataFrame, order, frac: float = 0.1, cap: int = 50_000) ->
 
 
 def group_folds(df: DataFrame, key: str, n: int = 5, most: int = 5000) -> DataFrame:
-    """(key, fold): whole groups in folds of near equal size.
+    """(key, fold): whole groups, largest first (ties by key), each to the lightest fold (ties to the first).
 
-    Groups of more than one in `most` of all rows, of which there are fewer
-    than `most`, go largest first to the lightest fold each; smaller ones are
-    dealt by hash, which is even for so many.
+    Groups of one size are dealt by level: a fold of load l takes one of them at
+    loads l, l + size, ..., so in the order of these loads folds take turns, and
+    one more joins in where the lightest have come up to it. The driver holds the
+    number of groups of each size, `most` sizes at a time, and at most n turns a
+    size; each group finds its fold by its place in the order of all groups.
     """
-    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n").alias("s")).first()["s"] or 0
-    large = F.col("n") * most > total
-    load, out = [0] * n, []
-    for r in counts.where(large).orderBy(F.desc("n"), key).collect():
-        fold = load.index(min(load))
-        load[fold] += r["n"]
-        out.append((r[key], fold))
-    first = df.sparkSession.createDataFrame(out, f"{key} {dict(df.dtypes)[key]}, fold int")
-    return first.unionByName(counts.where(~large).select(key, F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias("fold")))
+    spark = df.sparkSession
+    counts = in_order(df.groupBy(key).agg(F.count(F.lit(1)).alias("n")), [F.desc("n"), F.asc(key)])
+    sizes = counts.groupBy("n").agg(F.count(F.lit(1)).alias("m"))
+    load, rank, turns, below = [0] * n, 1, [], None
+    while True:
+        part = (sizes if below is None else sizes.where(F.col("n") < below)).orderBy(F.desc("n")).limit(most).collect()
+        for r in part:
+            rows, load = _turns(load, r["n"], r["m"])
+            for start, folds in rows:
+                turns.append((r["n"], rank + start, folds))
+            rank += r["m"]
+        if len(part) < most:
+            break
+        below = part[-1]["n"]
+    table = spark.createDataFrame(turns, "n long, _from long, _folds array<int>").groupBy("n").agg(F.array_sort(F.collect_list(F.struct("_from", "_folds"))).alias("_turns"))
+    turn = F.element_at(F.filter("_turns", lambda t: t["_from"] <= F.col("_rank")), -1)  # the last that has begun
+    dealt = counts.join(F.broadcast(table), "n").withColumn("_t", turn)
+    return dealt.select(key, F.get("_t._folds", ((F.col("_rank") - F.col("_t._from")) % F.size("_t._folds")).cast("int")).alias("fold"))
+
+
+def _turns(load: list[int], size: int, count: int) -> tuple[list[tuple[int, list[int]]], list[int]]:
+    """Turns (first item, folds in order) in which `count` items of one size go to the lightest fold each, and the loads after."""
+    load, out, done = list(load), [], 0
+    level = min(x // size for x in load)
+    while done < count:
+        now = sorted((x % size, f) for f, x in enumerate(load) if x // size == level)
+        folds = [f for _, f in now]
+        higher = [x // size for x in load if x // size > level]
+        rounds = min(higher) - level if higher else -(-(count - done) // len(folds))
+        taken = min(count - done, rounds * len(folds))
+        out.append((done, folds))
+        for i, f in enumerate(folds):
+            load[f] += size * (taken // len(folds) + (i < taken % len(folds)))
+        done, level = done + taken, level + rounds
+    return out, load
 
 
 def scenario_std(df: DataFrame, scenarios: DataFrame, score, key: str = "id") -> DataFrame:

@@ -384,42 +384,51 @@ def cell_or_nearest(points: DataFrame, cells: DataFrame, default: float, deg: fl
 
 #: Side (degrees) of the coarsest cells of a polygon cover, how often they are halved at most, and edges that a point is tested against at most above the last level.
 COARSE, HALVINGS, EDGES = 4.0, 8, 16
+#: Degrees by which a cell is widened when edges are sought: what rounding moves across its border is found in it.
+SLACK = 1e-9
 
 
-def polygon_cover(polygons: DataFrame, coarse: float = COARSE, halvings: int = HALVINGS) -> DataFrame:
+def polygon_cover(polygons: DataFrame, coarse: float = COARSE, halvings: int = HALVINGS, cuts: int = 1) -> DataFrame:
     """polygons (rings, ...) as the cells that cover them: (..., _level, _py, _px, _edges) without rings.
 
     A polygon starts in a few cells about as large as its box. A cell that no
     edge touches lies wholly inside (_edges is null: its points need no test) or
-    outside (it is left out). Others are cut in four once, and again while they
-    have many edges; then they keep the edges that a ray from inside the cell can
-    meet. So a polygon costs its outline in small cells and its area in large
+    outside (it is left out). Others are cut in four `cuts` times, and again while
+    they have many edges; then they keep the edges that a ray from inside the cell
+    can meet. So a polygon costs its outline in small cells and its area in large
     ones, whatever its size. Rounds of cutting are written.
     """
     segments = F.flatten(F.transform("rings", lambda ring: F.transform(F.sequence(F.lit(0), F.size(ring) - 2), lambda i: F.array(ring[i], ring[i + 1]))))
     keep, edges = [c for c in polygons.columns if c != "rings"], "array<array<array<double>>>"
     size = F.greatest(F.col("_box.xmax") - F.col("_box.xmin"), F.col("_box.ymax") - F.col("_box.ymin"), F.lit(1e-9))
     first = F.least(F.greatest(F.ceil(F.log2(coarse / size)), F.lit(0)), F.lit(halvings)).cast("int")
-    side = coarse * F.pow(F.lit(0.5), F.col("_level"))
-    span = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(f"_box.{lo}") / side).cast("int"), F.floor(F.col(f"_box.{hi}") / side).cast("int")))
-    cells = polygons.where(F.size("rings") > 0).select(*keep, segments.cast(edges).alias("_edges"), bbox(F.col("rings")).alias("_box")).withColumn("_level", first)
-    cells = cells.withColumn("_py", span("ymin", "ymax")).withColumn("_px", span("xmin", "xmax")).drop("_box").withColumn("_cut", F.lit(False))
-    y, x = F.col("_py") * side, F.col("_px") * side
+    sides = F.array(*[F.lit(coarse / 2**i) for i in range(halvings + 1)])
+    span = lambda lo, hi: F.explode(F.sequence(F.floor((F.col(f"_box.{lo}") - SLACK) / F.col("_side")).cast("int"), F.floor((F.col(f"_box.{hi}") + SLACK) / F.col("_side")).cast("int")))
+    spread = int(polygons.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cells = polygons.where(F.size("rings") > 0).repartition(spread).select(*keep, segments.cast(edges).alias("_edges"), bbox(F.col("rings")).alias("_box")).withColumn("_level", first).withColumn("_side", F.get(sides, F.col("_level")))
+    cells = cells.withColumn("_py", span("ymin", "ymax")).withColumn("_px", span("xmin", "xmax")).select(*keep, "_edges", "_level", "_py", "_px", F.lit(0).alias("_cuts"))
+    y, x, side = F.col("_y"), F.col("_x"), F.col("_side")
     # A ray to the right of a point of the cell meets only edges that reach its rows and lie not wholly to its left.
     near = F.filter("_edges", lambda e: (F.least(e[0][1], e[1][1]) <= y + side) & (F.greatest(e[0][1], e[1][1]) >= y) & (F.greatest(e[0][0], e[1][0]) >= x))
     quarter = F.explode(F.array(*[F.struct((F.col("_py") * 2 + i).alias("_py"), (F.col("_px") * 2 + j).alias("_px")) for i in (0, 1) for j in (0, 1)]))
     found = [*keep, "_level", "_py", "_px", "_edges"]
     out = None
     while True:
-        kept = cells.withColumn("_edges", near).withColumn("_hit", F.exists("_edges", lambda e: _touches(e, x, y, side)))
+        wide = F.get(sides, F.col("_level"))
+        placed = cells.withColumns({"_side": wide + 2 * SLACK, "_y": F.col("_py") * wide - SLACK, "_x": F.col("_px") * wide - SLACK})
+        kept = placed.withColumn("_edges", near).withColumn("_hit", F.exists("_edges", lambda e: _touches(e, x, y, side)))
         inside = F.when(~F.col("_hit"), contains(F.col("_edges"), x + side / 2, y + side / 2))
-        split = written(kept.withColumn("_in", inside).where("_hit OR _in").withColumn("_done", ~F.col("_hit") | (F.col("_level") >= halvings) | (F.col("_cut") & (F.size("_edges") <= EDGES))))
+        done = ~F.col("_hit") | (F.col("_level") >= halvings) | ((F.col("_cuts") >= cuts) & (F.size("_edges") <= EDGES))
+        judged = kept.withColumn("_in", inside).withColumn("_done", done)
+        # An array of one row or none: as a filter, the conditions would be worked out a second time.
+        one = F.explode(F.when(F.col("_hit") | F.col("_in"), F.array(F.struct(*found, "_cuts", "_hit", "_done"))))
+        split = written(judged.select(one.alias("_c")).select("_c.*"))
         part = split.where("_done").withColumn("_edges", F.when(F.col("_hit"), F.col("_edges"))).select(found)
         out = part if out is None else out.unionByName(part)
         rest = split.where("NOT _done")
         if rest.limit(1).count() == 0:
             return out
-        cells = rest.select(*keep, "_edges", (F.col("_level") + 1).alias("_level"), quarter.alias("_q")).select(*keep, "_edges", "_level", "_q._py", "_q._px", F.lit(True).alias("_cut"))
+        cells = rest.select(*keep, "_edges", (F.col("_level") + 1).alias("_level"), (F.col("_cuts") + 1).alias("_cuts"), quarter.alias("_q")).select(*keep, "_edges", "_level", "_q._py", "_q._px", "_cuts")
 
 
 def _touches(e: Column, x: Column, y: Column, side: Column) -> Column:
@@ -430,40 +439,93 @@ def _touches(e: Column, x: Column, y: Column, side: Column) -> Column:
     return ~apart & (F.least(*corners) <= 0) & (F.greatest(*corners) >= 0)
 
 
-def in_polygons(points: DataFrame, polygons: DataFrame, on=(), boundary: bool = False, coarse: float = COARSE, halvings: int = HALVINGS) -> DataFrame:
+def _levels(cover: DataFrame) -> list[int]:
+    return sorted(r[0] for r in cover.select("_level").distinct().collect())  # at most halvings + 1
+
+
+def _at_levels(points: DataFrame, levels, coarse: float) -> DataFrame:
+    """points with _level, _py, _px: a row for the cell of each level."""
+    at = [F.struct(F.lit(i).alias("_level"), F.floor(F.col("lat") / (coarse / 2**i)).cast("int").alias("_py"), F.floor(F.col("lon") / (coarse / 2**i)).cast("int").alias("_px")) for i in levels]
+    return points.withColumn("_c", F.explode(F.array(*at))).select(*points.columns, "_c.*")
+
+
+def _held(boundary: bool, rule: Column | None) -> Column:
+    return contains(F.col("_edges"), F.col("lon"), F.col("lat"), boundary) if rule is None else rule
+
+
+def in_polygons(points: DataFrame, polygons: DataFrame, on=(), boundary: bool = False, coarse: float = COARSE, halvings: int = HALVINGS, rule: Column | None = None) -> DataFrame:
     """Pairs of points (lat, lon, ...) and polygons (rings, ...; other names disjoint but for `on`) that contain them, without rings.
 
     A point looks up its cell of each level; only in cells on an outline do
-    edges decide. Points on an edge count as `boundary` says.
+    edges decide. Points on an edge count as `boundary` says. The corners of a
+    shape given by a formula are rounded, so points on its edge may come to lie on
+    either side; its formula, a condition on the columns of both, is the `rule`
+    that decides in place of the edges.
     """
     cover = polygon_cover(polygons, coarse, halvings)
-    levels = sorted(r[0] for r in cover.select("_level").distinct().collect())  # at most halvings + 1
+    levels = _levels(cover)
     if not levels:
         return points.join(polygons.drop("rings"), list(on)).limit(0) if on else points.crossJoin(polygons.drop("rings")).limit(0)
-    at = [F.struct(F.lit(i).alias("_level"), F.floor(F.col("lat") / (coarse / 2**i)).cast("int").alias("_py"), F.floor(F.col("lon") / (coarse / 2**i)).cast("int").alias("_px")) for i in levels]
-    keyed = points.withColumn("_c", F.explode(F.array(*at))).select(*points.columns, "_c.*")
-    met = keyed.join(cover, [*on, "_level", "_py", "_px"])
-    return met.where(F.col("_edges").isNull() | contains(F.col("_edges"), F.col("lon"), F.col("lat"), boundary)).drop("_level", "_py", "_px", "_edges")
-
+    met = _at_levels(points, levels, coarse).join(cover, [*on, "_level", "_py", "_px"])
+    return met.where(F.col("_edges").isNull() | _held(boundary, rule)).drop("_level", "_py", "_px", "_edges")
 
-def smoke_tier(points: DataFrame, polygons: DataFrame, deg: float = COARSE, boundary: bool = False) -> DataFrame:
-    """points (id, date, lat, lon) with the highest tier of the day's polygons (date, tier, rings) that contain them, else 0."""
-    met = in_polygons(points.select("id", "date", "lat", "lon"), polygons.select("date", "tier", "rings"), ("date",), boundary, deg)
-    hit = met.groupBy("id", "date").agg(F.max("tier").alias("tier"))
-    return points.join(hit, ["id", "date"], "left").withColumn("tier", F.coalesce("tier", F.lit(0)))
 
+def count_in_polygons(points: DataFrame, polygons: DataFrame, key: str, boundary: bool = False, coarse: float = COARSE, halvings: int = HALVINGS, rule: Column | None = None) -> DataFrame:
+    """(key, n): points (lat, lon) in each polygon (key, rings, ...) that has any.
 
-def entity_day_tier(sensors: DataFrame, polygons: DataFrame, deg: float = COARSE) -> DataFrame:
-    """Sparse (id, date, tier > 0) of sensors (id, lat, lon) on the days of the polygons.
+    Pairs are formed only on outlines, which are cut finer for it, and of
+    different places; a cell wholly inside adds the number of its points.
+    """
+    places = written(points.groupBy("lat", "lon").agg(F.count(F.lit(1)).alias("_n")))
+    cover = polygon_cover(polygons, coarse, halvings, cuts=3)
+    cells = ["_level", "_py", "_px"]
+    at = _at_levels(places, _levels(cover) or [0], coarse)
+    whole = cover.where(F.col("_edges").isNull()).select(key, *cells).join(at.groupBy(*cells).agg(F.sum("_n").alias("_n")), cells)
+    outline = cover.where(F.col("_edges").isNotNull())
+    edge = at.join(outline.drop("_edges") if rule is not None else outline, cells).where(_held(boundary, rule))
+    return whole.select(key, "_n").unionByName(edge.select(key, "_n")).groupBy(key).agg(F.sum("_n").alias("n"))
+
+
+def highest_in_polygons(points: DataFrame, polygons: DataFrame, on=(), boundary: bool = False, coarse: float = COARSE, rule: Column | None = None) -> DataFrame:
+    """(*on, lat, lon, tier) of the different places of points (*on, lat, lon) in any polygon (*on, tier, rings, ...): the highest tier of those that contain it.
+
+    Cells wholly inside are one row each with the highest tier there, and an
+    outline is followed only where no such cell around it has its tier, so
+    polygons upon polygons are not met one by one.
+    """
+    cells = [*on, "_level", "_py", "_px"]
+    places = points.select(*on, "lat", "lon").distinct()
+    cover = polygon_cover(polygons, coarse)
+    whole = written(cover.where(F.col("_edges").isNull()).groupBy(*cells).agg(F.max("tier").alias("_top")))
+    outline = cover.where(F.col("_edges").isNotNull())
+    at_edge = outline.select(*cells).distinct().withColumn("_up", F.explode(F.sequence(F.lit(0), F.col("_level"))))
+    up = lambda c: F.floor(F.col(c) / F.pow(F.lit(2.0), F.col("_up"))).cast("int")
+    around = whole.withColumnsRenamed({"_level": "_l", "_py": "_y", "_px": "_x"})
+    above = at_edge.select(*cells, (F.col("_level") - F.col("_up")).alias("_l"), up("_py").alias("_y"), up("_px").alias("_x")).join(around, [*on, "_l", "_y", "_x"])
+    outline = outline.join(above.groupBy(*cells).agg(F.max("_top").alias("_top")), cells, "left").where(F.col("_top").isNull() | (F.col("tier") > F.col("_top"))).drop("_top")
+    at = _at_levels(places, _levels(cover) or [0], coarse)
+    edge = at.join(outline.drop("_edges") if rule is not None else outline, cells).where(_held(boundary, rule))
+    found = at.join(whole.withColumnRenamed("_top", "tier"), cells).select(*on, "lat", "lon", "tier").unionByName(edge.select(*on, "lat", "lon", "tier"))
+    return found.groupBy(*on, "lat", "lon").agg(F.max("tier").alias("tier"))
+
+
+def smoke_tier(points: DataFrame, polygons: DataFrame, deg: float = COARSE, boundary: bool = False, rule: Column | None = None) -> DataFrame:
+    """points (id, date, lat, lon) with the highest tier of the day's polygons (date, tier, rings) that contain them, else 0; rule: see in_polygons."""
+    hit = highest_in_polygons(points, polygons if rule is not None else polygons.select("date", "tier", "rings"), ("date",), boundary, deg, rule)
+    return points.join(hit, ["date", "lat", "lon"], "left").withColumn("tier", F.coalesce("tier", F.lit(0)))
+
+
+def entity_day_tier(sensors: DataFrame, polygons: DataFrame, deg: float = COARSE, rule: Column | None = None) -> DataFrame:
+    """Sparse (id, date, tier > 0) of sensors (id, lat, lon) on the days of the polygons; rule: see in_polygons.
 
     Sensors meet the polygons of all days by cell; days without a hit are never formed.
     """
-    met = in_polygons(sensors.select("id", "lat", "lon"), polygons.select("date", "tier", "rings"), coarse=deg)
+    met = in_polygons(sensors.select("id", "lat", "lon"), polygons if rule is not None else polygons.select("date", "tier", "rings"), coarse=deg, rule=rule)
     return met.groupBy("id", "date").agg(F.max("tier").alias("tier")).where("tier > 0")
 
 
-def inside_any(points: DataFrame, polygons: DataFrame, boundary: bool = True, deg: float = COARSE) -> DataFrame:
-    """points (id, lat, lon) with in_tx: does any polygon contain them or, with boundary, touch them."""
-    met = in_polygons(points.select("id", "lat", "lon"), polygons.select("rings"), (), boundary, deg)
+def inside_any(points: DataFrame, polygons: DataFrame, boundary: bool = True, deg: float = COARSE, rule: Column | None = None) -> DataFrame:
+    """points (id, lat, lon) with in_tx: does any polygon contain them or, with boundary, touch them; rule: see in_polygons."""
+    met = in_polygons(points.select("id", "lat", "lon"), polygons if rule is not None else polygons.select("rings"), (), boundary, deg, rule=rule)
     hit = met.select("id").distinct().withColumn("in_tx", F.lit(True))
     return points.join(hit, "id", "left").withColumn("in_tx", F.coalesce("in_tx", F.lit(False)))

@@ -43,6 +43,17 @@ def v_tract(spark, sf_dir) -> DataFrame:
 
 def v_smoke(spark, sf_dir) -> DataFrame:
     """(poly, date, density, rings): a quad for each nation and day of January 2024."""
+    return smoke_shapes(spark, sf_dir).drop("x", "y", "w")
+
+
+def in_diamond(edge: bool = False) -> Column:
+    """Whether a point (lat, lon) lies inside a diamond (x, y, w), or on its edge, by its formula: corners are rounded."""
+    far = F.abs(F.col("lon") - F.col("x")) + F.abs(F.col("lat") - F.col("y"))
+    return far <= F.col("w") if edge else far < F.col("w")
+
+
+def smoke_shapes(spark, sf_dir) -> DataFrame:
+    """v_smoke with the centre (x, y) and half the width (w) of each quad."""
     n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("k"), F.explode(F.sequence(F.lit(0), F.lit(29))).alias("d"))
     y, x = place(F.col("k") * 31 + F.col("d"))
     w = 0.5 + (F.col("k") % 3).cast("double")
@@ -50,18 +61,18 @@ def v_smoke(spark, sf_dir) -> DataFrame:
     at = lambda dx, dy: F.array(F.col("x") + dx * F.col("w"), F.col("y") + dy * F.col("w"))
     base = n.select("k", "d", y.alias("y"), x.alias("x"), w.alias("w"), density.alias("density"))
     ring = F.array(at(-1, 0), at(0, -1), at(1, 0), at(0, 1), at(-1, 0))
-    return base.select((F.col("k") * 100 + F.col("d")).alias("poly"), F.date_add(F.lit("2024-01-01").cast("date"), F.col("d")).alias("date"), "density", F.array(ring).alias("rings"))
+    return base.select((F.col("k") * 100 + F.col("d")).alias("poly"), F.date_add(F.lit("2024-01-01").cast("date"), F.col("d")).alias("date"), "density", F.array(ring).alias("rings"), "x", "y", "w")
 
 
 def v_plume(spark, sf_dir) -> DataFrame:
-    """(plume, date, tier, rings): a diamond for each supplier, from a twentieth of a degree to six degrees across."""
+    """(plume, date, tier, rings, x, y, w): a diamond for each supplier, from a twentieth of a degree to six degrees across."""
     y, x = place(F.col("s_suppkey") * 13)
     w = F.lit(0.05) * F.pow(F.lit(2.0), F.pmod(F.col("s_suppkey"), F.lit(8)).cast("double"))
     base = table(spark, sf_dir, "supplier").select("s_suppkey", y.alias("y"), x.alias("x"), w.alias("w"))
     at = lambda dx, dy: F.array(F.col("x") + dx * F.col("w"), F.col("y") + dy * F.col("w"))
     ring = F.array(at(-1, 0), at(0, -1), at(1, 0), at(0, 1), at(-1, 0))
     day = F.date_add(F.lit("2024-01-01").cast("date"), F.pmod(F.col("s_suppkey"), F.lit(29)).cast("int"))
-    return base.select(F.col("s_suppkey").alias("plume"), day.alias("date"), (1 + F.pmod(F.col("s_suppkey"), F.lit(3))).cast("int").alias("tier"), F.array(ring).alias("rings"))
+    return base.select(F.col("s_suppkey").alias("plume"), day.alias("date"), (1 + F.pmod(F.col("s_suppkey"), F.lit(3))).cast("int").alias("tier"), F.array(ring).alias("rings"), "x", "y", "w")
 
 
 def r6(c: Column | str) -> Column:

@@ -44,3 +44,10 @@ def _km(a, b, c, d):
 
     x = sin(radians(c - a) / 2) ** 2 + cos(radians(a)) * cos(radians(c)) * sin(radians(d - b) / 2) ** 2
     return 2 * 6371.0 * asin(sqrt(x))
+
+
+def test_pairs_of_small_tables_are_met_in_all_tasks(spark):
+    from airloft.operators import joins
+
+    rows = places(spark, 60).selectExpr("id AS a", "lat", "lon"), places(spark, 60).selectExpr("id AS b", "lat", "lon")
+    assert joins.within(*rows, 20.0).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
